@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, exercises, sessions  # noqa: F401  (importing registers the queries)
+from . import activity, exercises, rooms, sessions  # noqa: F401  (importing registers the queries)
 from .registry import ORACLES, QUERIES
 
 
