@@ -68,20 +68,37 @@ def module_display_name(key: Column) -> Column:
     return F.coalesce(F.try_element_at(known, key), title_case(F.replace(key, F.lit("_"), F.lit(" "))))
 
 
-def module_description(sections: Column) -> Column:
+def module_description(first_sections: Column, count: Column) -> Column:
     """First three sections in title case, and how many more there are."""
     shown = F.transform(
-        F.slice(sections, 1, 3), lambda s: title_case(F.replace(s, F.lit("_"), F.lit(" ")))
+        F.slice(first_sections, 1, 3), lambda s: title_case(F.replace(s, F.lit("_"), F.lit(" ")))
     )
-    rest = F.size(sections) - 3
-    return F.when(F.size(sections) == 0, F.lit("Empty module")).otherwise(
-        F.concat(
-            F.array_join(shown, ", "),
-            F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" other sections"))).otherwise(""),
-        )
+    rest = count - 3
+    more = F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" other sections")))
+    return F.when(count == 0, F.lit("Empty module")).otherwise(
+        F.concat(F.array_join(shown, ", "), F.coalesce(more, F.lit("")))
     )
 
 
+def file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def parent_name(path: Column) -> Column:
+    """Name of the folder a file lies in."""
+    return F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
+
+
+def suffix(name: Column) -> Column:
+    """Text after the last dot, without it; empty for names that only start with a dot."""
+    return F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1)
+
+
+def stem(name: Column) -> Column:
+    """File name without its suffix."""
+    return F.regexp_replace(name, r"(?s)^(.+)\.[^.]+$", "$1")
+
+
 def language(preference: Column) -> Column:
     return F.coalesce(preference, F.lit(DEFAULT_LANGUAGE))
 
