@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that end a line, and characters that count as blank.
-LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 BLANK = r"[\s\x1C-\x1F\x85\p{Z}]"
 MODULE_NAMES = {
     "python": "Python - Complete",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsontext
 from ..functions.text import strip
 from ..schemas import TEST
+from .staging import hold
 
 # Markers, required keys and placeholder texts.
 JSON_FENCE = "```json"
@@ -67,11 +68,11 @@ def json_part(text: Column) -> Column:
     return F.when(body.contains(JSON_FENCE), fenced).when(opening > 0, braced)
 
 
-def escape_values(json: Column) -> Column:
-    """Escape line breaks and tabs inside string values.
+def escape_values() -> Column:
+    """The text of ``__pieces`` with line breaks and tabs inside string values escaped.
 
-    Cut at the quotes, a value is the piece after a lone colon that follows a
-    non-empty key.
+    The pieces are the text cut at its quotes; a value is the piece after a
+    lone colon that follows a non-empty key.
     """
 
     def mend(piece, i):
@@ -112,14 +113,16 @@ def _unescape(code: Column) -> Column:
 
 def repair_stage1(texts: DataFrame, from_course: bool = False) -> DataFrame:
     """Add ``parsed``: the exercise as a struct, null where the JSON cannot be read."""
-    quotes = F.replace(F.replace("__json", F.lit('"""'), F.lit('"')), F.lit("'''"), F.lit('"'))
-    staged = texts.withColumn("__json", json_part(F.col("text"))).withColumn("__json", quotes)
+    json = F.col("__json")
+    plain = json_part(F.col("text"))
+    quotes = F.replace(F.replace(plain, F.lit('"""'), F.lit('"')), F.lit("'''"), F.lit('"'))
+    staged = hold(texts, "__json", quotes)
     if from_course:
         # Here only the last line break of a value is escaped.
-        cleaned = F.regexp_replace("__json", r':\s*"([^"]*)\n([^"]*)"', ': "$1\\\\\\\\n$2"')
-        staged = staged.withColumn("__pieces", F.lit(None).cast("array<string>")).withColumn("__json", cleaned)
+        staged = hold(staged, "__json", F.regexp_replace(json, r':\s*"([^"]*)\n([^"]*)"', ': "$1\\\\n$2"'))
     else:
-        staged = staged.withColumn("__pieces", F.split("__json", '"')).withColumn("__json", escape_values(F.col("__json")))
+        pieces = hold(staged, "__pieces", F.split(json, '"'))
+        staged = hold(pieces, "__json", escape_values()).drop("__pieces")
     row = F.col("__row")
     complete = F.size(F.array_intersect(F.json_object_keys("__json"), F.array(*[F.lit(k) for k in REQUIRED]))) == len(
         REQUIRED
@@ -132,11 +135,8 @@ def repair_stage1(texts: DataFrame, from_course: bool = False) -> DataFrame:
         jsontext.parse_array(row["tests"], TEST).alias("tests"),
     )
     fields = ", ".join(f"{k} string" for k in REQUIRED)
-    return (
-        staged.withColumn("__row", jsontext.parse(F.col("__json"), fields))
-        .withColumn("parsed", F.when(row.isNotNull() & complete, parsed))
-        .drop("__json", "__pieces", "__row")
-    )
+    read = hold(staged, "__row", jsontext.parse(json, fields))
+    return hold(read, "parsed", F.when(row.isNotNull() & complete, parsed)).drop("__json", "__row")
 
 
 def repair_stage2(texts: DataFrame, from_course: bool = False) -> DataFrame:

@@ -67,22 +67,16 @@ def list_items(docs: DataFrame, chat: bool = False) -> DataFrame:
     """List items outside code; chat answers also have numbered ones."""
     bare = docs.withColumn("text", _without_code(F.col("text"), chat))
     kinds = [("bullet", CHAT_BULLET), ("numbered", CHAT_NUMBERED)] if chat else [("bullet", BULLET)]
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    _all(F.col("text"), pattern, 1),
-                    lambda item, i, kind=kind: F.struct(
-                        F.lit(kind).alias("kind"), i.alias("position"), item.alias("item")
-                    ),
-                )
-                for kind, pattern in kinds
-            ]
-        )
-    )
+    found = F.flatten(F.array(*[_numbered(kind, _all(F.col("text"), pattern, 1)) for kind, pattern in kinds]))
     return bare.select(*_ids(docs), F.explode(found).alias("i")).select(*_ids(docs), "i.*")
 
 
+def _numbered(kind: str, items: Column) -> Column:
+    return F.transform(
+        items, lambda item, i: F.struct(F.lit(kind).alias("kind"), i.alias("position"), item.alias("item"))
+    )
+
+
 def _cells(row: Column) -> Column:
     return F.transform(F.filter(F.split(row, r"\|"), lambda c: c != ""), strip)
 

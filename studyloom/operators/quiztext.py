@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
+from .staging import hold
 
 # Markers of the generated text, and the placeholder question.
 QUESTION_MARK = r"\nQ\p{Nd}+\."
@@ -81,7 +82,7 @@ def parse_quiz(texts: DataFrame) -> DataFrame:
     which then has no questions. All of it happens inside the row: no shuffle.
     """
     blocks = F.split(F.concat(F.lit("\n"), txt.strip(F.col("text"))), QUESTION_MARK)
-    lines = F.transform(F.slice(blocks, 2, txt.MAX_INT), lambda b: txt.lines(txt.strip(b)))
+    lines = F.transform(F.slice(blocks, 2, F.size(blocks)), lambda b: txt.lines(txt.strip(b)))
     parts = F.transform(F.col("__lines"), lambda ls: _head_and_tail(ls, F.transform(ls, txt.strip)))
 
     def complete(q):
@@ -98,14 +99,10 @@ def parse_quiz(texts: DataFrame) -> DataFrame:
             q["explanation"].alias("explanation"),
         ),
     )
-    return (
-        texts.withColumn("__lines", lines)
-        .withColumn("__parts", parts)
-        .withColumn("__raw", F.transform("__parts", _question))
-        .withColumn("failed", failed)
-        .withColumn("questions", F.when(F.col("failed"), F.slice(shaped, 1, 0)).otherwise(shaped))
-        .drop("__lines", "__parts", "__raw")
-    )
+    cut = hold(hold(texts, "__lines", lines), "__parts", parts)
+    read = hold(cut, "__raw", F.transform("__parts", _question)).withColumn("failed", failed)
+    questions = F.when(F.col("failed"), F.slice(shaped, 1, 0)).otherwise(shaped)
+    return hold(read, "questions", questions).drop("__lines", "__parts", "__raw")
 
 
 def with_fallback(parsed: DataFrame) -> DataFrame:
@@ -159,9 +156,9 @@ def grade_quiz(submissions: DataFrame) -> DataFrame:
     broken = F.exists("__wrong", lambda j: j["user_answer"].isNull() | j["correct_answer"].isNull())
     ok = (total > 0) & (F.size("answers") <= total) & ~broken
     right = F.size("__judged") - F.size("__wrong")
+    judgements = hold(submissions, "__judged", F.transform("answers", judged))
     return (
-        submissions.withColumn("__judged", F.transform("answers", judged))
-        .withColumn("__wrong", wrong)
+        hold(judgements, "__wrong", wrong)
         .withColumn("ok", F.coalesce(ok, F.lit(False)))
         .withColumn("correct_answers", F.when(F.col("ok"), right))
         .withColumn("total_questions", total)

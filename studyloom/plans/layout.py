@@ -1,0 +1,31 @@
+"""Input files for the file readers, written by tasks into the shared folder."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def lay_out(files: DataFrame, root: str) -> None:
+    """Write one file per row of (name, body) below ``root`` (runs a job).
+
+    Tasks write the files themselves; writing one again gives the same file, so
+    a repeated task does no harm.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        uri = root if "://" in root or root.startswith("file:") else f"file://{root}"
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for name, body in zip(batch["name"], batch["body"]):
+                target = f"{base}/{name}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(bytes(body))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.selectExpr("name", "CAST(body AS binary) AS body").mapInPandas(write, "n long").agg({"n": "sum"}).collect()

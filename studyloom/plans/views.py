@@ -86,4 +86,46 @@ SELECT p_partkey AS quiz_id, concat('intro', chr(10), 'Q1. What is ', p_name, '?
     chr(10), 'Réponse: ', CASE WHEN p_size % 4 = 0 THEN 'E' WHEN p_size % 4 = 1 THEN 'BC' ELSE 'd' END, chr(10), 'Explication: ', p_type) ELSE '' END) AS text,
   CASE WHEN p_size % 5 = 0 THEN 'fr' WHEN p_size % 5 = 1 THEN 'de' ELSE 'en' END AS language, p_type AS topic
 FROM <part> p""",
+    "fx_index": """
+SELECT CASE WHEN source = 'src0' THEN 'ressources' ELSE concat('01_', source) END AS module, concat('intro_to_', lang) AS section,
+  CAST(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS INT) AS section_pos,
+  concat(CASE WHEN doc_id % 3 = 0 THEN 'draft' ELSE 'doc' END, CAST(doc_id AS VARCHAR(20)), '.md') AS file, doc_id AS file_pos
+FROM <documents> d""",
+    "fx_files": """
+SELECT doc_id AS id, concat('/data/', parent, '/', name) AS path, name, parent, 'md' AS type FROM (
+  SELECT doc_id, concat(CASE WHEN doc_id % 10 = 0 THEN concat(source, '__') ELSE '' END, 'doc', CAST(doc_id AS VARCHAR(20)), '.md') AS name,
+    CASE WHEN doc_id % 5 = 0 THEN 'resources' WHEN doc_id % 5 = 1 THEN lang WHEN source = 'src0' THEN 'ressources' ELSE concat('01_', source) END AS parent
+  FROM <documents> d) t""",
+    "fx_pages": """
+SELECT concat('/data/courses/', source, '.tar.md') AS path, doc_id AS page, text FROM <documents> d""",
+    "fx_markdown": """
+SELECT doc_id AS id, concat('# Title ', CAST(doc_id AS VARCHAR(20)), chr(10), 'It starts.', chr(10), '## Part ', lang, chr(10), '```python', chr(10), '# not a heading', chr(10), 'print(', CAST(doc_id AS VARCHAR(20)), ')', chr(10), '```', chr(10),
+  '- first ', lang, chr(10), '* second', chr(10), '1. step one', chr(10), '2. step two', chr(10), chr(10), '| a | b ||', chr(10), '| --- | :-: |', chr(10), '| ', source, ' | 2 |', chr(10), '| x | ', lang, ' |', chr(10), chr(10),
+  '###### six', chr(10), '##### five', chr(10), '```', chr(10), 'plain', chr(10), '```', chr(10), text) AS text
+FROM <documents> d""",
+    "fx_vectors": """
+SELECT vec_id AS id, embedding AS vector, label FROM <embeddings> e""",
+    "fx_exercise_text": """
+SELECT p_partkey AS id, p_type AS topic, CASE p_partkey % 9
+  WHEN 0 THEN concat('Here:', chr(10), '```json', chr(10), '{"title": "', p_name, '", "description": "one', chr(10), 'two', chr(10), 'three", "starter_code": "def f():', chr(10), chr(9), 'pass", "solution": "x", "tests": [{"input": "f(1)", "expected": "', p_brand, '"}]}', chr(10), '```', chr(10), 'bye')
+  WHEN 1 THEN concat('Sure {"title": "', p_name, '", "description": "d", "starter_code": "a", "solution": "b", "tests": []} done')
+  WHEN 2 THEN concat('{"title": "', p_name, '", "description": "', p_brand, '", "solution": "return 1", "tests": [{"input": "g()", "expected": "2"}]}')
+  WHEN 3 THEN concat('no json here about ', p_name)
+  WHEN 4 THEN concat('{"title": "', p_name, '", "description": "x", "starter_code": ', repeat(chr(34), 3), 'def h():', chr(10), '  pass', repeat(chr(34), 3), ', "solution": ', repeat(chr(34), 3), 's', repeat(chr(34), 3), ', "tests": [{"input": "h()", "expected": "3"}, {"input": "h(1)", "expected": "4"}]}')
+  WHEN 5 THEN concat('```json', chr(10), '{"title": "', p_name, '", "description": "x", "starter_code": "u", "solution": "v", "tests": [1, 2]}')
+  WHEN 6 THEN concat('{"title": "cut off ', p_name, '", "description": "x", "starter_code": "u"')
+  WHEN 7 THEN concat('{"title": "', p_name, '"} and {"description": "', p_type, '"}')
+  ELSE concat('"title": "no braces ', p_name, '"') END AS text
+FROM <part> p""",
+    "fx_code": """
+SELECT p_partkey AS id, concat(CASE p_size % 8 WHEN 0 THEN 'import os, time' WHEN 1 THEN '  import os' WHEN 2 THEN 'from subprocess import run' WHEN 3 THEN 'x = profile(1)'
+  WHEN 4 THEN 'importos' WHEN 5 THEN 'import glob, pickle' WHEN 6 THEN 'eval("1")' ELSE 'y = 2' END, chr(10), '# ', p_name, chr(10), 'def f(a):', chr(10), '    return a') AS code
+FROM <part> p""",
+    "fx_runs": """
+SELECT o_orderkey AS id, o_orderkey % 7 < 4 AS success,
+  CASE o_orderkey % 7 WHEN 0 THEN concat('None', chr(10), ' 5 ', chr(10)) WHEN 1 THEN concat(chr(10), '  ', o_orderstatus, '  ') WHEN 2 THEN ' None ' WHEN 3 THEN '5' ELSE '' END AS output,
+  CASE WHEN o_orderkey % 7 >= 4 THEN concat('Execution error: ', o_orderstatus) ELSE '' END AS error,
+  CASE o_orderkey % 7 WHEN 4 THEN 'ValueError' WHEN 5 THEN 'KeyError' WHEN 6 THEN 'TypeError' END AS exception_type,
+  CASE o_orderkey % 5 WHEN 0 THEN '5' WHEN 1 THEN ' Exception ' WHEN 2 THEN 'raises ValueError' WHEN 3 THEN o_orderstatus ELSE 'None' END AS expected
+FROM <orders> o""",
 }

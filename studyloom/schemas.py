@@ -1,9 +1,7 @@
-"""Declared schemas of the learning entities and of the JSON they carry."""
+"""Declared schemas (as DDL) of the learning entities and of the JSON they carry."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 TEST = "struct<input: string, expected: string>"
 TEST_RESULT = (
     "struct<test_number: int, input: string, expected: string, actual: string, passed: boolean, error: string>"
@@ -16,7 +14,7 @@ CHAT_PAYLOAD = "message string"
 QUIZ_PAYLOAD = f"questions array<{QUESTION}>, topic string, language string, session_id bigint"
 QUIZ_SUBMISSION_PAYLOAD = f"session_id bigint, answers array<int>, quiz_data struct<questions: array<{QUESTION}>>"
 
-_DDL = {
+ENTITIES = {
     "users": """id bigint, email string, username string, role string, bio string, language_preference string,
         xp int, total_courses_completed int, total_quizzes_completed int, total_study_time_minutes int,
         current_streak int, last_activity_date date""",
@@ -49,8 +47,6 @@ _DDL = {
     "chunks": """id string, document string, source string, type string, section string, embedding array<float>""",
 }
 
-ENTITIES = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 # What choice columns may hold.
 CHOICES = {
     ("users", "role"): ["student", "admin"],
