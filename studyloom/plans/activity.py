@@ -33,7 +33,7 @@ days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM <fx_activity> a),
 islands AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS island FROM days),
 streaks AS (SELECT user_id, day, row_number() OVER (PARTITION BY user_id, island ORDER BY day) AS streak FROM islands)"""
 
-_LEDGER = f"""
+LEDGER_SQL = f"""
 WITH {_STREAKS},
 aware AS (
   SELECT a.*, s.streak,
@@ -50,7 +50,7 @@ ledger AS (
 levels AS (SELECT *, {_LEVEL.format(x='(total_xp - xp_gained)')} AS old_level, {_LEVEL.format(x='total_xp')} AS new_level FROM ledger)
 """
 
-FLAGSHIP_SQL = f"""{_LEDGER},
+FLAGSHIP_SQL = f"""{LEDGER_SQL},
 users AS (SELECT user_id, CAST(sum(xp_gained) AS BIGINT) AS xp, max(CAST(ts AS DATE)) AS last_activity_date FROM awards GROUP BY user_id),
 ends AS (SELECT user_id, max(streak) AS longest_streak, max_by(streak, day) AS current_streak FROM streaks GROUP BY user_id),
 graded AS (SELECT u.*, e.longest_streak, e.current_streak, {_LEVEL.format(x='xp')} AS level FROM users u JOIN ends e ON u.user_id = e.user_id)
@@ -69,7 +69,7 @@ def win_streak(spark, folder):
     return ops.day_streaks(view(spark, folder, "fx_activity"))
 
 
-@query("win_streak_before", f"{_LEDGER} SELECT activity_id, user_id, streak, streak_before FROM aware")
+@query("win_streak_before", f"{LEDGER_SQL} SELECT activity_id, user_id, streak, streak_before FROM aware")
 def win_streak_before(spark, folder):
     return ops.with_streaks(view(spark, folder, "fx_activity")).select(
         "activity_id", "user_id", "streak", "streak_before"
@@ -78,14 +78,14 @@ def win_streak_before(spark, folder):
 
 @query(
     "win_xp_ledger",
-    f"""{_LEDGER} SELECT activity_id, user_id, ts, activity_type, streak, streak_before, xp_gained, total_xp,
+    f"""{LEDGER_SQL} SELECT activity_id, user_id, ts, activity_type, streak, streak_before, xp_gained, total_xp,
     old_level, new_level, new_level > old_level AS level_up FROM levels""",
 )
 def win_xp_ledger(spark, folder):
     return ops.xp_ledger(view(spark, folder, "fx_activity"))
 
 
-@query("fn_xp_award", f"{_LEDGER} SELECT activity_id, xp_gained FROM awards")
+@query("fn_xp_award", f"{LEDGER_SQL} SELECT activity_id, xp_gained FROM awards")
 def fn_xp_award(spark, folder):
     award = gamify.xp_award(
         F.col("activity_type"), F.col("difficulty"), F.col("score"), F.col("streak_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, corpus, exercises, rooms, sessions, texts  # noqa: F401  (importing registers the queries)
+from . import activity, corpus, exercises, rooms, sessions, streams, texts  # noqa: F401  (importing registers the queries)
 from .registry import ORACLES, QUERIES
 
 

@@ -20,7 +20,7 @@ def _scores(x):
     return ops.participant_scores(x["answers"], x["questions"])
 
 
-_SCORED = """scored AS (SELECT a.*, q.correct_answer, a.selected_answer = q.correct_answer AS is_correct,
+SCORED_SQL = """scored AS (SELECT a.*, q.correct_answer, a.selected_answer = q.correct_answer AS is_correct,
   CASE WHEN a.selected_answer = q.correct_answer THEN 1000 + greatest(0, CAST(trunc((60 - a.response_time) / 60 * 500) AS INT)) ELSE 0 END AS points
   FROM <fx_answers> a JOIN <fx_questions> q ON a.room_id = q.room_id AND a.question_number = q.question_number),
 scores AS (SELECT room_id, user_id, CAST(sum(points) AS BIGINT) AS score, count(*) FILTER (WHERE is_correct) AS correct_answers FROM scored GROUP BY room_id, user_id),
@@ -93,7 +93,7 @@ def join_room_host(spark, folder):
 
 @query(
     "project_room_state",
-    f"""WITH {_SCORED}
+    f"""WITH {SCORED_SQL}
     SELECT r.id, r.code, r.topic, r.status, r.current_question, r.num_questions, h.username AS host, u.username, p.score, p.correct_answers
     FROM <fx_rooms> r JOIN <fx_users> h ON h.id = r.host_id LEFT JOIN (players p JOIN <fx_users> u ON u.id = p.user_id) ON p.room_id = r.id AND p.is_active""",
 )
@@ -104,7 +104,7 @@ def project_room_state(spark, folder):
 
 @query(
     "join_answer_question",
-    f"WITH {_SCORED} SELECT room_id, user_id, question_number, selected_answer, correct_answer, is_correct FROM scored",
+    f"WITH {SCORED_SQL} SELECT room_id, user_id, question_number, selected_answer, correct_answer, is_correct FROM scored",
 )
 def join_answer_question(spark, folder):
     x = _inputs(spark, folder)
@@ -113,7 +113,7 @@ def join_answer_question(spark, folder):
     )
 
 
-@query("fn_is_correct", f"WITH {_SCORED} SELECT room_id, question_number, count(*) FILTER (WHERE is_correct) AS hits FROM scored GROUP BY ALL")
+@query("fn_is_correct", f"WITH {SCORED_SQL} SELECT room_id, question_number, count(*) FILTER (WHERE is_correct) AS hits FROM scored GROUP BY ALL")
 def fn_is_correct(spark, folder):
     x = _inputs(spark, folder)
     hit = gamify.is_correct(F.col("selected_answer"), F.col("correct_answer"))
@@ -125,13 +125,13 @@ def fn_is_correct(spark, folder):
     )
 
 
-@query("fn_answer_points", f"WITH {_SCORED} SELECT room_id, user_id, question_number, points FROM scored")
+@query("fn_answer_points", f"WITH {SCORED_SQL} SELECT room_id, user_id, question_number, points FROM scored")
 def fn_answer_points(spark, folder):
     x = _inputs(spark, folder)
     return ops.score_answers(x["answers"], x["questions"]).select("room_id", "user_id", "question_number", "points")
 
 
-@query("agg_participant_scores", f"WITH {_SCORED} SELECT * FROM scores")
+@query("agg_participant_scores", f"WITH {SCORED_SQL} SELECT * FROM scores")
 def agg_participant_scores(spark, folder):
     return _scores(_inputs(spark, folder))
 
@@ -202,7 +202,7 @@ def agg_answer_histogram(spark, folder):
 
 @query(
     "win_leaderboard",
-    f"""WITH {_SCORED} SELECT room_id, user_id, score, correct_answers, position,
+    f"""WITH {SCORED_SQL} SELECT room_id, user_id, score, correct_answers, position,
     CASE position WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal FROM ranked""",
 )
 def win_leaderboard(spark, folder):
@@ -212,7 +212,7 @@ def win_leaderboard(spark, folder):
     )
 
 
-FINAL_SQL = f"""WITH {_SCORED} SELECT k.room_id, k.user_id, k.position AS rank, k.score, k.correct_answers, r.num_questions AS total_questions,
+FINAL_SQL = f"""WITH {SCORED_SQL} SELECT k.room_id, k.user_id, k.position AS rank, k.score, k.correct_answers, r.num_questions AS total_questions,
     round(k.correct_answers / r.num_questions * 100, 1) AS accuracy, greatest(50 - (k.position - 1) * 10, 10) AS bonus_xp
     FROM ranked k JOIN <fx_rooms> r ON r.id = k.room_id"""
 
