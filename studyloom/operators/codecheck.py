@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .staging import hold
 
 # The code policy.
 FORBIDDEN_MODULES = [
@@ -43,7 +44,7 @@ def policy_scan(submissions: DataFrame) -> DataFrame:
         .otherwise("clean")
     )
     return (
-        submissions.withColumn("__imports", imports)
+        hold(submissions, "__imports", imports)
         .withColumn(
             "forbidden_imports",
             _found(FORBIDDEN_MODULES, lambda m: F.exists("__imports", lambda ln: ln.contains(m))),

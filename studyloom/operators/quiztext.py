@@ -64,13 +64,23 @@ def _question(block: Column) -> Column:
     )
 
 
-def _head_and_tail(lines: Column, stripped: Column) -> Column:
-    """Lines before the first option, and the stripped lines from it on."""
-    at = F.array_position(F.transform(stripped, _is_option), True).cast("int")
+def _bared(lines: Column) -> Column:
+    return F.struct(lines.alias("lines"), F.transform(lines, txt.strip).alias("bare"))
+
+
+def _located(block: Column) -> Column:
+    """Adds the place of the first option, 0 without one."""
+    at = F.array_position(F.transform(block["bare"], _is_option), True).cast("int")
+    return F.struct(block["lines"].alias("lines"), block["bare"].alias("bare"), at.alias("at"))
+
+
+def _halves(block: Column) -> Column:
+    """Lines before the first option (head), and stripped ones from it on (tail)."""
+    at, lines, bare = block["at"], block["lines"], block["bare"]
     return F.struct(
         F.when(at == 0, lines).otherwise(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)))).alias("head"),
-        F.when(at == 0, F.slice(lines, 1, 0))
-        .otherwise(F.slice(stripped, F.greatest(at, F.lit(1)), F.size(stripped)))
+        F.when(at == 0, F.slice(bare, 1, 0))
+        .otherwise(F.slice(bare, F.greatest(at, F.lit(1)), F.size(bare)))
         .alias("tail"),
     )
 
@@ -83,13 +93,14 @@ def parse_quiz(texts: DataFrame) -> DataFrame:
     """
     blocks = F.split(F.concat(F.lit("\n"), txt.strip(F.col("text"))), QUESTION_MARK)
     lines = F.transform(F.slice(blocks, 2, F.size(blocks)), lambda b: txt.lines(txt.strip(b)))
-    parts = F.transform(F.col("__lines"), lambda ls: _head_and_tail(ls, F.transform(ls, txt.strip)))
+    # One step per transform: each uses the outcome of the one before, once.
+    parts = F.transform(F.transform(F.transform("__lines", _bared), _located), _halves)
 
     def complete(q):
         return (q["question"] != "") & (F.size(q["options"]) > 0)
 
     failed = F.exists("__raw", lambda q: complete(q) & q["letter"].isNull())
-    kept = F.filter("__raw", lambda q: complete(q) & F.lit("ABCD").contains(q["letter"]))
+    kept = F.filter("__raw", lambda q: ~F.col("failed") & complete(q) & F.lit("ABCD").contains(q["letter"]))
     shaped = F.transform(
         kept,
         lambda q: F.struct(
@@ -100,9 +111,8 @@ def parse_quiz(texts: DataFrame) -> DataFrame:
         ),
     )
     cut = hold(hold(texts, "__lines", lines), "__parts", parts)
-    read = hold(cut, "__raw", F.transform("__parts", _question)).withColumn("failed", failed)
-    questions = F.when(F.col("failed"), F.slice(shaped, 1, 0)).otherwise(shaped)
-    return hold(read, "questions", questions).drop("__lines", "__parts", "__raw")
+    read = hold(hold(cut, "__raw", F.transform("__parts", _question)), "failed", failed)
+    return hold(read, "questions", shaped).drop("__lines", "__parts", "__raw")
 
 
 def with_fallback(parsed: DataFrame) -> DataFrame:
@@ -141,30 +151,31 @@ def grade_quiz(submissions: DataFrame) -> DataFrame:
     """
     total = F.size("questions")
 
-    def judged(answer, i):
-        q = F.get(F.col("questions"), i)
-        key = txt.answer_text(q["options"], q["correct_answer"])
+    def is_wrong(given):
+        key = F.get(F.col("questions"), given["place"])["correct_answer"]
+        return ~F.coalesce(given["answer"] == key, F.lit(False))
+
+    def mistake(given):
+        q = F.get(F.col("questions"), given["place"])
         past = q["correct_answer"] >= F.size(q["options"])
         return F.struct(
-            F.coalesce(answer == q["correct_answer"], F.lit(False)).alias("right"),
             q["question"].alias("question"),
-            txt.answer_text(q["options"], answer).alias("user_answer"),
-            F.when(~past, key).alias("correct_answer"),
+            txt.answer_text(q["options"], given["answer"]).alias("user_answer"),
+            F.when(~past, txt.answer_text(q["options"], q["correct_answer"])).alias("correct_answer"),
         )
 
-    wrong = F.filter("__judged", lambda j: ~j["right"])
-    broken = F.exists("__wrong", lambda j: j["user_answer"].isNull() | j["correct_answer"].isNull())
+    given = F.transform("answers", lambda a, i: F.struct(i.alias("place"), a.alias("answer")))
+    broken = F.exists("__wrong", lambda m: m["user_answer"].isNull() | m["correct_answer"].isNull())
     ok = (total > 0) & (F.size("answers") <= total) & ~broken
-    right = F.size("__judged") - F.size("__wrong")
-    judgements = hold(submissions, "__judged", F.transform("answers", judged))
+    right = F.size("answers") - F.size("__wrong")
+    judged = hold(submissions, "__wrong", F.transform(F.filter(given, is_wrong), mistake))
     return (
-        hold(judgements, "__wrong", wrong)
-        .withColumn("ok", F.coalesce(ok, F.lit(False)))
+        judged.withColumn("ok", F.coalesce(ok, F.lit(False)))
         .withColumn("correct_answers", F.when(F.col("ok"), right))
         .withColumn("total_questions", total)
         .withColumn("score", F.when(F.col("ok"), right / F.nullif(total, F.lit(0)) * 100))
         .withColumn("mistakes", F.when(F.col("ok"), F.col("__wrong")))
-        .drop("__judged", "__wrong")
+        .drop("__wrong")
     )
 
 
