@@ -1,8 +1,8 @@
 """Day streaks and the experience ledger, set-wise over an activity log.
 
 ``activity`` has activity_id, user_id, ts, activity_type, difficulty, score.
-The work is cut at one-hour slices: everything that concerns a whole user runs
-on (user, hour) rows, which the calendar bounds, and the log itself is shuffled
+The work is cut at time slices: everything that concerns a whole user runs on
+(user, slice) rows, which the calendar bounds, and the log itself is shuffled
 once, by (user, hour).
 """
 
@@ -37,49 +37,50 @@ def _fixed_xp() -> Column:
     return gamify.base_xp(F.col("activity_type"), F.col("difficulty"), F.col("score"), F.lit(1))
 
 
-def hour_slices(activity: DataFrame) -> DataFrame:
-    """Per (user_id, hour): streak context and XP earned before the hour.
+def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
+    """Per (user_id, slice): streak context and XP earned before the slice.
 
-    Inside a day every activity but the first sees the streak of that day; the
-    first sees the streak of the previous active day. So the XP of an hour
-    follows from sums and its first activity, without visiting single rows.
+    ``grain`` is the width of a slice, a day at most. Inside a day every
+    activity but the first sees the streak of that day; the first sees the
+    streak of the previous active day. So the XP of a slice follows from sums
+    and its first activity, without visiting single rows.
     """
-    hours = (
-        activity.withColumn("hour", F.date_trunc("hour", "ts"))
-        .groupBy("user_id", "hour")
+    slices = (
+        activity.withColumn("slice", F.date_trunc(grain, "ts"))
+        .groupBy("user_id", "slice")
         .agg(
             F.sum(_fixed_xp()).alias("fixed_xp"),
             F.count_if(_is_quiz(F.col("activity_type"))).alias("quizzes"),
             F.min(F.struct(*EVENT_ORDER, "activity_type")).alias("first_event"),
         )
-        .withColumn("day", F.to_date("hour"))
+        .withColumn("day", F.to_date("slice"))
     )
     user = Window.partitionBy("user_id").orderBy("day")
     island = Window.partitionBy("user_id", "island").orderBy("day")
     earlier_days = Window.partitionBy("user_id").orderBy("day_no").rangeBetween(Window.unboundedPreceding, -1)
-    earlier_hours = Window.partitionBy("user_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    day_start = Window.partitionBy("user_id", "day").orderBy("hour")
+    earlier = Window.partitionBy("user_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    day_start = Window.partitionBy("user_id", "day").orderBy("slice")
     marked = (
-        hours.withColumn("island", F.date_sub("day", F.dense_rank().over(user)))
+        slices.withColumn("island", F.date_sub("day", F.dense_rank().over(user)))
         .withColumn("day_no", F.datediff("day", F.lit("1970-01-01")))
         .withColumn("streak", F.dense_rank().over(island))
         .withColumn("streak_yesterday", F.coalesce(F.last("streak").over(earlier_days), F.lit(0)))
         .withColumn("opens_day", F.row_number().over(day_start) == 1)
     )
     opening_quiz = F.col("opens_day") & _is_quiz(F.col("first_event.activity_type"))
-    hour_xp = (
+    slice_xp = (
         F.col("fixed_xp")
         + (F.col("quizzes") - opening_quiz.cast("int")) * gamify.streak_xp(F.col("streak"))
         + F.when(opening_quiz, gamify.streak_xp(F.col("streak_yesterday"))).otherwise(0)
     )
-    return marked.withColumn("hour_xp", hour_xp).select(
+    return marked.withColumn("slice_xp", slice_xp).select(
         "user_id",
-        "hour",
+        "slice",
         "streak",
         "streak_yesterday",
         F.when(F.col("opens_day"), F.col("first_event.activity_id")).alias("opening_id"),
-        "hour_xp",
-        F.coalesce(F.sum("hour_xp").over(earlier_hours), F.lit(0)).alias("xp_before_hour"),
+        "slice_xp",
+        F.coalesce(F.sum("slice_xp").over(earlier), F.lit(0)).alias("xp_before_slice"),
     )
 
 
@@ -87,8 +88,8 @@ def with_streaks(activity: DataFrame) -> DataFrame:
     """The log with ``streak`` (after the activity) and ``streak_before`` it."""
     opening = F.col("activity_id").eqNullSafe(F.col("opening_id"))
     return (
-        activity.withColumn("hour", F.date_trunc("hour", "ts"))
-        .join(hour_slices(activity), ["user_id", "hour"])
+        activity.withColumn("slice", F.date_trunc("hour", "ts"))
+        .join(time_slices(activity), ["user_id", "slice"])
         .withColumn("streak_before", F.when(opening, F.col("streak_yesterday")).otherwise(F.col("streak")))
     )
 
@@ -96,12 +97,12 @@ def with_streaks(activity: DataFrame) -> DataFrame:
 def xp_ledger(activity: DataFrame) -> DataFrame:
     """One row per activity: XP gained, running total, levels, level-up flag."""
     inside = (
-        Window.partitionBy("user_id", "hour").orderBy(*EVENT_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("user_id", "slice").orderBy(*EVENT_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     )
     gained = gamify.xp_award(
         F.col("activity_type"), F.col("difficulty"), F.col("score"), F.col("streak_before")
     )
-    total = F.col("xp_before_hour") + F.sum("xp_gained").over(inside)
+    total = F.col("xp_before_slice") + F.sum("xp_gained").over(inside)
     return (
         with_streaks(activity)
         .withColumn("xp_gained", gained)
@@ -127,16 +128,16 @@ def xp_ledger(activity: DataFrame) -> DataFrame:
 def learner_levels(activity: DataFrame) -> DataFrame:
     """One row per user: final XP, level, title and streaks.
 
-    Needs no per-activity shuffle: the (user, hour) rows carry all of it.
+    Needs no per-activity shuffle: the (user, day) rows carry all of it.
     """
     return (
-        hour_slices(activity)
+        time_slices(activity, "day")
         .groupBy("user_id")
         .agg(
-            F.sum("hour_xp").alias("xp"),
-            F.max_by("streak", "hour").alias("current_streak"),
+            F.sum("slice_xp").alias("xp"),
+            F.max_by("streak", "slice").alias("current_streak"),
             F.max("streak").alias("longest_streak"),
-            F.to_date(F.max("hour")).alias("last_activity_date"),
+            F.to_date(F.max("slice")).alias("last_activity_date"),
         )
         .withColumn("level", gamify.level(F.col("xp")))
         .withColumn("title", gamify.level_title(F.col("level")))
