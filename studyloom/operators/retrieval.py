@@ -75,7 +75,7 @@ def _blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     groups = max(1, -(-queries.count() // BLOCK_QUERIES))
 
     def spread(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     left = chunks.select(
         "id",
@@ -86,8 +86,8 @@ def _blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     right = queries.select(
         "query_id",
         F.col("vector").alias("point"),
-        spread(shares).cast("long").alias("share"),
-        F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"),
+        spread(shares).alias("share"),
+        F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"),
     )
 
     def search(_, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
