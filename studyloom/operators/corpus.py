@@ -238,19 +238,31 @@ def sections(index: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text):
-    """All distinct substrings of one to three characters, and the empty one."""
+def _cuts(text, sizes):
+    """Distinct substrings of the given sizes, with shorter ones at the end."""
     at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    cuts = F.transform(at, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in (1, 2, 3)]))
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(cuts)))
+    cuts = F.transform(at, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in sizes]))
+    return F.array_distinct(F.flatten(cuts))
+
+
+def _name_grams(name):
+    """All substrings a query can be looked up by: up to three characters, and the empty one."""
+    return F.array_union(F.array(F.lit("")), _cuts(name, (1, 2, 3)))
+
+
+def _query_grams(needle):
+    """The three-character substrings of a query; a shorter query is its own."""
+    return F.when(F.length(needle) < 3, F.array(needle)).otherwise(
+        F.filter(_cuts(needle, (3,)), lambda g: F.length(g) == 3)
+    )
 
 
 def search_index(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Sections and files of a module whose name contains a query, best first.
 
-    ``queries``: query_id, module, query. Names meet queries through an
-    equality join on the query's first three characters, then the whole query
-    is looked for.
+    ``queries``: query_id, module, query. A distinct query is looked up by the
+    rarest of its three-character substrings, so it meets few names besides
+    its hits; then the whole query is looked for.
     """
     block = F.floor(F.col("file_pos") / PAGES_PER_SLICE)
     section_names = index.select("module", "section", "section_pos").distinct().select(
@@ -271,14 +283,23 @@ def search_index(index: DataFrame, queries: DataFrame) -> DataFrame:
         "file_pos",
         F.lower("file").alias("name"),
     )
-    names = section_names.unionByName(file_names).withColumn("gram", F.explode(_grams(F.col("name"))))
-    wanted = queries.select("query_id", "module", F.lower("query").alias("needle")).withColumn(
-        "gram", F.substring("needle", 1, 3)
+    names = section_names.unionByName(file_names).withColumn("gram", F.explode(_name_grams(F.col("name"))))
+    asked = queries.select("query_id", "module", F.lower("query").alias("needle"))
+    frequency = names.groupBy("module", "gram").agg(F.count("*").alias("n"))
+    lookup = (
+        asked.select("module", "needle")
+        .distinct()
+        .withColumn("gram", F.explode(_query_grams(F.col("needle"))))
+        .join(frequency, ["module", "gram"])
+        .groupBy("module", "needle")
+        .agg(F.min(F.struct("n", "gram")).alias("rarest"))
+        .select("module", "needle", "rarest.gram")
     )
     high = (F.col("type") == "file") | (F.col("name") == F.col("needle"))
     hits = (
-        names.join(wanted, ["module", "gram"])
+        names.join(lookup, ["module", "gram"])
         .where(F.col("name").contains(F.col("needle")))
+        .join(asked, ["module", "needle"])
         .withColumn("relevance", F.when(high, "high").otherwise("medium"))
         .withColumn("lower_rank", (~high).cast("int"))
         .withColumn("block", block)

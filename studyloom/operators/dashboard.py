@@ -128,11 +128,15 @@ def recent_courses(courses: DataFrame, users: DataFrame, n: int = SUBJECTS_SHOWN
 
 def pad_subjects(recent: DataFrame, users: DataFrame) -> DataFrame:
     """Three rows per user: missing places are filled with the fixed examples."""
-    fields = ["place", "title", "score", "time_ago", "status"]
+    fields = ["title", "score", "time_ago", "status"]
     examples = F.array(
-        *[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, row)]) for row in EXAMPLE_SUBJECTS]
+        *[F.struct(*[F.lit(v).alias(f) for f, v in zip(["place", *fields], row)]) for row in EXAMPLE_SUBJECTS]
     )
-    padding = users.select(F.col("id").alias("user_id"), F.explode(examples).alias("e")).select(
-        "user_id", *[F.col(f"e.{f}").alias(f) for f in fields]
+    places = users.select(F.col("id").alias("user_id"), F.explode(examples).alias("e")).withColumn(
+        "place", F.col("e.place")
+    )
+    own = recent.select("user_id", "place", F.struct(*fields).alias("r"))
+    taken = F.col("r").isNotNull()
+    return places.join(own, ["user_id", "place"], "left").select(
+        "user_id", "place", *[F.when(taken, F.col(f"r.{f}")).otherwise(F.col(f"e.{f}")).alias(f) for f in fields]
     )
-    return recent.unionByName(padding.join(recent, ["user_id", "place"], "left_anti"))

@@ -44,8 +44,9 @@ def page(exercises: DataFrame, number: str | int | None, size: int = PAGE_SIZE)
     """One page of the catalogue, newest first, with each row's position.
 
     Anything that is not a whole number gives page 1; a number outside the
-    pages gives the last one. The list is numbered in slices of one creation
-    time each, so no task sorts the whole catalogue.
+    pages gives the last one. Ids are numbered in slices of one creation minute
+    each, so no task sorts the whole catalogue; the full rows are fetched for
+    the page alone.
     """
     try:
         wanted = int(number)
@@ -54,8 +55,13 @@ def page(exercises: DataFrame, number: str | int | None, size: int = PAGE_SIZE)
     total = exercises.agg(F.count("*")).scalar()
     last = F.greatest(F.lit(1), F.ceil(total / size))
     shown = F.when(F.lit(wanted).between(F.lit(1), last), F.lit(wanted)).otherwise(last)
-    numbered = positions(exercises, [], [("created_at", True)], [F.col("id")])
-    return numbered.where((F.col("position") > (shown - 1) * size) & (F.col("position") <= shown * size))
+    ids = exercises.select("id", "created_at", F.date_trunc("minute", "created_at").alias("minute"))
+    numbered = positions(ids, [], [("minute", True)], [F.col("created_at").desc(), F.col("id")])
+    on_page = numbered.where(
+        (F.col("position") > (shown - 1) * size) & (F.col("position") <= shown * size)
+    ).select("id", "position")
+    # A page holds ``size`` ids, so it may be sent to every task.
+    return exercises.join(F.broadcast(on_page), "id")
 
 
 def with_progress(page_rows: DataFrame, progress: DataFrame, user_id: int) -> DataFrame:
@@ -165,7 +171,12 @@ def progress_by_difficulty(exercises: DataFrame, progress_rows: DataFrame, users
     Completed counts progress on inactive exercises too, so the percentage can
     pass 100; ``completed_active`` leaves those out.
     """
-    totals = exercises.where("is_active").groupBy("difficulty").agg(F.count("*").alias("total"))
+    # One row per known difficulty: three rows to broadcast.
+    totals = (
+        exercises.where(F.col("is_active") & F.col("difficulty").isin(DIFFICULTIES))
+        .groupBy("difficulty")
+        .agg(F.count("*").alias("total"))
+    )
     done = (
         progress_rows.where("is_completed")
         .join(

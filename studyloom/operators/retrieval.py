@@ -24,7 +24,11 @@ BROADCAST_QUERIES = 1024
 BLOCK_QUERIES = 1024
 BLOCK_CHUNKS = 20_000
 
-_HITS = "query_id long, id {id_type}, distance double"
+
+def _hits(queries: DataFrame, chunks: DataFrame) -> str:
+    types = [rows.schema[name].dataType.simpleString() for rows, name in ((queries, "query_id"), (chunks, "id"))]
+    return "query_id {}, id {}, distance double".format(*types)
+
 
 
 def _best(query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
@@ -50,7 +54,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def _scan(chunks: DataFrame, query_ids: np.ndarray, points: np.ndarray, k: int) -> DataFrame:
+def _scan(chunks: DataFrame, query_ids: np.ndarray, points: np.ndarray, k: int, schema: str) -> DataFrame:
     """Queries sent to every task; the chunks stay where they are and leave at most k rows per query and task."""
     shared = chunks.sparkSession.sparkContext.broadcast((query_ids, points))
 
@@ -66,7 +70,7 @@ def _scan(chunks: DataFrame, query_ids: np.ndarray, points: np.ndarray, k: int)
         if kept is not None:
             yield kept
 
-    return chunks.select("id", "vector").mapInPandas(search, _HITS.format(id_type=chunks.schema["id"].dataType.simpleString()))
+    return chunks.select("id", "vector").mapInPandas(search, schema)
 
 
 def _blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -100,7 +104,7 @@ def _blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return (
         left.groupBy("share", "part")
         .cogroup(right.groupBy("share", "part"))
-        .applyInPandas(search, _HITS.format(id_type=chunks.schema["id"].dataType.simpleString()))
+        .applyInPandas(search, _hits(queries, chunks))
     )
 
 
@@ -111,14 +115,17 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS) -> DataFrame
     task and joining in blocks. In both ways a task passes on at most k rows
     per query, never all pairs.
     """
+    schema = _hits(queries, chunks)
     small = queries.select("query_id", "vector").limit(BROADCAST_QUERIES + 1).toPandas()
+    order = [F.col("distance"), F.col("id")]
+    if len(small) > BROADCAST_QUERIES:
+        return first_n(_blocks(chunks, queries, k), ["query_id"], order, k, "rank")
     if small.empty:
-        return queries.sparkSession.createDataFrame([], _HITS.format(id_type="bigint") + ", rank int")
-    if len(small) <= BROADCAST_QUERIES:
-        hits = _scan(chunks, small["query_id"].to_numpy(), _matrix(small["vector"]), k)
-    else:
-        hits = _blocks(chunks, queries, k)
-    return first_n(hits, ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    hits = _scan(chunks, small["query_id"].to_numpy(), _matrix(small["vector"]), k, schema)
+    # At most k rows for each of BROADCAST_QUERIES queries: small by construction,
+    # so a join that fetches the texts need not shuffle the chunks.
+    return F.broadcast(first_n(hits, ["query_id"], order, k, "rank"))
 
 
 def context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
