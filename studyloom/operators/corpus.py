@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
-from .ordered import positions, running_sums
+from .ordered import first_n, positions, running_sums
 
 # Fixed values of the corpus rules.
 CHUNK_SIZE = 1000
@@ -181,15 +181,17 @@ def module_stats(index: DataFrame) -> DataFrame:
 
     Counted per section first; the description needs the first three only.
     """
-    sections = index.groupBy("module", "section_pos", "section").agg(F.count("file").alias("files"))
-    opening = F.when(F.col("section_pos") < 3, F.struct("section_pos", "section"))
-    grouped = sections.groupBy("module").agg(
-        F.count("*").alias("sections_count"),
-        F.sum("files").alias("files_count"),
-        F.sort_array(F.collect_list(opening)).alias("opening"),
+    per_section = index.groupBy("module", "section_pos", "section").agg(F.count("file").alias("files"))
+    opening = (
+        first_n(per_section, ["module"], [F.col("section_pos"), F.col("section")], 3)
+        .groupBy("module")
+        .agg(F.sort_array(F.collect_list(F.struct("position", "section"))).alias("opening"))
+    )
+    counts = per_section.groupBy("module").agg(
+        F.count("*").alias("sections_count"), F.sum("files").alias("files_count")
     )
     first = F.transform("opening", lambda s: s["section"])
-    return grouped.select(
+    return counts.join(opening, "module").select(
         F.col("module").alias("id"),
         txt.module_display_name(F.col("module")).alias("name"),
         txt.module_description(first, F.col("sections_count")).alias("description"),
