@@ -54,19 +54,21 @@ FLAGSHIP_SQL = f"""{LEDGER_SQL},
 users AS (SELECT user_id, CAST(sum(xp_gained) AS BIGINT) AS xp, max(CAST(ts AS DATE)) AS last_activity_date FROM awards GROUP BY user_id),
 ends AS (SELECT user_id, max(streak) AS longest_streak, max_by(streak, day) AS current_streak FROM streaks GROUP BY user_id),
 graded AS (SELECT u.*, e.longest_streak, e.current_streak, {_LEVEL.format(x='xp')} AS level FROM users u JOIN ends e ON u.user_id = e.user_id)
-SELECT user_id, xp, current_streak, longest_streak, last_activity_date, level, {_TITLE.format(l='level')} AS title,
+SELECT user_id, xp, current_streak, longest_streak, CAST(last_activity_date AS VARCHAR) AS last_activity_date, level, {_TITLE.format(l='level')} AS title,
   round(least(100.0, greatest(0.0, (xp - ({_START.format(l='level')})) * 100.0 / (({_NEXT.format(l='level')}) - ({_START.format(l='level')})))), 4) AS progress
 FROM graded"""
 
 
 @query("learner_levels", FLAGSHIP_SQL)
 def learner_levels(spark, folder):
-    return ops.learner_levels(view(spark, folder, "fx_activity"))
+    levels = ops.learner_levels(view(spark, folder, "fx_activity"))
+    return levels.withColumn("last_activity_date", F.col("last_activity_date").cast("string"))
 
 
-@query("win_streak", f"WITH {_STREAKS} SELECT user_id, day, streak FROM streaks")
+@query("win_streak", f"WITH {_STREAKS} SELECT user_id, CAST(day AS VARCHAR) AS day, streak FROM streaks")
 def win_streak(spark, folder):
-    return ops.day_streaks(view(spark, folder, "fx_activity"))
+    streaks = ops.day_streaks(view(spark, folder, "fx_activity"))
+    return streaks.withColumn("day", F.col("day").cast("string"))
 
 
 @query("win_streak_before", f"{LEDGER_SQL} SELECT activity_id, user_id, streak, streak_before FROM aware")

@@ -356,7 +356,7 @@ def _questions(spark, folder):
 
 _KNN = """WITH parts AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 means AS (SELECT label, pos, avg(x) AS x FROM parts GROUP BY label, pos),
-questions AS (SELECT label AS query_id, list(x ORDER BY pos) AS point FROM means GROUP BY label),
+questions AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY pos) AS point FROM means GROUP BY label),
 pairs AS (SELECT q.query_id, e.vec_id AS id, list_sum(list_transform(range(1, len(point) + 1), lambda i: (point[i] - CAST(embedding[i] AS DOUBLE)) * (point[i] - CAST(embedding[i] AS DOUBLE)))) AS distance
   FROM questions q CROSS JOIN embeddings e),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs) t WHERE rank <= 5)"""

@@ -133,11 +133,11 @@ days AS (SELECT *, least(150, study // 10) AS today FROM minutes)
 @query(
     "fn_dashboard_kpis",
     f"""{_STUDY}
-    SELECT id AS user_id, total_courses, least(95, 60 + xp // 50) AS success_rate,
+    SELECT id AS user_id, total_courses, CAST(least(95, 60 + xp // 50) AS BIGINT) AS success_rate,
       concat(study // 60, 'h ', lpad(CAST(study % 60 AS VARCHAR), 2, '0'), 'm') AS total_study_time,
       concat(today // 60, 'h ', lpad(CAST(today % 60 AS VARCHAR), 2, '0'), 'm') AS today_study_time,
-      least(3, total_courses_completed % 4) AS goal_courses, least(100, least(3, total_courses_completed % 4) * 100 // 3) AS goal_courses_pct,
-      least(5, total_quizzes_completed % 6) AS goal_quizzes, least(100, least(5, total_quizzes_completed % 6) * 100 // 5) AS goal_quizzes_pct,
+      least(3, total_courses_completed % 4) AS goal_courses, CAST(least(100, least(3, total_courses_completed % 4) * 100 // 3) AS BIGINT) AS goal_courses_pct,
+      least(5, total_quizzes_completed % 6) AS goal_quizzes, CAST(least(100, least(5, total_quizzes_completed % 6) * 100 // 5) AS BIGINT) AS goal_quizzes_pct,
       today AS goal_minutes, least(100, today * 100 // 60) AS goal_minutes_pct,
       concat(today // 60, 'h ', lpad(CAST(today % 60 AS VARCHAR), 2, '0'), 'm / 1h') AS goal_minutes_text
     FROM days""",

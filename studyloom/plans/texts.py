@@ -35,11 +35,12 @@ def project_truncated_title(spark, folder):
 
 @query(
     "filter_owned_courses",
-    "SELECT id, title, created_at FROM <fx_courses> c WHERE created_by = 7",
+    "SELECT id, title, CAST(created_at AS VARCHAR) AS created_at FROM <fx_courses> c WHERE created_by = 7",
 )
 def filter_owned_courses(spark, folder):
     owned = view(spark, folder, "fx_courses").where("created_by = 7")
-    return owned.orderBy(F.col("created_at").desc(), F.col("id").desc()).select("id", "title", "created_at")
+    newest = owned.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return newest.select("id", "title", F.col("created_at").cast("string").alias("created_at"))
 
 
 # Markdown ------------------------------------------------------------------
