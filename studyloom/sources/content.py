@@ -12,7 +12,7 @@ from ..functions.text import file_name, parent_name, suffix
 TEXT_TYPES = ["md", "ipynb", "pdf"]
 IMAGE_TYPES = ["png", "jpg", "jpeg", "avif"]
 
-_INDEX_KEY = r"([^/=]*?)_index\.json(?:/[^/]*)?$"
+_INDEX_KEY = r"([^/]*)_index\.json$"
 
 
 def index_rows(files: DataFrame) -> DataFrame:
@@ -32,9 +32,9 @@ def index_rows(files: DataFrame) -> DataFrame:
 
 
 def read_content_index(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``<module>_index.json`` of a folder; each may itself be a folder Spark wrote."""
-    texts = spark.read.text(f"{folder.rstrip('/')}/*_index.json", wholetext=True)
-    return index_rows(texts.select(F.input_file_name().alias("path"), "value"))
+    """All ``<module>_index.json`` files of a folder."""
+    texts = spark.read.option("pathGlobFilter", "*_index.json").text(folder, wholetext=True)
+    return index_rows(texts.select(F.col("_metadata.file_name").alias("path"), "value"))
 
 
 def read_content_files(spark: SparkSession, root: str) -> DataFrame:

@@ -13,6 +13,7 @@ from studyloom.sources import content, entities, payloads
 def test_index_files(spark, tmp_path):
     files = {
         "01_web_index.json": json.dumps({"z_last": ["b.md", "a.md"], "a_first": [], "m": ["b.md"]}),
+        "c++ 3_index.json": '{"s": ["x"]}',
         "empty_index.json": "",
         "broken_index.json": '{"a": [',
         "object_index.json": "{}",
@@ -24,7 +25,7 @@ def test_index_files(spark, tmp_path):
         (tmp_path / name).write_text(body)
     got = sorted(map(tuple, content.read_content_index(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(
-        [("01_web", "z_last", 0, 0, "b.md"), ("01_web", "z_last", 0, 1, "a.md"), ("01_web", "a_first", 1, None, None), ("01_web", "m", 2, 0, "b.md")],
+        [("01_web", "z_last", 0, 0, "b.md"), ("01_web", "z_last", 0, 1, "a.md"), ("01_web", "a_first", 1, None, None), ("01_web", "m", 2, 0, "b.md"), ("c++ 3", "s", 0, 0, "x")],
         key=str,
     )
 
