@@ -34,7 +34,9 @@ def index_rows(files: DataFrame) -> DataFrame:
 def read_content_index(spark: SparkSession, folder: str) -> DataFrame:
     """All ``<module>_index.json`` files of a folder."""
     texts = spark.read.option("pathGlobFilter", "*_index.json").text(folder, wholetext=True)
-    return index_rows(texts.select(F.col("_metadata.file_name").alias("path"), "value"))
+    # The name comes percent-encoded; a plus sign stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return index_rows(texts.select(name.alias("path"), "value"))
 
 
 def read_content_files(spark: SparkSession, root: str) -> DataFrame:
