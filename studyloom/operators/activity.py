@@ -55,17 +55,20 @@ def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
         )
         .withColumn("day", F.to_date("slice"))
     )
-    user = Window.partitionBy("user_id").orderBy("day")
-    island = Window.partitionBy("user_id", "island").orderBy("day")
-    earlier_days = Window.partitionBy("user_id").orderBy("day_no").rangeBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("user_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    day_start = Window.partitionBy("user_id", "day").orderBy("slice")
+    # One order for all windows, so the (user, slice) rows are sorted once. A
+    # streak is the number of days so far less those before its run of days.
+    order = Window.partitionBy("user_id").orderBy("slice")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.datediff("day", F.lag("day").over(order))
     marked = (
-        slices.withColumn("island", F.date_sub("day", F.dense_rank().over(user)))
-        .withColumn("day_no", F.datediff("day", F.lit("1970-01-01")))
-        .withColumn("streak", F.dense_rank().over(island))
-        .withColumn("streak_yesterday", F.coalesce(F.last("streak").over(earlier_days), F.lit(0)))
-        .withColumn("opens_day", F.row_number().over(day_start) == 1)
+        slices.withColumn("gap", gap)
+        .withColumn("opens_day", F.col("gap").isNull() | (F.col("gap") > 0))
+        .withColumn("opens_run", F.col("gap").isNull() | (F.col("gap") > 1))
+        .withColumn("days", F.count_if("opens_day").over(running))
+        .withColumn("run_start", F.max(F.when(F.col("opens_run"), F.col("days"))).over(running))
+        .withColumn("streak", (F.col("days") - F.col("run_start") + 1).cast("int"))
+        .withColumn("streak_yesterday", F.coalesce(F.lag("streak").over(order), F.lit(0)))
     )
     opening_quiz = F.col("opens_day") & _is_quiz(F.col("first_event.activity_type"))
     slice_xp = (
