@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,3 +56,26 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="studyloom-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_SHIPPED = "studyloom.zip"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of the session, once."""
+    context = spark.sparkContext
+    if any(name.rsplit("/", 1)[-1] == _SHIPPED for name in context.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("studyloom", os.path.relpath(path, root)))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, _SHIPPED)
+        with open(path, "wb") as out:
+            out.write(body.getvalue())
+        context.addPyFile(path)
