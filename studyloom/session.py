@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 # Settings that the operators are tuned for. Shuffle partition counts are left
@@ -74,8 +75,8 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     archive.write(path, os.path.join("studyloom", os.path.relpath(path, root)))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, _SHIPPED)
-        with open(path, "wb") as out:
-            out.write(body.getvalue())
-        context.addPyFile(path)
+    # the driver serves the file from its own scratch folder, which ends with the session
+    path = os.path.join(tempfile.mkdtemp(dir=SparkFiles.getRootDirectory()), _SHIPPED)
+    with open(path, "wb") as out:
+        out.write(body.getvalue())
+    context.addPyFile(path)
