@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_minhash_near_dedup")
 def minhash_near_dedup(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark, folder):
+    return repeats.removal_report(table(spark, folder, "documents"))
