@@ -9,9 +9,9 @@ collision-corrected estimate drops the hopeless ones, and every remaining pair
 is confirmed on the full shingle sets.
 
 No group is expanded into pairs: equal sets become one class first; each member
-of a band bucket meets the bucket's smallest id; only members of buckets that
-still hold several components are compared among each other, on sketches, in
-blocks of bounded size.
+of a band bucket meets a few pivots of the bucket; only members of buckets that
+still hold several components are compared across them, on sketches, in blocks
+of bounded size.
 
 Rows: null text, empty text and text without words have no shingles and stay
 alone. A row without id stays alone with a null component. Rows that share an
@@ -36,9 +36,12 @@ REGISTERS = 192
 BAND_ROWS = 4
 MANTISSA_BITS = 10
 PROBES = 64
+COLOURS = 3
+ERRORS = 4.5
 BLOCK = 256
+SMALL = 256
 
-_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>"
+_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, shingles array<int>"
 
 
 def _rule(n: int, m: int, salt: int) -> np.ndarray:
@@ -103,16 +106,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             codes = fill_empty(registers(flat, document, len(sets)))
             second = W.mix(flat ^ np.uint64(W.BASE))
-            sums = np.concatenate([[0], np.cumsum(flat, dtype=np.uint64)]).astype(np.uint64)
-            more = np.concatenate([[0], np.cumsum(second, dtype=np.uint64)]).astype(np.uint64)
+            sums, more = np.zeros((2, len(flat) + 1), dtype=np.uint64)
+            np.cumsum(flat, out=sums[1:])
+            np.cumsum(second, out=more[1:])
             values = pa.array(codes.view(np.uint64).astype(np.int64).reshape(-1))
             per = REGISTERS // 4
+            short = sizes <= SMALL
+            few = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(np.where(short, sizes, 0))]).astype(np.int32)),
+                pa.array((flat[np.repeat(short, sizes)] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+            )
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"),
                 "n_shingles": pa.array(sizes),
                 "f1": pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)),
                 "f2": pa.array((more[bounds[1:]] - more[bounds[:-1]]).view(np.int64)),
                 "sketch": pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * per + 1, per, dtype=np.int32)), values),
+                "shingles": few,
             })
 
 
@@ -133,10 +143,11 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def hopeful(equal: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs whose estimate is within six standard errors of the threshold, or above."""
+    """Pairs whose sizes allow a link and whose estimate is above the threshold less ``ERRORS`` standard errors."""
     j = percent / 100
     effective = np.clip(np.minimum(n, m), 1, REGISTERS)
-    return estimate(equal, n, m) >= j - 6 * np.sqrt(j * (1 - j) / effective)
+    near = estimate(equal, n, m) >= j - ERRORS * np.sqrt(j * (1 - j) / effective)
+    return near & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
 def _estimated(percent: int):
@@ -171,12 +182,23 @@ def _confirmed(percent: int):
     return run
 
 
+def _alike(x: frozenset, y: frozenset, n: int, m: int, percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (n + m - both)
+
+
 def _across_components(percent: int):
-    """Pairs of one block pair of a bucket that lie in different components and look alike."""
+    """Pairs of one block pair of a bucket that lie in different components and look alike.
+
+    Small sets come along whole (shortened hashes), as the estimate says little about them.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         codes = _codes(table.column("sketch").combine_chunks())
+        bands, band = codes.view(np.uint64), table.column("band")[0].as_py()
         id_, n, component, block = (table.column(c).to_numpy() for c in ("id", "n_shingles", "component", "block"))
+        sets = table.column("shingles").to_pylist()
+        sets = [None if s is None else frozenset(s) for s in sets]
         low = block == block.min()
         left, right = np.flatnonzero(low), np.flatnonzero(~low) if not low.all() else np.flatnonzero(low)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -186,6 +208,11 @@ def _across_components(percent: int):
             if low.all():
                 good &= right > i
             hit = right[good]
+            # a pair that shares several bands is found in the first of them
+            hit = hit[(bands[hit] == bands[i]).argmax(axis=1) == band]
+            if n[i] <= SMALL:
+                own = sets[i]
+                hit = hit[[n[j] > SMALL or _alike(own, sets[j], n[i], n[j], percent) for j in hit]]
             found.append((np.full(len(hit), id_[i]), id_[hit]))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, dtype=np.int64)
@@ -228,18 +255,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "heads",
     )
 
-    # members of each band bucket, against its smallest id
+    # members of each band bucket, against a few pivots: the smallest id of each colour
     bands = heads.select("id", F.posexplode("sketch").alias("band", "key"))
-    full = bands.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top")
-    buckets = kept(bands.join(kept(full.drop("top"), "pivots"), ["band", "key"]), "buckets")
+    colour = F.expr(f"pmod(xxhash64(id), {COLOURS})")
+    pivots = F.array_compact(F.array(*[F.min(F.when(colour == c, F.col("id"))) for c in range(COLOURS)]))
+    full = bands.groupBy("band", "key").agg(pivots.alias("pivots"), F.min("id").alias("low"), F.max("id").alias("top"))
+    full = kept(full.where("low <> top").select("band", "key", "pivots"), "pivots")
+    buckets = kept(bands.join(full, ["band", "key"]), "buckets")
     pairs = kept(
-        buckets.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*")).select("a", "b"),
+        buckets.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
+        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(),
         "pairs",
     )
     a = heads.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = heads.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    likely = kept(pairs.join(a, "a").join(b, "b").mapInArrow(_estimated(percent), "a long, b long"), "likely")
-    links = confirm(likely.distinct(), docs, percent)
+    likely = kept(pairs.join(a, "a").join(b, "b").mapInArrow(_estimated(percent), "a long, b long").distinct(), "likely")
+    links = confirm(likely, docs, percent)
 
     # ids of several contents, and their classes, hold together as well
     tie = members.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).join(
@@ -250,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # buckets that still hold several components: everyone across them, in blocks, on sketches
     named = buckets.join(groups, "id", "left").select(
-        "band", "key", "id", "pivot", F.coalesce("component", "id").alias("component")
+        "band", "key", "id", F.array_contains("pivots", F.col("id")).alias("pivot"), F.coalesce("component", "id").alias("component")
     )
     named = kept(named, "named")
     mixed = kept(
@@ -259,13 +290,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "mixed",
     )
     if mixed.limit(1).count():
+        members_left = kept(named.where("NOT pivot").join(mixed, ["band", "key"]), "rest")
+        small = rows.where(f"n_shingles <= {SMALL}").join(
+            members_left.select(F.col("id").alias("doc_id")).distinct(), "doc_id"
+        ).select(F.col("doc_id").alias("id"), "n_shingles", "shingles").dropDuplicates(["id", "n_shingles"])
         rest = (
-            named.where("id <> pivot").join(mixed, ["band", "key"]).join(heads, "id")
+            members_left.join(heads.join(kept(small, "small"), ["id", "n_shingles"], "left"), "id")
             .withColumn("block", F.expr("pmod(xxhash64(id, band), blocks)").cast("int"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select(
                 "band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "id", "n_shingles", "component", "block", "sketch",
+                "id", "n_shingles", "component", "block", "sketch", "shingles",
             )
         )
         found = kept(
