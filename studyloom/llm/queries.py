@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, repeats
+from . import bpe, minhash, packing, repeats, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; TOKENIZER_DIR names another folder that holds it."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -34,3 +45,18 @@ def minhash_near_dedup(spark, folder):
 @query("op4_substring_dedup")
 def substring_dedup(spark, folder):
     return repeats.removal_report(table(spark, folder, "documents"))
+
+
+@query("op3_bpe_round_trip")
+def bpe_round_trip(spark, folder):
+    return bpe.digests(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op8_best_fit_packing")
+def best_fit_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op10_token_files")
+def token_files(spark, folder):
+    return tokenfiles.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
