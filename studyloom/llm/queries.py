@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, repeats, tokenfiles, topk
+from . import bpe, minhash, ngram, packing, repeats, tokenfiles, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,12 @@ def token_files(spark, folder):
 def exact_top_k(spark, folder):
     rows = topk.quantised(table(spark, folder, "embeddings"))
     return topk.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+def remainder(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query("op7_lm_scoring")
+def lm_scoring(spark, folder):
+    return ngram.score(table(spark, folder, "documents"), remainder(7) == 2)
