@@ -32,8 +32,9 @@ from . import words as W
 from .tables import components, kept
 
 SHINGLE_WORDS = 5
-REGISTERS = 192
+REGISTERS = 128
 BAND_ROWS = 4
+BAND_BITS = 6
 MANTISSA_BITS = 10
 PROBES = 64
 COLOURS = 3
@@ -195,7 +196,7 @@ def _across_components(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         codes = _codes(table.column("sketch").combine_chunks())
-        bands, band = codes.view(np.uint64), table.column("band")[0].as_py()
+        bands, band = codes.view(np.uint64), table.column("key")[0].as_py() & ((1 << BAND_BITS) - 1)
         id_, n, component, block = (table.column(c).to_numpy() for c in ("id", "n_shingles", "component", "block"))
         sets = table.column("shingles").to_pylist()
         sets = [None if s is None else frozenset(s) for s in sets]
@@ -224,7 +225,9 @@ def _across_components(percent: int):
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are alike enough."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = kept(docs.select("doc_id", "text").join(ends, "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
+    # the ids grow with the corpus: the same join at every size
+    texts = docs.select("doc_id", "text").join(ends.hint("shuffle_merge"), "doc_id")
+    texts = kept(texts.dropDuplicates(["doc_id", "text"]), "texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return kept(
@@ -256,12 +259,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
 
     # members of each band bucket, against a few pivots: the smallest id of each colour
-    bands = heads.select("id", F.posexplode("sketch").alias("band", "key"))
+    bands = heads.select("id", F.posexplode("sketch").alias("band", "key")).select(
+        "id", F.shiftleft(F.xxhash64("key"), BAND_BITS).bitwiseOR(F.col("band").cast("long")).alias("key")
+    )
     colour = F.expr(f"pmod(xxhash64(id), {COLOURS})")
     pivots = F.array_compact(F.array(*[F.min(F.when(colour == c, F.col("id"))) for c in range(COLOURS)]))
-    full = bands.groupBy("band", "key").agg(pivots.alias("pivots"), F.min("id").alias("low"), F.max("id").alias("top"))
-    full = kept(full.where("low <> top").select("band", "key", "pivots"), "pivots")
-    buckets = kept(bands.join(full, ["band", "key"]), "buckets")
+    full = bands.groupBy("key").agg(pivots.alias("pivots"), F.min("id").alias("low"), F.max("id").alias("top"))
+    full = kept(full.where("low <> top").select("key", "pivots"), "pivots")
+    buckets = kept(bands.join(full, "key"), "buckets")
     pairs = kept(
         buckets.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(),
@@ -281,30 +286,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # buckets that still hold several components: everyone across them, in blocks, on sketches
     named = buckets.join(groups, "id", "left").select(
-        "band", "key", "id", F.array_contains("pivots", F.col("id")).alias("pivot"), F.coalesce("component", "id").alias("component")
+        "key", "id", F.array_contains("pivots", F.col("id")).alias("pivot"), F.coalesce("component", "id").alias("component")
     )
     named = kept(named, "named")
     mixed = kept(
-        named.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-        .where("x <> y").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+        .where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
         "mixed",
     )
     if mixed.limit(1).count():
-        members_left = kept(named.where("NOT pivot").join(mixed, ["band", "key"]), "rest")
+        members_left = kept(named.where("NOT pivot").join(mixed, "key"), "rest")
         small = rows.where(f"n_shingles <= {SMALL}").join(
             members_left.select(F.col("id").alias("doc_id")).distinct(), "doc_id"
         ).select(F.col("doc_id").alias("id"), "n_shingles", "shingles").dropDuplicates(["id", "n_shingles"])
         rest = (
             members_left.join(heads.join(kept(small, "small"), ["id", "n_shingles"], "left"), "id")
-            .withColumn("block", F.expr("pmod(xxhash64(id, band), blocks)").cast("int"))
+            .withColumn("block", F.expr("pmod(xxhash64(id, key), blocks)").cast("int"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select(
-                "band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                 "id", "n_shingles", "component", "block", "sketch", "shingles",
             )
         )
         found = kept(
-            rest.groupBy("band", "key", "low", "high").applyInArrow(_across_components(percent), "a long, b long").distinct(),
+            rest.groupBy("key", "low", "high").applyInArrow(_across_components(percent), "a long, b long").distinct(),
             "across",
         )
         links = links.union(confirm(found, docs, percent))
