@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, ngram, packing, repeats, tokenfiles, topk
+from . import bpe, fingerprints, minhash, ngram, packing, repeats, tokenfiles, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,29 @@ def remainder(modulus: int):
 @query("op7_lm_scoring")
 def lm_scoring(spark, folder):
     return ngram.score(table(spark, folder, "documents"), remainder(7) == 2)
+
+
+# The tables hold no redirects and no canonical links; groups of aliases are checked in the tests.
+@query("op9_url_filter", """
+    WITH u AS (
+        SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+        FROM pages
+    ), r AS (
+        SELECT *, CASE
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+        FROM u
+    )
+    SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+""")
+def url_filter(spark, folder):
+    return urlfilter.judge(table(spark, folder, "pages")).drop("alias_group")
+
+
+@query("op5_document_fingerprints")
+def document_fingerprints(spark, folder):
+    return fingerprints.edited_likeness(table(spark, folder, "documents"))
