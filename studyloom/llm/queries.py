@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, minhash, ngram, packing, repeats, tokenfiles, topk, urlfilter
+from . import bpe, fingerprints, langid, minhash, ngram, packing, repeats, tokenfiles, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,10 @@ def url_filter(spark, folder):
 @query("op5_document_fingerprints")
 def document_fingerprints(spark, folder):
     return fingerprints.edited_likeness(table(spark, folder, "documents"))
+
+
+@query("op2_language_id")
+def language_id(spark, folder):
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
+    rows = langid.predict(table(spark, folder, "documents"), remainder(4) != 2)
+    return rows.select("doc_id", held_out, "lang_pred", "score")
