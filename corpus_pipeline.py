@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
     first = kept(minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "firsts")
     # the ids grow with the corpus: the same join at every size
-    rows = docs.join(first.hint("shuffle_merge"), "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    rows = docs.join(first.hint("shuffle_merge"), "doc_id").select([f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id"])
     return rows.union(docs.where("doc_id IS NULL"))
 
 

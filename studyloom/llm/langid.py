@@ -358,4 +358,6 @@ def predict(docs: DataFrame, learn_from: Column) -> DataFrame:
 
 def accepted(docs: DataFrame, learn_from: Column, least: float) -> DataFrame:
     """The rows of ``docs``, unchanged, whose text is in some language with a score of ``least`` or more."""
-    return docs.mapInArrow(_accepted(_model(docs, learn_from), least), docs.schema)
+    # names of no meaning on the way, as those of the input may hold anything
+    plain = docs.toDF(*["text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(_accepted(_model(docs, learn_from), least), plain.schema).toDF(*docs.columns)

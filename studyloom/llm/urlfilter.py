@@ -73,11 +73,12 @@ def links(pages: DataFrame) -> DataFrame:
     ).where("a IS NOT NULL AND target <> ''")
     target = F.regexp_replace("target", "&amp;", "&")
     base = F.concat(F.lit("x://"), F.col("own_host"))
+    folder = F.regexp_replace("own_path", r"[^/]*\z", "")
     whole = (
         F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(F.startswith(target, F.lit("//")), F.concat(F.lit("x:"), target))
         .when(F.startswith(target, F.lit("/")), F.concat(base, target))
-        .otherwise(F.concat(base, F.regexp_replace("own_path", r"[^/]*\z", ""), F.lit("/"), target))
+        .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), target))
     )
     return named.select("a", address(whole).alias("b")).where("b IS NOT NULL AND a <> b")
 
