@@ -116,9 +116,9 @@ def exercise_counters(submissions: DataFrame) -> DataFrame:
 
 
 def success_rate(attempts: Column, successes: Column) -> Column:
-    """Successes per hundred attempts; 0 without attempts."""
+    """Successes per hundred attempts to one place, ties to even; 0 without attempts."""
     return F.when(attempts == 0, F.lit(0.0)).otherwise(
-        F.round(successes / F.nullif(attempts, F.lit(0)) * 100, 1)
+        F.bround(successes / F.nullif(attempts, F.lit(0)) * 100, 1)
     )
 
 

@@ -209,7 +209,7 @@ def final_results(rooms: DataFrame, participants: DataFrame, scores: DataFrame)
             "score",
             "correct_answers",
             F.col("num_questions").alias("total_questions"),
-            F.round(F.col("correct_answers") / F.nullif("num_questions", F.lit(0)) * 100, 1).alias("accuracy"),
+            F.bround(F.col("correct_answers") / F.nullif("num_questions", F.lit(0)) * 100, 1).alias("accuracy"),
             podium_xp(F.col("position")).alias("bonus_xp"),
         )
     )

@@ -27,8 +27,7 @@ def user_stats(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("user_id").agg(
         F.sum(F.coalesce("duration_seconds", F.lit(0))).alias("total_time_seconds"),
         F.count("*").alias("total_sessions"),
-        # Rounded twice: the order of summation must not decide ties.
-        F.round(F.round(F.coalesce(F.avg(quiz_score), F.lit(0.0)), 6), 1).alias("average_score"),
+        F.bround(F.coalesce(F.avg(quiz_score), F.lit(0.0)), 1).alias("average_score"),
     )
 
 

@@ -134,7 +134,7 @@ def agg_exercise_counters(spark, folder):
 @query(
     "agg_success_rate",
     f"""SELECT exercise_id, attempts_count, success_count,
-    CASE WHEN attempts_count = 0 THEN 0 ELSE round(success_count / attempts_count * 100, 1) END AS success_rate FROM ({_COUNTERS}) c""",
+    CASE WHEN attempts_count = 0 THEN 0 ELSE round_even(success_count / attempts_count * 100, 1) END AS success_rate FROM ({_COUNTERS}) c""",
 )
 def agg_success_rate(spark, folder):
     rate = ops.success_rate(F.col("attempts_count"), F.col("success_count"))
@@ -206,7 +206,7 @@ def agg_error_summary(spark, folder):
       FROM <fx_progress> p JOIN <fx_exercises> e ON e.id = p.exercise_id WHERE p.is_completed GROUP BY p.user_id, e.difficulty),
     grid AS (SELECT u.id AS user_id, d.difficulty FROM <fx_users> u CROSS JOIN (VALUES ('beginner'), ('intermediate'), ('advanced')) d(difficulty))
     SELECT g.user_id, g.difficulty, coalesce(total, 0) AS total, coalesce(completed, 0) AS completed, coalesce(completed_active, 0) AS completed_active,
-      CASE WHEN coalesce(total, 0) = 0 THEN 0 ELSE round(coalesce(completed, 0) / total * 100, 1) END AS percentage
+      CASE WHEN coalesce(total, 0) = 0 THEN 0 ELSE round_even(coalesce(completed, 0) / total * 100, 1) END AS percentage
     FROM grid g LEFT JOIN totals t ON t.difficulty = g.difficulty LEFT JOIN done d ON d.user_id = g.user_id AND d.difficulty = g.difficulty""",
 )
 def agg_progress_by_difficulty(spark, folder):
@@ -218,7 +218,7 @@ def agg_progress_by_difficulty(spark, folder):
 @query(
     "agg_overall_completion",
     """WITH t AS (SELECT count(*) AS total FROM <fx_exercises> e WHERE is_active)
-    SELECT user_id, count(*) FILTER (WHERE is_completed) AS completed, total, round(count(*) FILTER (WHERE is_completed) / total * 100, 1) AS percentage
+    SELECT user_id, count(*) FILTER (WHERE is_completed) AS completed, total, round_even(count(*) FILTER (WHERE is_completed) / total * 100, 1) AS percentage
     FROM <fx_progress> p CROSS JOIN t GROUP BY user_id, total""",
 )
 def agg_overall_completion(spark, folder):

@@ -213,7 +213,7 @@ def win_leaderboard(spark, folder):
 
 
 FINAL_SQL = f"""WITH {SCORED_SQL} SELECT k.room_id, k.user_id, k.position AS rank, k.score, k.correct_answers, r.num_questions AS total_questions,
-    round(k.correct_answers / r.num_questions * 100, 1) AS accuracy, greatest(50 - (k.position - 1) * 10, 10) AS bonus_xp
+    round_even(k.correct_answers / r.num_questions * 100, 1) AS accuracy, greatest(50 - (k.position - 1) * 10, 10) AS bonus_xp
     FROM ranked k JOIN <fx_rooms> r ON r.id = k.room_id"""
 
 

@@ -20,7 +20,7 @@ def filter_scored_quizzes(spark, folder):
 @query(
     "agg_user_stats",
     """SELECT user_id, CAST(sum(duration_seconds) AS BIGINT) AS total_time_seconds, count(*) AS total_sessions,
-    round(round(coalesce(avg(score) FILTER (WHERE activity_type = 'quiz' AND score IS NOT NULL), 0), 6), 1) AS average_score
+    round_even(coalesce(avg(score) FILTER (WHERE activity_type = 'quiz' AND score IS NOT NULL), 0), 1) AS average_score
     FROM <fx_sessions> s GROUP BY user_id""",
 )
 def agg_user_stats(spark, folder):

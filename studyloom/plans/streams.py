@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rooms
@@ -28,15 +29,45 @@ def _replay(spark, frames, build, label, mode="append", each=None):
     return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 
+def _steps(spark, frames, step, state, label):
+    """Let the frames arrive one after the other; the step's state passes on between them."""
+    root = shared_folder(spark, label)
+    schema = frames[0].schema
+    for frame in frames:
+        tables.append(frame, f"{root}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        sinks.write_steps(stream, f"{root}/out", f"{root}/checkpoint", step, state)
+    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out").drop("batch")
+
+
 def _answer_frames(spark, folder):
-    """First answers, then the whole log with all its repeats."""
-    columns = ["room_id", "user_id", "question_number", "selected_answer", "response_time"]
-    first = view(spark, folder, "fx_answers").select(*columns, F.col("answered_at").cast("timestamp").alias("ts"))
-    log = view(spark, folder, "fx_answer_log").select(*columns, F.col("ts").cast("timestamp").alias("ts"))
-    return [first, log]
+    """The log of answers with all its repeats, over three frames by time.
+
+    Rooms finish after the last frame, and everything that was said comes once
+    more after that: none of it may count.
+    """
+    log = view(spark, folder, "fx_answer_log").select(
+        F.lit("answer").alias("kind"), F.col("room_id").cast("long").alias("room_id"), F.col("user_id").cast("long").alias("user_id"),
+        F.col("question_number").cast("long").alias("question_number"), "selected_answer", "response_time", F.col("id").alias("answer_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    rooms_over = log.select("room_id").distinct().select(
+        F.lit("finished").alias("kind"), "room_id", *[F.lit(None).cast(t).alias(c) for c, t in log.dtypes[2:]]
+    )
+    return [*_by_order(log), rooms_over, log]
+
+
+def _by_order(log):
+    """A log cut by time (``ts``) into three frames."""
+    second = F.unix_seconds("ts")
+    low, high = log.agg(F.min(second), F.max(second)).first()
+    cut = [low + (high - low) // 3, low + 2 * (high - low) // 3]
+    return [log.where(second <= cut[0]), log.where((second > cut[0]) & (second <= cut[1])), log.where(second > cut[1])]
 
 
-_LIFE = "3650 days"
+def _stored_answers(spark, folder, label):
+    """First answers as the stream stores them."""
+    return _steps(spark, _answer_frames(spark, folder), live.first_answers, live.SEEN, label)
 
 
 @query(
@@ -44,17 +75,19 @@ _LIFE = "3650 days"
     "SELECT room_id, user_id, question_number, selected_answer, response_time FROM <fx_answers> a",
 )
 def stream_answer_dedup(spark, folder):
-    out = _replay(spark, _answer_frames(spark, folder), lambda s: live.first_answers(s, _LIFE), "dedup")
-    return out.drop("batch", "ts")
+    return _stored_answers(spark, folder, "dedup").select(
+        "room_id", "user_id", "question_number", "selected_answer", "response_time"
+    )
 
 
 @query(
     "stream_answer_scoring",
-    f"WITH {SCORED_SQL} SELECT room_id, user_id, question_number, is_correct, points FROM scored",
+    f"WITH {SCORED_SQL.replace('<fx_answers>', '<fx_answer_log>')} SELECT room_id, user_id, question_number, is_correct, points FROM scored",
 )
 def stream_answer_scoring(spark, folder):
+    """Every answer of the log, repeats too, as it arrives."""
     questions = view(spark, folder, "fx_questions")
-    frames = _answer_frames(spark, folder)[:1]
+    frames = _answer_frames(spark, folder)[:3]
     out = _replay(spark, frames, lambda s: live.scored_answers(s, questions), "scoring")
     return out.select("room_id", "user_id", "question_number", "is_correct", "points")
 
@@ -62,13 +95,8 @@ def stream_answer_scoring(spark, folder):
 @query("stream_participant_totals", f"WITH {SCORED_SQL} SELECT * FROM scores")
 def stream_participant_totals(spark, folder):
     """Totals over first answers only: repeats arrive and are dropped on the way."""
-    questions = view(spark, folder, "fx_questions")
-
-    def totals(stream):
-        return live.live_totals(live.scored_answers(live.first_answers(stream, _LIFE), questions))
-
-    out = _replay(spark, _answer_frames(spark, folder), totals, "totals", "update")
-    return sinks.latest(out, ["room_id", "user_id"])
+    stored = _stored_answers(spark, folder, "totals")
+    return live.live_totals(live.scored_answers(stored, view(spark, folder, "fx_questions")))
 
 
 @query(
@@ -78,10 +106,8 @@ def stream_participant_totals(spark, folder):
     FROM <fx_answer_log> s GROUP BY room_id, question_number""",
 )
 def stream_answer_histogram(spark, folder):
-    log = _answer_frames(spark, folder)[1]
-    half = F.pmod(F.xxhash64("user_id"), F.lit(2))
-    out = _replay(spark, [log.where(half == 0), log.where(half == 1)], live.live_histogram, "histogram", "update")
-    stats = sinks.latest(out, ["room_id", "question_number"])
+    frames = _answer_frames(spark, folder)[:3]
+    stats = live.live_histogram(_replay(spark, frames, lambda s: s, "histogram"))
     return stats.select(
         "room_id", "question_number", *[F.col("stats")[i].alias(n) for i, n in enumerate("abcd")], "timeouts"
     )
@@ -114,57 +140,63 @@ def stream_presence(spark, folder):
 )
 def stream_question_barrier(spark, folder):
     """First answers only count; repeats arrive and are dropped on the way."""
-    participants = view(spark, folder, "fx_participants")
+    counts = live.question_counts(_stored_answers(spark, folder, "barrier"))
+    done = live.completed_questions(counts, view(spark, folder, "fx_participants"))
+    return live.room_progress(done, view(spark, folder, "fx_rooms"))
 
-    def counts(stream):
-        return live.question_counts(live.first_answers(stream, _LIFE))
 
-    out = _replay(
-        spark,
-        _answer_frames(spark, folder),
-        counts,
-        "barrier",
-        "update",
-        lambda rows: live.completed_questions(rows, participants),
+_ASKED_SQL = """asked AS (SELECT event_id, user_id % 10 AS room_id, user_id, event_id AS question_number, ts AS asked_at, value AS response_time, CAST(event_id % 4 AS INT) AS selected_answer FROM events)"""
+
+
+def _asked_frames(spark, folder, number):
+    """Every event asks its user a question, answered after ``value`` seconds.
+
+    Questions with an answer on time and the others come by time; answers of
+    every seventh question arrive at the very end, and those of every
+    eleventh never do. All questions are closed last.
+    """
+    seconds = F.expr("make_dt_interval(0, 0, 0, CAST(value AS DECIMAL(18, 6)))")
+    events = table(spark, folder, "events").select(
+        (F.col("user_id") % 10).cast("long").alias("room_id"), F.col("user_id").cast("long").alias("user_id"),
+        number.cast("long").alias("question_number"), "event_id", (F.col("event_id") % 4).cast("int").alias("selected_answer"),
+        F.col("value").alias("response_time"), F.col("ts").cast("timestamp").alias("asked_at"),
+        (F.col("ts").cast("timestamp") + seconds).alias("ts"),
     )
-    return live.room_progress(out.drop("batch"), view(spark, folder, "fx_rooms"))
+    kinds = F.explode(F.array(F.lit("asked"), F.lit("answer"), F.lit("closed")))
+    log = events.withColumn("kind", kinds).where("kind <> 'answer' OR event_id % 11 <> 0")
+    held_back = (F.col("kind") == "answer") & (F.col("event_id") % 7 == 0)
+    first = log.where((F.col("kind") != "closed") & ~held_back)
+    return [*_by_order(first), log.where(held_back), log.where("kind = 'closed'")]
 
 
-_ASKED_SQL = """asked AS (SELECT event_id, user_id % 10 AS room_id, user_id, event_id AS question_number, ts AS asked_at, value AS response_time, CAST(event_id % 4 AS INT) AS selected_answer FROM events)"""
+_TIMED = "CASE WHEN response_time <= {limit} AND event_id % 11 <> 0 THEN {value} ELSE {other} END"
 
 
 @query(
     "stream_question_timeout",
-    f"""WITH {_ASKED_SQL} SELECT room_id, user_id, question_number, CASE WHEN response_time <= 60 THEN selected_answer ELSE -1 END AS selected_answer,
-    CASE WHEN response_time <= 60 THEN response_time ELSE 60 END AS response_time FROM asked""",
+    f"""WITH {_ASKED_SQL} SELECT room_id, user_id, question_number, {_TIMED.format(limit=60, value='selected_answer', other=-1)} AS selected_answer,
+    {_TIMED.format(limit=60, value='response_time', other=60)} AS response_time FROM asked""",
 )
 def stream_question_timeout(spark, folder):
-    """Every event asks its user a question, answered after ``value`` seconds."""
-    events = table(spark, folder, "events").select(
-        (F.col("user_id") % 10).alias("room_id"),
-        "user_id",
-        F.col("event_id").alias("question_number"),
-        (F.col("event_id") % 4).cast("int").alias("selected_answer"),
-        F.col("value").alias("response_time"),
-        F.col("ts").cast("timestamp").alias("asked_at"),
-    )
-    seconds = F.expr("make_dt_interval(0, 0, 0, CAST(response_time AS DECIMAL(18, 6)))")
-    kinds = F.explode(F.array(F.lit("asked"), F.lit("answer")))
-    log = events.withColumn("ts", F.col("asked_at") + seconds).withColumn("kind", kinds)
-    # A last question, far later, lets the watermark pass all limits.
-    end = log.agg(F.max("ts").alias("last")).select(
-        *[F.lit(-1).cast(t).alias(c) for c, t in log.dtypes if c in ("room_id", "user_id", "question_number", "selected_answer", "response_time")],
-        (F.col("last") + F.expr("INTERVAL 1 DAY")).alias("asked_at"),
-        (F.col("last") + F.expr("INTERVAL 1 DAY")).alias("ts"),
-        kinds.alias("kind"),
-    ).select(*log.columns)
+    return _steps(spark, _asked_frames(spark, folder, F.col("event_id")), live.with_timeouts, live.ASKED, "timeouts")
 
-    def timed(stream):
-        asked = stream.where("kind = 'asked'").select("room_id", "user_id", "question_number", "asked_at")
-        return live.with_timeouts(asked, stream.where("kind = 'answer'").drop("asked_at", "kind"))
 
-    out = _replay(spark, [log, end, end], timed, "timeouts")
-    return out.where("question_number >= 0").drop("batch")
+_SOLO = "CASE WHEN question_number = 1 THEN 30 ELSE 60 END"
+_SOLO_SQL = _ASKED_SQL.replace("event_id AS question_number", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS question_number")
+
+
+@query(
+    "stream_question_timeout_solo",
+    f"""WITH {_SOLO_SQL} SELECT room_id, user_id, question_number, {_TIMED.format(limit=_SOLO, value='selected_answer', other=-1)} AS selected_answer,
+    {_TIMED.format(limit=_SOLO, value='response_time', other=_SOLO)} AS response_time FROM asked""",
+)
+def stream_question_timeout_solo(spark, folder):
+    """The game of one: 30 seconds for the first question, 60 for the others."""
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _steps(
+        spark, _asked_frames(spark, folder, number),
+        lambda rows, waiting: live.with_timeouts(rows, waiting, first_limit_seconds=live.SOLO_FIRST_LIMIT_SECONDS), live.ASKED, "solo",
+    )
 
 
 @query(
@@ -204,31 +236,31 @@ def stream_final_results(spark, folder):
 
 @query(
     "stream_session_pairing",
-    """SELECT id AS session_id, user_id, topic, duration_seconds, score FROM <fx_sessions> s WHERE duration_seconds <= 12 * 3600""",
+    """SELECT id AS session_id, user_id, topic, CAST(duration_seconds + CASE WHEN id % 5 = 0 THEN 90000 ELSE 0 END AS INT) AS duration_seconds, score
+    FROM <fx_sessions> s WHERE id % 13 <> 0""",
 )
 def stream_session_pairing(spark, folder):
-    """Session starts and ends as one log of two kinds; ends of unknown sessions are mixed in."""
+    """Session starts and ends as one log over three frames; ends of unknown sessions are mixed in.
+
+    Every fifth session lasts more than a day, every thirteenth never ends,
+    and every session is ended a second time later on.
+    """
     started = view(spark, folder, "fx_sessions").select(
-        F.col("id").alias("session_id"),
-        "user_id",
-        "topic",
-        "score",
+        F.col("id").cast("long").alias("session_id"), F.col("user_id").cast("long").alias("user_id"), "topic", "score",
         F.col("start_time").cast("timestamp").alias("start_time"),
-        "duration_seconds",
+        (F.col("duration_seconds") + F.when(F.col("id") % 5 == 0, 90000).otherwise(0)).alias("seconds"),
     )
-    ended = F.col("start_time") + F.expr("make_dt_interval(0, 0, 0, duration_seconds)")
-    log = started.select("*", ended.alias("end_time"), F.explode(F.array(F.lit("start"), F.lit("end"), F.lit("lost"))).alias("kind"))
-
-    def paired(stream):
-        starts = stream.where("kind = 'start'").select("session_id", "user_id", "topic", "start_time")
-        ends = stream.where("kind <> 'start'").select(
-            F.when(F.col("kind") == "lost", -1 - F.col("session_id")).otherwise(F.col("session_id")).alias("session_id"),
-            "end_time",
-            "score",
-        )
-        return live.pair_sessions(starts, ends)
-
-    return _replay(spark, [log], paired, "pairing").drop("batch")
+    ended = F.col("start_time") + F.expr("make_dt_interval(0, 0, 0, seconds)")
+    again = ended + F.expr("INTERVAL 2 HOURS")
+    kinds = F.explode(F.array(
+        F.struct(F.lit("start").alias("kind"), F.col("start_time").alias("ts")), F.struct(F.lit("end").alias("kind"), ended.alias("ts")),
+        F.struct(F.lit("end").alias("kind"), again.alias("ts")), F.struct(F.lit("lost").alias("kind"), ended.alias("ts")),
+    ))
+    log = started.select("*", kinds.alias("k")).select(
+        F.when(F.col("k.kind") == "lost", -1 - F.col("session_id")).otherwise(F.col("session_id")).alias("session_id"),
+        "user_id", "topic", "score", "start_time", F.col("k.ts").alias("end_time"), F.col("k.kind").alias("kind"), F.col("k.ts").alias("ts"),
+    ).where("kind = 'start' OR session_id % 13 <> 0")
+    return _steps(spark, _by_order(log), live.pair_sessions, live.OPEN, "pairing")
 
 
 @query(

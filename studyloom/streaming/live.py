@@ -1,5 +1,10 @@
 """The live quiz flow on streaming DataFrames.
 
+Where rows must meet rows of earlier batches, the operator is a step (rows,
+state) -> (results, state): the state is a table of what is still open, read
+and written once per batch, and goes when the session or room ends. No length
+of time decides what is kept. Totals are taken over the stored results.
+
 ``answers``: room_id, user_id, question_number, selected_answer,
 response_time, ts. ``presence``: id, room_id, user_id, kind
 (connect/disconnect), ts. ``lifecycle``: room_id, kind, ts. Every operator has
@@ -13,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rooms as batch
+from ..operators.ordered import first_n
 
 ANSWER_KEYS = ["room_id", "user_id", "question_number"]
 ANSWER_LIMIT_SECONDS = 60
@@ -21,12 +27,30 @@ NO_ANSWER = -1
 LIFECYCLE = ["waiting", "starting", "in_progress", "finished"]
 
 
-def first_answers(answers: DataFrame, room_life: str = "2 hours") -> DataFrame:
-    """One answer per player and question, the first to arrive.
+SEEN = "room_id long, user_id long, question_number long"
+
+
+def first_answers(rows: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First answer per player and question, and what must be remembered of them.
 
-    ``room_life`` bounds the state; it must be at least as long as a room lives.
+    A step of a stream (``sinks.write_steps``). ``rows`` holds answers and,
+    with kind "finished", rooms that have ended; ``seen`` (``SEEN``) the keys
+    answered in open rooms. Within a batch the earliest answer is the first.
+    When a room ends its keys go; the room itself stays as one row without a
+    player, so that nothing is counted after its end.
     """
-    return answers.withWatermark("ts", room_life).dropDuplicatesWithinWatermark(ANSWER_KEYS)
+    open_rooms = seen.where("user_id IS NOT NULL")
+    ended = seen.where("user_id IS NULL").select("room_id")
+    answers = rows.where("kind = 'answer'")
+    order = [F.col("ts"), *[F.col(c) for c in sorted(set(answers.columns) - {"ts", *ANSWER_KEYS})]]
+    new = (
+        first_n(answers, ANSWER_KEYS, order, 1).drop("position")
+        .join(open_rooms, ANSWER_KEYS, "left_anti").join(ended, "room_id", "left_anti")
+    )
+    over = rows.where("kind = 'finished'").select("room_id").union(ended).distinct()
+    still = open_rooms.union(new.select(*ANSWER_KEYS)).join(over, "room_id", "left_anti")
+    nobody = F.lit(None).cast("long")
+    return new, still.union(over.select("room_id", nobody, nobody))
 
 
 def scored_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -35,19 +59,22 @@ def scored_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def live_totals(scored: DataFrame) -> DataFrame:
-    """Running score and number of correct answers per player (update mode)."""
+    """Score and number of correct answers per player, over the stored answers."""
     return scored.groupBy("room_id", "user_id").agg(
         F.sum("points").alias("score"), F.count_if("is_correct").alias("correct_answers")
     )
 
 
 def live_histogram(answers: DataFrame) -> DataFrame:
-    """Running answers per option of every question (update mode)."""
+    """Answers per option of every question, over the stored answers."""
     return batch.answer_histogram(answers)
 
 
 def presence(events: DataFrame) -> DataFrame:
-    """Whether each player is in the room, by the latest event (update mode)."""
+    """Whether each player is in the room, by the latest event (update mode).
+
+    One row of state for a player, as in the table of players.
+    """
     return (
         events.groupBy("room_id", "user_id")
         .agg(F.max(F.struct("ts", "id", "kind")).alias("last"))
@@ -56,7 +83,7 @@ def presence(events: DataFrame) -> DataFrame:
 
 
 def question_counts(answers: DataFrame) -> DataFrame:
-    """Running number of answers per room and question (update mode).
+    """Number of answers per room and question, over the stored answers.
 
     Counted before the shuffle as well, so one busy room is no bottleneck.
     """
@@ -95,39 +122,46 @@ def room_progress(completed: DataFrame, rooms: DataFrame, end_rule: str = "stay"
     )
 
 
+ASKED = "room_id long, user_id long, question_number long, asked_at timestamp"
+
+
 def with_timeouts(
-    asked: DataFrame,
-    answers: DataFrame,
-    limit_seconds: int = ANSWER_LIMIT_SECONDS,
-    delay: str = "10 seconds",
-) -> DataFrame:
+    rows: DataFrame, waiting: DataFrame, limit_seconds: int = ANSWER_LIMIT_SECONDS, first_limit_seconds: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Answers, and a "no answer" row for every question a player let pass.
 
-    ``asked`` has one row per player and question with the time it was shown
-    (``asked_at``). An outer join of two streams with a time bound: the missing
-    row appears once the watermark has passed the limit.
+    A step of a stream (``sinks.write_steps``). ``rows`` holds, by kind,
+    "asked" questions with the time they were shown (``asked_at``), "answer"
+    rows and "closed" questions; ``waiting`` (``ASKED``) the questions asked
+    and not yet decided. An answer decides its question whenever it arrives;
+    one given after the limit is "no answer". A question without an answer is
+    decided when it is closed. ``first_limit_seconds`` is another limit for a
+    player's first question, as in the game of one.
     """
-    left = asked.withWatermark("asked_at", delay)
-    right = answers.withWatermark("ts", delay).select(
-        *[F.col(k).alias(f"a_{k}") for k in ANSWER_KEYS], "selected_answer", "response_time", "ts"
-    )
-    same = F.lit(True)
-    for key in ANSWER_KEYS:
-        same = same & (F.col(key) == F.col(f"a_{key}"))
-    in_time = (F.col("ts") >= F.col("asked_at")) & (
-        F.col("ts") <= F.col("asked_at") + F.expr(f"INTERVAL {int(limit_seconds)} SECONDS")
+    asked = waiting.union(rows.where("kind = 'asked'").select(*ANSWER_KEYS, "asked_at"))
+    answers = first_n(rows.where("kind = 'answer'"), ANSWER_KEYS, [F.col("ts"), F.col("selected_answer"), F.col("response_time")], 1)
+    closed = rows.where("kind = 'closed'").select(*ANSWER_KEYS, F.lit(True).alias("closed")).distinct()
+    limit = F.lit(limit_seconds)
+    if first_limit_seconds is not None:
+        limit = F.when(F.col("question_number") == 1, F.lit(first_limit_seconds)).otherwise(limit)
+    late = F.col("ts") > F.col("asked_at") + F.make_dt_interval(secs=limit)
+    given = F.col("ts").isNotNull() & ~F.coalesce(late, F.lit(False))
+    all_rows = (
+        asked.join(answers.select(*ANSWER_KEYS, "selected_answer", "response_time", "ts"), ANSWER_KEYS, "left")
+        .join(closed, ANSWER_KEYS, "left")
     )
-    return left.join(right, same & in_time, "left_outer").select(
+    decided = all_rows.where("ts IS NOT NULL OR closed").select(
         *ANSWER_KEYS,
-        F.coalesce("selected_answer", F.lit(NO_ANSWER)).alias("selected_answer"),
-        F.coalesce("response_time", F.lit(float(limit_seconds))).alias("response_time"),
+        F.when(given, F.col("selected_answer")).otherwise(F.lit(NO_ANSWER)).alias("selected_answer"),
+        F.when(given, F.col("response_time")).otherwise(limit.cast("double")).alias("response_time"),
     )
+    return decided, all_rows.where("ts IS NULL AND closed IS NULL").select(*ANSWER_KEYS, "asked_at")
 
 
 def room_status(lifecycle: DataFrame) -> DataFrame:
     """Status and times of every room from its lifecycle events (update mode).
 
-    The status is the furthest one reached; a room may skip "starting".
+    One row of state for a room, as in the table of rooms. The status is the furthest one reached; a room may skip "starting".
     """
     reached = F.max(F.array_position(F.array(*[F.lit(s) for s in LIFECYCLE]), F.col("kind")))
     at = [
@@ -155,19 +189,22 @@ def finish_rooms(finished: DataFrame, rooms: DataFrame, participants: DataFrame,
     )
 
 
-def pair_sessions(starts: DataFrame, ends: DataFrame, max_gap: str = "12 hours", delay: str = "1 hour") -> DataFrame:
-    """Closed sessions from a stream of starts and one of ends.
+OPEN = "session_id long, user_id long, topic string, start_time timestamp"
 
-    ``starts``: session_id, user_id, topic, start_time. ``ends``: session_id,
-    end_time, score. An end without a start gives no row; ``max_gap`` bounds
-    the state.
+
+def pair_sessions(rows: DataFrame, opened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions that end, and those still open.
+
+    A step of a stream (``sinks.write_steps``). ``rows`` holds starts (kind
+    "start") and ends; ``opened`` (``OPEN``) the sessions without an end so
+    far, however long ago they began. The earliest end of a session counts. An
+    end without a start gives no row: starts are written before their ends.
     """
-    opened = starts.withWatermark("start_time", delay)
-    closed = ends.withWatermark("end_time", delay).withColumnRenamed("session_id", "ended_id")
-    bound = (F.col("end_time") >= F.col("start_time")) & (
-        F.col("end_time") <= F.col("start_time") + F.expr(f"INTERVAL {max_gap}")
-    )
+    starts = opened.union(rows.where("kind = 'start'").select("session_id", "user_id", "topic", "start_time"))
+    ends = rows.where("kind <> 'start'").select("session_id", "end_time", "score")
+    ends = first_n(ends, ["session_id"], [F.col("end_time"), F.col("score")], 1).drop("position")
     seconds = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000000
-    return opened.join(closed, (F.col("session_id") == F.col("ended_id")) & bound).select(
+    paired = starts.join(ends, "session_id").select(
         "session_id", "user_id", "topic", seconds.cast("int").alias("duration_seconds"), "score"
     )
+    return paired, starts.join(ends, "session_id", "left_anti")

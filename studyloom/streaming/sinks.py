@@ -33,6 +33,39 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str, each
     query.awaitTermination()
 
 
+def write_steps(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+    state: str,
+) -> None:
+    """Process what has arrived, with a table of state that passes from batch to batch.
+
+    ``step`` gets the rows of a batch and the state before it, and returns the
+    results and the state after it. Both go to a folder per batch, so a
+    repeated batch starts from the same state and overwrites its own results.
+    The state before the last one is dropped.
+    """
+    spark = stream.sparkSession
+    root = f"{path}-state"
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        before = (
+            spark.read.schema(state).parquet(f"{root}/batch={batch_id - 1}").select(*[f.split()[0] for f in state.split(", ")])
+            if batch_id else spark.createDataFrame([], state)
+        )
+        rows = rows.persist()
+        results, after = step(rows, before)
+        after.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        results.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.unpersist()
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
 def with_rocksdb(spark, action: Callable[[], None]) -> None:
     """Run ``action`` with the RocksDB state store, and put the setting back."""
     before = spark.conf.get(_PROVIDER, None)
