@@ -11,18 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import first_n
 
 NEIGHBOURS = 5
-# Up to this many queries are sent to every task (8 MiB for vectors of 1024
-# doubles); more are joined in blocks. A block pair needs one matrix of
-# BLOCK_QUERIES x BLOCK_CHUNKS doubles, 160 MiB.
-BROADCAST_QUERIES = 1024
-BLOCK_QUERIES = 1024
-BLOCK_CHUNKS = 20_000
+# A block pair needs one matrix of BLOCK_QUERIES x BLOCK_CHUNKS doubles, 40 MiB.
+BLOCK_QUERIES = 512
+BLOCK_CHUNKS = 10_000
 
 
 def _hits(queries: DataFrame, chunks: DataFrame) -> str:
@@ -50,82 +48,48 @@ def _best(query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, vectors: n
     return pd.concat(frames)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
+def _points(block: pa.Scalar, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block, a list of (id, vector)."""
+    rows = block.values
+    vectors = rows.field("vector").combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows.field("vector")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return rows.field(name).to_numpy(zero_copy_only=False), flat.reshape(len(rows), -1)
 
 
-def _scan(chunks: DataFrame, query_ids: np.ndarray, points: np.ndarray, k: int, schema: str) -> DataFrame:
-    """Queries sent to every task; the chunks stay where they are and leave at most k rows per query and task."""
-    shared = chunks.sparkSession.sparkContext.broadcast((query_ids, points))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, where = shared.value
-        kept = None
+def _nearest(k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
-                continue
-            found = _best(ids, where, batch["id"].to_numpy(), _matrix(batch["vector"]), k)
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-        if kept is not None:
-            yield kept
-
-    return chunks.select("id", "vector").mapInPandas(search, schema)
-
-
-def _blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Both sides cut into blocks of bounded size; every pair of blocks is one group."""
-    shares = max(1, -(-chunks.count() // BLOCK_CHUNKS))
-    groups = max(1, -(-queries.count() // BLOCK_QUERIES))
-
-    def spread(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = chunks.select(
-        "id",
-        "vector",
-        F.pmod(F.xxhash64("id"), F.lit(shares)).alias("share"),
-        spread(groups).alias("part"),
-    )
-    right = queries.select(
-        "query_id",
-        F.col("vector").alias("point"),
-        spread(shares).alias("share"),
-        F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"),
-    )
-
-    def search(_, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if found.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        return _best(
-            asked["query_id"].to_numpy(), _matrix(asked["point"]), found["id"].to_numpy(), _matrix(found["vector"]), k
-        )
+            for found, asked in zip(batch.column("found"), batch.column("asked")):
+                ids, vectors = _points(found, "id")
+                query_ids, points = _points(asked, "query_id")
+                yield pa.RecordBatch.from_pandas(_best(query_ids, points, ids, vectors, k), preserve_index=False)
 
-    return (
-        left.groupBy("share", "part")
-        .cogroup(right.groupBy("share", "part"))
-        .applyInPandas(search, _hits(queries, chunks))
-    )
+    return search
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """The k nearest chunks of every query by squared distance, exactly.
 
-    Counts the queries (runs a job) to choose between sending them to every
-    task and joining in blocks. In both ways a task passes on at most k rows
-    per query, never all pairs.
+    One plan for any number of queries: chunks are gathered into blocks of
+    bounded size, each moved once; the queries, in blocks as well, are sent to
+    every block of chunks, and k rows per query come back from each. Rows
+    without a vector take no part. Counts both sides (runs jobs) to fix the
+    number of blocks.
     """
     schema = _hits(queries, chunks)
-    small = queries.select("query_id", "vector").limit(BROADCAST_QUERIES + 1).toPandas()
-    order = [F.col("distance"), F.col("id")]
-    if len(small) > BROADCAST_QUERIES:
-        return first_n(_blocks(chunks, queries, k), ["query_id"], order, k, "rank")
-    if small.empty:
-        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
-    hits = _scan(chunks, small["query_id"].to_numpy(), _matrix(small["vector"]), k, schema)
-    # At most k rows for each of BROADCAST_QUERIES queries: small by construction,
-    # so a join that fetches the texts need not shuffle the chunks.
-    return F.broadcast(first_n(hits, ["query_id"], order, k, "rank"))
+    chunks = chunks.where("vector IS NOT NULL").select("id", "vector")
+    queries = queries.where("vector IS NOT NULL").select("query_id", "vector")
+    shares = max(1, -(-chunks.count() // BLOCK_CHUNKS))
+    groups = max(1, -(-queries.count() // BLOCK_QUERIES))
+    found = chunks.groupBy(F.pmod(F.xxhash64("id"), F.lit(shares)).alias("share")).agg(
+        F.collect_list(F.struct("id", "vector")).alias("found")
+    )
+    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part")).agg(
+        F.collect_list(F.struct("query_id", "vector")).alias("asked")
+    )
+    asked = asked.select("asked", F.explode(F.expr(f"sequence(0L, {shares - 1}L)")).alias("share"))
+    pairs = found.join(asked, "share").select("found", "asked")
+    return first_n(pairs.mapInArrow(_nearest(k), schema), ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
 
 
 def context(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from ..functions import text as txt
 from ..operators import corpus as ops, retrieval
 from ..session import shared_folder
 from ..sources import content, sinks
-from .layout import lay_out
 from .registry import query, table, view
 
 _UNDER = "replace({x}, '_', ' ')"
@@ -29,7 +28,10 @@ def _title_sql(x):
       row_number() OVER (PARTITION BY module, section ORDER BY file) - 1 AS file_pos FROM r WHERE n % 7 NOT IN (0, 1, 2, 3)""",
 )
 def scan_content_index(spark, folder):
-    """Index files of twenty documents each; some are broken, empty or followed by other text."""
+    """Index files of twenty documents each; some are broken, empty or followed by other text.
+
+    The texts are kept as rows of a table; the reader of real files is the same but for its scan.
+    """
     number = F.floor(F.col("doc_id") / 20)
     lists = (
         table(spark, folder, "documents")
@@ -47,9 +49,8 @@ def scan_content_index(spark, folder):
         .otherwise(F.col("body"))
     )
     name = F.concat(F.lit("m"), F.col("n").cast("string"), F.lit("_set_index.json"))
-    root = shared_folder(spark, "index")
-    lay_out(lists.select(name.alias("name"), body.alias("body")), root)
-    return content.read_content_index(spark, root)
+    files = lists.select(F.concat(F.lit("/data/"), name).alias("path"), body.alias("value"))
+    return content.index_rows(sinks.write_snapshot(files, shared_folder(spark, "index")))
 
 
 _PAGE_FILE = """CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.IPYNB' WHEN 2 THEN '.Png' ELSE '.html' END"""
@@ -61,14 +62,16 @@ _PAGE_FILE = """CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.IPYNB' WHEN 2 T
     FROM pages WHERE page_id % 4 <> 3""",
 )
 def scan_content_files(spark, folder):
-    """One file per page; the .html ones must be left out by the reader."""
+    """One file per page, as the rows a scan of files gives; the .html ones must be left out."""
     number = F.col("page_id").cast("string")
     name = F.concat(
         F.lit("m"), (F.col("page_id") % 7).cast("string"), F.lit("/page"), number, F.expr(_PAGE_FILE)
     )
-    root = shared_folder(spark, "files")
-    lay_out(table(spark, folder, "pages").select(name.alias("name"), F.col("html").alias("body")), root)
-    return content.read_content_files(spark, root).select("name", "parent", "type", "length")
+    body = F.col("html").cast("binary")
+    files = table(spark, folder, "pages").select(
+        F.concat(F.lit("/data/"), name).alias("path"), F.octet_length(body).cast("long").alias("length"), body.alias("content")
+    )
+    return content.supported(files).select("name", "parent", "type", "length")
 
 
 def _file_rows(docs, kind, body):
@@ -368,6 +371,18 @@ def knn_topk(spark, folder):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "knn_every_vector",
+    """SELECT query_id, rank, id FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+      list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)))), e.vec_id) AS rank
+      FROM embeddings q CROSS JOIN embeddings e) t WHERE rank <= 2""",
+)
+def knn_every_vector(spark, folder):
+    """As many questions as chunks: each vector asks for its nearest two."""
+    vectors = view(spark, folder, "fx_vectors")
+    return retrieval.knn(vectors.select(F.col("id").alias("query_id"), "vector"), vectors, 2).select("query_id", "rank", "id")
+
+
 @query(
     "topk_knn", f"{_KNN} SELECT h.query_id, h.rank, e.label FROM hits h JOIN embeddings e ON e.vec_id = h.id"
 )

@@ -38,6 +38,7 @@ WIDE = {
     "chunk_threshold": "first_length",
     "knn_topk": "rank",
     "topk_knn": "rank",
+    "knn_every_vector": "rank",
     "agg_tests_passed": "passed_tests total_tests",
     "topk_recent_progress": "position",
     "topk_recent_submissions": "position",

@@ -45,7 +45,11 @@ def read_content_files(spark: SparkSession, root: str) -> DataFrame:
     ``length`` and the names need no file contents: select those alone and the
     bytes are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return supported(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+
+
+def supported(files: DataFrame) -> DataFrame:
+    """Files (path, length, content) of the supported types, with names taken from their paths."""
     kind = F.lower(suffix(file_name(F.col("path"))))
     return files.where(kind.isin(TEXT_TYPES + IMAGE_TYPES)).select(
         "path",

@@ -107,7 +107,6 @@ def test_neighbours_both_ways(spark, monkeypatch):
     want = nearest(points, corpus_points, 5)
     chunks = chunks.repartition(3)
     assert ranked(retrieval.knn(queries, chunks)) == want
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 10)
     monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 8)
     monkeypatch.setattr(retrieval, "BLOCK_CHUNKS", 60)
     assert ranked(retrieval.knn(queries, chunks)) == want

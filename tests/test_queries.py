@@ -9,6 +9,8 @@ from compare import difference
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ORACLES = entry.oracle_sql()
+# Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
@@ -16,7 +18,7 @@ def test_query(spark, name):
     rows = entry.queries()[name](spark, FOLDER)
     if name in ORACLES:
         problem = difference(rows, ORACLES[name], FOLDER)
-        assert problem in ("", "no rows"), problem
+        assert problem == "" or (problem == "no rows" and name in MAY_BE_EMPTY), problem
     else:
         assert rows.count() > 0
 
