@@ -37,6 +37,29 @@ def _fixed_xp() -> Column:
     return gamify.base_xp(F.col("activity_type"), F.col("difficulty"), F.col("score"), F.lit(1))
 
 
+# The first activity of a group by (time, id), with its quiz bit, in one number:
+# a minimum of fixed width stays in a hash aggregate, one of structs does not.
+_TIME_UNIT = "100000000000000000000"
+_ID_SHIFT = "9223372036854775808"
+
+
+def _first_event() -> Column:
+    return F.min(F.expr(
+        f"CAST(unix_micros(CAST(ts AS timestamp)) AS DECIMAL(18,0)) * CAST({_TIME_UNIT} AS DECIMAL(21,0))"
+        f" + (CAST(activity_id AS DECIMAL(19,0)) + CAST({_ID_SHIFT} AS DECIMAL(19,0))) * 2"
+        " + CAST(coalesce(activity_type = 'quiz_completion', false) AS INT)"
+    ))
+
+
+def _event_id(code: str) -> Column:
+    rest = f"pmod({code}, CAST({_TIME_UNIT} AS DECIMAL(21,0)))"
+    return F.expr(f"CAST(({rest} - {rest} % 2) / 2 - CAST({_ID_SHIFT} AS DECIMAL(19,0)) AS BIGINT)")
+
+
+def _event_is_quiz(code: str) -> Column:
+    return F.expr(f"pmod({code}, 2) = 1")
+
+
 def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
     """Per (user_id, slice): streak context and XP earned before the slice.
 
@@ -51,7 +74,7 @@ def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
         .agg(
             F.sum(_fixed_xp()).alias("fixed_xp"),
             F.count_if(_is_quiz(F.col("activity_type"))).alias("quizzes"),
-            F.min(F.struct(*EVENT_ORDER, "activity_type")).alias("first_event"),
+            _first_event().alias("first_event"),
         )
         .withColumn("day", F.to_date("slice"))
     )
@@ -70,7 +93,7 @@ def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
         .withColumn("streak", (F.col("days") - F.col("run_start") + 1).cast("int"))
         .withColumn("streak_yesterday", F.coalesce(F.lag("streak").over(order), F.lit(0)))
     )
-    opening_quiz = F.col("opens_day") & _is_quiz(F.col("first_event.activity_type"))
+    opening_quiz = F.col("opens_day") & _event_is_quiz("first_event")
     slice_xp = (
         F.col("fixed_xp")
         + (F.col("quizzes") - opening_quiz.cast("int")) * gamify.streak_xp(F.col("streak"))
@@ -81,7 +104,7 @@ def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
         "slice",
         "streak",
         "streak_yesterday",
-        F.when(F.col("opens_day"), F.col("first_event.activity_id")).alias("opening_id"),
+        F.when(F.col("opens_day"), _event_id("first_event")).alias("opening_id"),
         "slice_xp",
         F.coalesce(F.sum("slice_xp").over(earlier), F.lit(0)).alias("xp_before_slice"),
     )

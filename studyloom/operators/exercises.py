@@ -128,27 +128,20 @@ def progress(submissions: DataFrame) -> DataFrame:
     The best submission is the fastest success, the earliest of equally fast
     ones.
     """
+    keys = ["user_id", "exercise_id"]
     success = F.col("status") == "success"
-    rank = F.when(success, F.struct("execution_time", "submitted_at", "id"))
-    return (
+    counts = (
         submissions.where(F.col("status").isin(GRADED))
-        .groupBy("user_id", "exercise_id")
+        .groupBy(*keys)
         .agg(
             F.count("*").alias("attempts_count"),
             F.bool_or(success).alias("is_completed"),
             F.min(F.when(success, F.col("submitted_at"))).alias("completed_at"),
-            F.min(rank).alias("best"),
-        )
-        .select(
-            "user_id",
-            "exercise_id",
-            "attempts_count",
-            "is_completed",
-            "completed_at",
-            F.col("best.id").alias("best_submission"),
-            F.col("best.execution_time").alias("best_time"),
         )
     )
+    # Ordered among successes only; the counts stay in a hash aggregate.
+    best = first_n(submissions.where(success), keys, [F.col(c) for c in ("execution_time", "submitted_at", "id")], 1)
+    return counts.join(best.select(*keys, F.col("id").alias("best_submission"), F.col("execution_time").alias("best_time")), keys, "left")
 
 
 def test_totals(submissions: DataFrame) -> DataFrame:
