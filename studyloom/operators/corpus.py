@@ -138,30 +138,41 @@ def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
     return [c for c in out if c]
 
 
-def chunk(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Pages as chunks (path, page, pos, text).
+def chunk_lists(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Pages with the list of their chunks (path, page, parts).
 
-    Files whose first page is short are kept whole. Only texts that need it go
-    through Python, in Arrow batches.
+    Files whose first page is short are kept whole. Only texts that need it are
+    cut in Python, in Arrow batches, once each.
     """
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap))
+        return texts.map(lambda t: None if t is None else split_text(t, size, overlap))
+
+    decided = pages.join(needs_split(pages.select("path", "page", "text"), size), "path")
+    parts = F.coalesce(cut(F.when(F.col("needs_split"), F.col("text"))), F.array("text"))
+    return decided.select("path", "page", parts.alias("parts"))
 
-    decided = pages.join(needs_split(pages, size), "path")
-    whole = decided.where(~F.col("needs_split")).select("path", "page", F.lit(0).alias("pos"), "text")
-    parts = decided.where("needs_split").select("path", "page", F.posexplode(cut("text")).alias("pos", "text"))
-    return whole.unionByName(parts)
+
+def chunk(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Pages as chunks (path, page, pos, text)."""
+    lists = chunk_lists(pages, size, overlap)
+    return lists.select("path", "page", F.posexplode("parts").alias("pos", "text"))
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:
-    """Chunks with id "<stem>-<i>", counting over all pages of a file.
+    """Chunks (path, page, pos, text) with id "<stem>-<i>", counting over all pages of a file."""
+    return _numbered(chunks, chunks.groupBy("path", "page").agg(F.count("*").alias("n")))
 
-    Counted per page first, so a file with very many pages is not sorted in one
-    task.
-    """
-    counts = chunks.groupBy("path", "page").agg(F.count("*").alias("n"))
+
+def listed_chunk_ids(lists: DataFrame) -> DataFrame:
+    """The same for pages with their lists of chunks; read twice, so write them first."""
+    chunks = lists.select("path", "page", F.posexplode("parts").alias("pos", "text"))
+    return _numbered(chunks, lists.select("path", "page", F.size("parts").cast("long").alias("n")))
+
+
+def _numbered(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counted per page first, so a file with very many pages is not sorted in one task."""
     paged = running_sums(
         counts.withColumn("block", F.floor(F.col("page") / PAGES_PER_SLICE)),
         ["path"],

@@ -194,7 +194,28 @@ def chunk_recursive(spark, folder):
     """Every document as a file of its own, cut into chunks with ids."""
     name = F.concat(F.lit("/data/doc"), F.col("doc_id").cast("string"), F.lit(".md"))
     pages = table(spark, folder, "documents").select(name.alias("path"), F.lit(0).alias("page"), "text")
-    return ops.chunk_ids(ops.chunk(pages)).select("id", "path", "page", "pos", "text")
+    return _chunked(spark, pages).select("id", "path", "page", "pos", "text")
+
+
+def _chunked(spark, pages):
+    """Chunks of pages with ids; the cut texts are stored, as numbering reads them twice."""
+    return ops.listed_chunk_ids(sinks.write_snapshot(ops.chunk_lists(pages), shared_folder(spark, "cut")))
+
+
+@query(
+    "chunk_recursive_words",
+    """WITH d AS (SELECT doc_id, 20 + doc_id % 700 AS n FROM documents),
+    w AS (SELECT doc_id, n, list_transform(range(0, n), lambda i: lpad(CAST((doc_id * 7919 + i * 104729) % 10000000000 AS VARCHAR), 10, '0')) AS words FROM d),
+    c AS (SELECT *, unnest(range(0, CASE WHEN n <= 91 THEN 1 ELSE 1 + CAST(ceil((n - 91) / 72) AS BIGINT) END)) AS i FROM w)
+    SELECT concat('doc', doc_id, '-', i) AS id, md5(array_to_string(CASE WHEN i = 0 THEN words[1:91] ELSE words[74 + 72 * (i - 1) : 163 + 72 * (i - 1)] END, ' ')) AS digest FROM c""",
+)
+def chunk_recursive_words(spark, folder):
+    """Texts of words of ten digits, where the places of all cuts are plain arithmetic."""
+    word = "lpad(CAST((doc_id * 7919 + i * 104729) % 10000000000 AS string), 10, '0')"
+    text = F.expr(f"array_join(transform(sequence(0L, 19 + doc_id % 700), i -> {word}), ' ')")
+    name = F.concat(F.lit("/data/doc"), F.col("doc_id").cast("string"), F.lit(".md"))
+    pages = table(spark, folder, "documents").select(name.alias("path"), F.lit(0).alias("page"), text.alias("text"))
+    return _chunked(spark, pages).select("id", F.md5("text").alias("digest"))
 
 
 @query(
