@@ -55,6 +55,11 @@ def policy_scan(submissions: DataFrame) -> DataFrame:
     )
 
 
+def with_test_call(code: Column, call: Column) -> Column:
+    """The program a test runs: the submitted code and the call, which the policy covers as well."""
+    return F.concat(code, F.lit("\n\nresult = "), call, F.lit("\nif result is not None:\n    print(result)\n"))
+
+
 def grade_runs(runs: DataFrame) -> DataFrame:
     """Grade recorded runs: success, output, error, exception_type, expected."""
     expected = strip(F.col("expected"))

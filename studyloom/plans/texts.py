@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
 from ..operators import codecheck, generated, markdown, quiztext
-from ..schemas import CHAT_PAYLOAD, SUBMISSION_PAYLOAD
+from ..schemas import ANSWER_MESSAGE, CHAT_PAYLOAD, QUIZ_SUBMISSION_PAYLOAD, SUBMISSION_PAYLOAD
 from ..session import shared_folder
 from ..sources import entities, payloads, sinks
 from .registry import query, table, view
@@ -330,6 +333,25 @@ def code_policy_scan(spark, folder):
     )
 
 
+@query(
+    "code_policy_scan_tests",
+    """WITH k AS (SELECT p_partkey AS id, p_size % 8 AS kind, p_name, p_partkey % 3 AS call FROM part)
+    SELECT id, CASE kind WHEN 1 THEN 'os' WHEN 2 THEN 'subprocess' WHEN 5 THEN 'glob,pickle' ELSE '' END AS forbidden_imports,
+      concat_ws(',', CASE WHEN kind = 6 OR contains(p_name, 'eval') OR call = 2 THEN 'eval' END, CASE WHEN kind = 3 THEN 'file' END, CASE WHEN call = 0 THEN 'open' END) AS forbidden_words,
+      CASE WHEN kind IN (1, 2, 5) THEN 'import' WHEN kind IN (3, 6) OR call <> 1 THEN 'word' ELSE 'clean' END AS verdict FROM k""",
+)
+def code_policy_scan_tests(spark, folder):
+    """The code with the call of its test behind it: two calls in three use a forbidden word."""
+    call = F.expr("CASE id % 3 WHEN 0 THEN 'f(open(\"x\"))' WHEN 1 THEN 'f(1)' ELSE 'eval(\"2\")' END")
+    code = view(spark, folder, "fx_code")
+    return codecheck.policy_scan(code.withColumn("code", codecheck.with_test_call(F.col("code"), call))).select(
+        "id",
+        F.array_join("forbidden_imports", ",").alias("forbidden_imports"),
+        F.array_join("forbidden_words", ",").alias("forbidden_words"),
+        "verdict",
+    )
+
+
 @query(
     "grade_test_runs",
     """WITH r AS (SELECT *, trim(expected) AS e, id % 7 AS kind, (SELECT 1) AS one FROM <fx_runs> r),
@@ -356,10 +378,43 @@ _BODY = """CASE event_id % 6 WHEN 0 THEN '{"code": "  "}' WHEN 1 THEN concat('{"
 )
 def scan_json_payloads(spark, folder):
     bodies = table(spark, folder, "events").select("event_id", F.expr(_BODY).alias("body"))
-    accepted, rejected = payloads.decode_payloads(bodies, SUBMISSION_PAYLOAD, "code")
-    return (
-        accepted.select("event_id", "payload.code", F.lit(None).cast("string").alias("reason"))
-        .unionByName(rejected.select("event_id", F.lit(None).cast("string").alias("code"), "reason"))
+    judged = payloads.judge_payloads(bodies, SUBMISSION_PAYLOAD, "code")
+    return judged.select("event_id", F.when(F.col("reason").isNull(), F.col("payload.code")).alias("code"), "reason")
+
+
+@query(
+    "scan_json_payloads_answer",
+    """SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN event_id % 4 END AS answer,
+    CASE event_id % 5 WHEN 0 THEN 60.0 WHEN 1 THEN value WHEN 2 THEN 60.0 WHEN 3 THEN 12.5 END AS response_time,
+    CASE WHEN event_id % 5 = 4 THEN 'Invalid JSON format' END AS reason FROM events""",
+)
+def scan_json_payloads_answer(spark, folder):
+    """Answer messages; two in five come without a time."""
+    body = """CASE event_id % 5 WHEN 0 THEN concat('{"type": "submit_answer", "answer": ', event_id % 4, '}') WHEN 1 THEN concat('{"answer": ', event_id % 4, ', "response_time": ', value, '}')
+      WHEN 2 THEN concat('{"response_time": null, "answer": ', event_id % 4, '}') WHEN 3 THEN concat('{"answer": ', event_id % 4, ', "response_time": 12.5, "more": [1]}') ELSE '{"answer": ' END"""
+    bodies = table(spark, folder, "events").select("event_id", F.expr(body).alias("body"))
+    judged = payloads.judge_payloads(bodies, ANSWER_MESSAGE)
+    time = F.when(F.col("reason").isNull(), payloads.answer_time())
+    return judged.select("event_id", F.col("payload.answer").cast("long").alias("answer"), time.alias("response_time"), "reason")
+
+
+@query(
+    "scan_json_payloads_quiz",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN event_id + 1 END AS session_id,
+    CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS n_answers, CASE event_id % 3 WHEN 0 THEN event_type END AS question,
+    CASE WHEN event_id % 3 = 2 THEN 'Invalid JSON format' END AS reason FROM events""",
+)
+def scan_json_payloads_quiz(spark, folder):
+    """Bodies of submitted quizzes; a body without answers counts as one with none."""
+    body = """CASE event_id % 3 WHEN 0 THEN concat('{"session_id": ', event_id, ', "answers": [1, null], "quiz_data": {"questions": [{"question": "', event_type, '", "options": ["a"], "correct_answer": 0}]}}')
+      WHEN 1 THEN concat('{"session_id": ', event_id + 1, '}') ELSE '["answers"' END"""
+    bodies = table(spark, folder, "events").select("event_id", F.expr(body).alias("body"))
+    judged = payloads.judge_payloads(bodies, QUIZ_SUBMISSION_PAYLOAD)
+    taken = F.col("reason").isNull()
+    return judged.select(
+        "event_id", "payload.session_id",
+        F.when(taken, F.size(F.coalesce("payload.answers", F.array().cast("array<int>"))).cast("long")).alias("n_answers"),
+        F.get("payload.quiz_data.questions", F.lit(0))["question"].alias("question"), "reason",
     )
 
 
@@ -370,11 +425,8 @@ def scan_json_payloads(spark, folder):
 )
 def scan_json_payloads_chat(spark, folder):
     bodies = table(spark, folder, "events").select("event_id", F.expr(_BODY).alias("body"))
-    accepted, rejected = payloads.decode_payloads(bodies, CHAT_PAYLOAD, "message")
-    return (
-        accepted.select("event_id", "payload.message", F.lit(None).cast("string").alias("reason"))
-        .unionByName(rejected.select("event_id", F.lit(None).cast("string").alias("message"), "reason"))
-    )
+    judged = payloads.judge_payloads(bodies, CHAT_PAYLOAD, "message")
+    return judged.select("event_id", F.when(F.col("reason").isNull(), F.col("payload.message")).alias("message"), "reason")
 
 
 @query(
@@ -435,6 +487,32 @@ def sink_owner_delete(spark, folder):
     )
 
 
+_CLOSED = """WITH gone AS (SELECT r.id FROM <fx_rooms> r WHERE r.id % 3 = 0 AND EXISTS (SELECT 1 FROM events v WHERE v.user_id = r.host_id AND v.event_type = 'error'))"""
+
+
+@query(
+    "sink_owner_delete_room",
+    f"""{_CLOSED} SELECT 'room' AS kind, id AS room_id, 0 AS user_id FROM <fx_rooms> r WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'player', room_id, user_id FROM <fx_participants> p WHERE room_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'question', room_id, question_number FROM <fx_questions> q WHERE room_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'answer', room_id, user_id FROM <fx_answers> a WHERE room_id NOT IN (SELECT id FROM gone)""",
+)
+def sink_owner_delete_room(spark, folder):
+    """Errors of users ask to delete the rooms they host and others; all that hangs on a room goes with it."""
+    asked = table(spark, folder, "events").where("event_type = 'error'").select("user_id").distinct()
+    rooms = view(spark, folder, "fx_rooms").withColumnRenamed("host_id", "owner_id")
+    requests = asked.select(F.explode(F.expr("sequence(0L, 9L, 3L)")).alias("id"), "user_id")
+    children = {name: (view(spark, folder, f"fx_{name}"), "room_id") for name in ("participants", "questions", "answers")}
+    left = sinks.delete_owned(rooms, requests, children)
+    rows = [
+        left["parent"].select(F.lit("room").alias("kind"), F.col("id").alias("room_id"), F.lit(0).alias("user_id")),
+        left["participants"].select(F.lit("player"), "room_id", "user_id"),
+        left["questions"].select(F.lit("question"), "room_id", "question_number"),
+        left["answers"].select(F.lit("answer"), "room_id", "user_id"),
+    ]
+    return functools.reduce(DataFrame.union, rows).select("kind", F.col("room_id").cast("long"), F.col("user_id").cast("long"))
+
+
 @query(
     "sink_counter_increment",
     """SELECT c.id, c.id % 5 + coalesce(n, 0) AS view_count FROM <fx_courses> c LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) v ON v.user_id = c.id""",
