@@ -49,8 +49,10 @@ HEADLINE = [
     "index_search",
     "knn_topk",
     "rag_context",
+    "scan_json_payloads",
+    "sort_search_relevance",
 ]
-ONCE = ["stream_participant_totals", "stream_xp_ledger"]
+ONCE = ["stream_participant_totals", "stream_question_barrier", "stream_session_pairing", "stream_xp_ledger"]
 
 
 def seconds(query, spark, folder) -> float:
