@@ -60,13 +60,26 @@ def _event_is_quiz(code: str) -> Column:
     return F.expr(f"pmod({code}, 2) = 1")
 
 
-def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
+ACCOUNTS = "user_id long, total long, streak int, day date"
+
+
+def _with_accounts(slices: DataFrame, accounts: DataFrame | None) -> DataFrame:
+    """Slices with what their user held before this log; nulls for a new user."""
+    held = {"total": "long", "streak": "int", "day": "date"}
+    if accounts is None:
+        return slices.select("*", *[F.lit(None).cast(t).alias(f"held_{c}") for c, t in held.items()])
+    return slices.join(accounts.select("user_id", *[F.col(c).alias(f"held_{c}") for c in held]), "user_id", "left")
+
+
+def time_slices(activity: DataFrame, grain: str = "hour", accounts: DataFrame | None = None) -> DataFrame:
     """Per (user_id, slice): streak context and XP earned before the slice.
 
     ``grain`` is the width of a slice, a day at most. Inside a day every
     activity but the first sees the streak of that day; the first sees the
     streak of the previous active day. So the XP of a slice follows from sums
-    and its first activity, without visiting single rows.
+    and its first activity, without visiting single rows. ``accounts``
+    (``ACCOUNTS``) is where users stood before this log: XP, streak and last
+    active day. Activities of an earlier day than that one count to it.
     """
     slices = (
         activity.withColumn("slice", F.date_trunc(grain, "ts"))
@@ -76,22 +89,23 @@ def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
             F.count_if(_is_quiz(F.col("activity_type"))).alias("quizzes"),
             _first_event().alias("first_event"),
         )
-        .withColumn("day", F.to_date("slice"))
     )
+    slices = _with_accounts(slices, accounts).withColumn("day", F.greatest(F.to_date("slice"), "held_day"))
     # One order for all windows, so the (user, slice) rows are sorted once. A
     # streak is the number of days so far less those before its run of days.
     order = Window.partitionBy("user_id").orderBy("slice")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.datediff("day", F.lag("day").over(order))
+    gap = F.datediff("day", F.coalesce(F.lag("day").over(order), "held_day"))
     marked = (
         slices.withColumn("gap", gap)
         .withColumn("opens_day", F.col("gap").isNull() | (F.col("gap") > 0))
         .withColumn("opens_run", F.col("gap").isNull() | (F.col("gap") > 1))
         .withColumn("days", F.count_if("opens_day").over(running))
         .withColumn("run_start", F.max(F.when(F.col("opens_run"), F.col("days"))).over(running))
-        .withColumn("streak", (F.col("days") - F.col("run_start") + 1).cast("int"))
-        .withColumn("streak_yesterday", F.coalesce(F.lag("streak").over(order), F.lit(0)))
+        # without a run of its own so far, the log goes on with the one held
+        .withColumn("streak", (F.col("days") + F.coalesce(1 - F.col("run_start"), "held_streak")).cast("int"))
+        .withColumn("streak_yesterday", F.coalesce(F.lag("streak").over(order), "held_streak", F.lit(0)))
     )
     opening_quiz = F.col("opens_day") & _event_is_quiz("first_event")
     slice_xp = (
@@ -102,26 +116,30 @@ def time_slices(activity: DataFrame, grain: str = "hour") -> DataFrame:
     return marked.withColumn("slice_xp", slice_xp).select(
         "user_id",
         "slice",
+        "day",
         "streak",
         "streak_yesterday",
         F.when(F.col("opens_day"), _event_id("first_event")).alias("opening_id"),
         "slice_xp",
-        F.coalesce(F.sum("slice_xp").over(earlier), F.lit(0)).alias("xp_before_slice"),
+        (F.coalesce(F.sum("slice_xp").over(earlier), F.lit(0)) + F.coalesce("held_total", F.lit(0))).alias("xp_before_slice"),
     )
 
 
-def with_streaks(activity: DataFrame) -> DataFrame:
+def with_streaks(activity: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """The log with ``streak`` (after the activity) and ``streak_before`` it."""
     opening = F.col("activity_id").eqNullSafe(F.col("opening_id"))
     return (
         activity.withColumn("slice", F.date_trunc("hour", "ts"))
-        .join(time_slices(activity), ["user_id", "slice"])
+        .join(time_slices(activity, accounts=accounts).drop("day"), ["user_id", "slice"])
         .withColumn("streak_before", F.when(opening, F.col("streak_yesterday")).otherwise(F.col("streak")))
     )
 
 
-def xp_ledger(activity: DataFrame) -> DataFrame:
-    """One row per activity: XP gained, running total, levels, level-up flag."""
+def xp_ledger(activity: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """One row per activity: XP gained, running total, levels, level-up flag.
+
+    ``accounts`` as in ``time_slices``.
+    """
     inside = (
         Window.partitionBy("user_id", "slice").orderBy(*EVENT_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -130,7 +148,7 @@ def xp_ledger(activity: DataFrame) -> DataFrame:
     )
     total = F.col("xp_before_slice") + F.sum("xp_gained").over(inside)
     return (
-        with_streaks(activity)
+        with_streaks(activity, accounts)
         .withColumn("xp_gained", gained)
         .withColumn("total_xp", total)
         .withColumn("old_level", gamify.level(F.col("total_xp") - F.col("xp_gained")))
@@ -151,6 +169,16 @@ def xp_ledger(activity: DataFrame) -> DataFrame:
     )
 
 
+def accounts_after(activity: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Where users stand after this log (``ACCOUNTS``), those without an activity in it too."""
+    moved = time_slices(activity, "day", accounts).groupBy("user_id").agg(
+        F.max_by(F.col("xp_before_slice") + F.col("slice_xp"), "slice").alias("total"),
+        F.max_by("streak", "slice").alias("streak"),
+        F.max("day").alias("day"),
+    )
+    return accounts.join(moved, "user_id", "left_anti").unionByName(moved)
+
+
 def learner_levels(activity: DataFrame) -> DataFrame:
     """One row per user: final XP, level, title and streaks.
 

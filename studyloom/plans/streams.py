@@ -270,9 +270,4 @@ def stream_session_pairing(spark, folder):
 def stream_xp_ledger(spark, folder):
     log = view(spark, folder, "fx_activity").withColumn("ts", F.col("ts").cast("timestamp"))
     early = F.dayofmonth("ts") <= 15
-    result = []
-    sinks.with_rocksdb(
-        spark,
-        lambda: result.append(_replay(spark, [log.where(early), log.where(~early)], ledger.live_ledger, "ledger")),
-    )
-    return result[0].drop("batch")
+    return _steps(spark, [log.where(early), log.where(~early)], ledger.live_ledger, ledger.ACCOUNTS, "ledger")

@@ -22,10 +22,6 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
-ROCKSDB_PROVIDER = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
-
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks on one machine."""

@@ -2,70 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..functions import gamify
-
-STATE = "total long, streak int, day int"
-OUTPUT = "user_id long, activity_id long, streak int, streak_before int, xp_gained long, total_xp long"
-
-
-class LedgerProcessor(StatefulProcessor):
-    """Keeps (total, streak, last day) of a user between batches.
 
-    The activities of one user in one batch are put in time order here; the
-    source's rate limits bound a batch.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.account = handle.getValueState("account", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, streak, day = self.account.get() if self.account.exists() else (0, 0, None)
-        out = []
-        log = pd.concat(list(rows)).sort_values(["ts", "activity_id"])
-        for activity, fixed, quiz, today in zip(log["activity_id"], log["fixed_xp"], log["is_quiz"], log["day"]):
-            before = streak
-            if day is None or today > day + 1:
-                streak = 1
-            elif today == day + 1:
-                streak += 1
-            day = today if day is None else max(day, today)
-            gained = int(fixed) + (min(2 * before, gamify.STREAK_XP_CAP) if quiz else 0)
-            total += gained
-            out.append((key[0], activity, streak, before, gained, total))
-        self.account.update((int(total), int(streak), int(day)))
-        yield pd.DataFrame(out, columns=["user_id", "activity_id", "streak", "streak_before", "xp_gained", "total_xp"])
+from ..operators import activity as batch
 
-    def close(self) -> None:
-        pass
+ACCOUNTS = batch.ACCOUNTS
 
 
-def live_ledger(activity: DataFrame) -> DataFrame:
-    """Ledger rows for a stream of activities (needs the RocksDB state store).
+def live_ledger(rows: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ledger rows of a batch of activities, and where every user stands after it.
 
-    Awards without the streak part are computed before, levels after the
-    stateful step, both outside Python.
+    A step of a stream (``sinks.write_steps``). ``accounts`` (``ACCOUNTS``)
+    holds one row per user: XP, streak and last active day. Within a batch
+    activities count in order of time; those of an earlier day than the user's
+    last one leave the streak as it is. As in the batch ledger, a user's rows
+    are met by (user, hour) only, so no task holds a user's whole log.
     """
-    fixed = gamify.base_xp(F.col("activity_type"), F.col("difficulty"), F.col("score"), F.lit(1))
-    prepared = activity.select(
-        "user_id",
-        "activity_id",
-        F.unix_micros("ts").alias("ts"),
-        F.unix_date(F.to_date("ts")).alias("day"),
-        fixed.alias("fixed_xp"),
-        (F.col("activity_type") == "quiz_completion").alias("is_quiz"),
-    )
-    ledger = prepared.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=LedgerProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-    )
-    return (
-        ledger.withColumn("old_level", gamify.level(F.col("total_xp") - F.col("xp_gained")))
-        .withColumn("new_level", gamify.level(F.col("total_xp")))
-        .withColumn("level_up", F.col("new_level") > F.col("old_level"))
+    ledger = batch.xp_ledger(rows, accounts).select(
+        "user_id", "activity_id", "streak", "streak_before", "xp_gained", "total_xp", "old_level", "new_level", "level_up"
     )
+    return ledger, batch.accounts_after(rows, accounts)

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import first_n
-from ..session import ROCKSDB_PROVIDER
-
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> None:
@@ -66,19 +63,6 @@ def write_steps(
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
 
 
-def with_rocksdb(spark, action: Callable[[], None]) -> None:
-    """Run ``action`` with the RocksDB state store, and put the setting back."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB_PROVIDER)
-    try:
-        action()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
-
-
 def latest(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Last written row of every key, for streams in update mode."""
     return first_n(batches, list(keys), [F.col("batch").desc()], 1).drop("batch", "position")

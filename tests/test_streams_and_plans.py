@@ -1,6 +1,7 @@
 """Steps of the streams with late and repeated rows, rounding, and plans without sorted aggregation."""
 
 import datetime
+import random
 
 import __spark_entry__ as entry
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from studyloom.operators import exercises, sessions
 from studyloom.session import shared_folder
 from studyloom.sources import sinks as tables
-from studyloom.streaming import live, sinks
+from studyloom.streaming import ledger, live, sinks
 
 
 def at(hours, seconds=0):
@@ -87,3 +88,36 @@ def test_texts_are_cut_once(spark):
     pages = spark.createDataFrame([("/d/a.md", 0, "x y " * 900)], "path string, page int, text string")
     plan = corpus.chunk_lists(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_live_ledger_with_a_hot_user(spark):
+    """A user with a third of all rows, quiet days, rows of earlier days: batch by batch as row by row."""
+    rng = random.Random(11)
+    kinds = ["course_save", "exercise_completion", "quiz_completion"]
+    schema = "activity_id long, user_id long, ts timestamp, activity_type string, difficulty string, score double"
+    days = [(0, 3), (3, 4), (6, 8), (2, 9)]  # the last frame goes back in time
+    frames = [
+        [
+            (1000 * f + i, 1 if i % 3 == 0 else rng.randrange(2, 30), at(rng.randrange(24 * a, 24 * b), rng.randrange(3600)),
+             rng.choice(kinds), "beginner", float(rng.randrange(100)))
+            for i in range(300)
+        ]
+        for f, (a, b) in enumerate(days)
+    ]
+    held, want = {}, {}
+    for frame in frames:
+        for i, user, ts, kind, _, score in sorted(frame, key=lambda r: (r[2], r[0])):
+            total, before, last = held.get(user, (0, 0, None))
+            gap = None if last is None else (ts.date() - last).days
+            streak = 1 if gap is None or gap > 1 else before + max(gap, 0)
+            gained = {"course_save": 10, "exercise_completion": 20}.get(kind, 10 + int(score / 10) + min(2 * before, 20))
+            held[user] = (total + gained, streak, ts.date() if last is None else max(last, ts.date()))
+            want[i] = (user, streak, before, gained, total + gained)
+    out, accounts = replay(spark, frames, schema, ledger.live_ledger, ledger.ACCOUNTS)
+    got = {r.activity_id: (r.user_id, r.streak, r.streak_before, r.xp_gained, r.total_xp) for r in out.collect()}
+    assert out.count() == len(got) and got == want
+    assert {r.user_id: (r.total, r.streak, r.day) for r in accounts.collect()} == held
+    # the log is dealt by user and hour, and no Python sees it
+    step, _ = ledger.live_ledger(spark.createDataFrame(frames[0], schema).cache(), spark.createDataFrame([], ledger.ACCOUNTS))
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
