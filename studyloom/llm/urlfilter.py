@@ -31,7 +31,7 @@ from .tables import components, kept
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def lower_ascii(x: Column) -> Column:
@@ -66,7 +66,7 @@ def rule_of(own_host: Column, own_path: Column, rules: Sequence[tuple[str, str,
 def links(pages: DataFrame) -> DataFrame:
     """(a, b): addresses that a redirect or canonical link joins."""
     url, html = F.col("url"), F.col("html")
-    with_links = pages.where(html.contains("anonical") | html.contains("ANONICAL") | F.lower(html).contains("refresh"))
+    with_links = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
     named = with_links.select(
         address(url).alias("a"), host(url).alias("own_host"), path(url).alias("own_path"),
         F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("target"),

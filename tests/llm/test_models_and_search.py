@@ -238,3 +238,16 @@ def test_urls(spark):
     assert (by[1].host, by[1].path) == ("a.example.net", "/x") and (by[12].host, by[12].path) == ("b:", "//c/d")
     assert (by[8].host, by[8].path, by[9].host) == ("", "", "") and by[13].alias_group == by[14].alias_group
     assert urlfilter.judge(df.limit(0)).count() == 0
+
+
+def test_urls_with_quoted_targets_and_mixed_case(spark):
+    rows = [
+        (1, "http://a.info/", "<meta http-equiv=refresh content=\"0; url='http://b.net/'\">", "block"),
+        (2, "http://c.info/", "<meta http-equiv=refresh content='0; URL = \"http://d.net/\"'>", "block"),
+        (3, "http://e.info/", "<link rel=cAnOnIcAl href=http://f.net/>", "block"),
+        (4, "http://g.info/", "<Meta Http-Equiv=\"ReFresh\" content=\"5;url=http://h.info/\">", "allow"),
+        (5, "http://i.info/", "<meta http-equiv=refresh content=\"0; url=''\">", "allow"),
+    ]
+    got = urlfilter.judge(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {r[0]: r[3] for r in rows}
+    assert {r.page_id for r in got if r.alias_group is not None} == {1, 2, 3, 4}
