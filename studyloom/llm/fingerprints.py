@@ -15,14 +15,16 @@ Null text is empty.
 
 The next document is the one with the next smaller doc_id, after the last the
 first. It is found without ordering all documents in one task: ids are cut into
-ranges of about ``RANGE`` documents, and each range also gets the first
-document of the range below. Rows that share an id follow one another in the
+ranges by counts, of at most two times ``RANGE`` documents unless more share an
+id, and each range also gets the first document of the range below. Rows that share an id follow one another in the
 order of their texts. Rows without id have no next document, which reads as an
 empty text.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +91,8 @@ def likeness(a: str, b: str) -> Column:
 
 def _below(ranges: DataFrame) -> DataFrame:
     """(r, above): for each range the next range up that holds documents; above the last comes the first."""
-    grouped = ranges.withColumn("g", F.floor(F.col("r") / GROUP))
+    groups = max(-(-ranges.count() // GROUP), 1)
+    grouped = kept(ranges.repartitionByRange(groups, "r").withColumn("g", F.spark_partition_id()), "groups")
     up = F.lead("r").over(Window.partitionBy("g").orderBy("r"))
     # one row per GROUP ranges, that is for some millions of documents
     groups = grouped.groupBy("g").agg(F.min("r").alias("low"))
@@ -98,17 +101,44 @@ def _below(ranges: DataFrame) -> DataFrame:
     return grouped.withColumn("up", up).join(groups, "g").select("r", F.coalesce("up", "next", F.lit(first)).alias("above"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows of (range, place, doc_id, text, next_text), and the first row of the range below as place -1."""
+def _split(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows of the ranges in ``cuts`` (r, low, width) in finer ranges, the others as they are."""
+    finer = F.expr("low + (doc_id - low) DIV width * width")
+    return rows.join(cuts, "r", "left").withColumn("r", F.coalesce(finer, "r")).drop("low", "width")
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with the range ``r`` they belong to, and the largest id ``top`` of each range.
+
+    A range is named by an id, ascending with its documents. Ranges of equal
+    width hold about ``RANGE`` documents where ids lie evenly. One that holds
+    more than twice as many is cut again between its own smallest and largest
+    id, until none does; only rows of one and the same id stay together.
+    Counts are taken on ids, and texts are not moved by it. Rows without id
+    have no range.
+    """
     low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     low, high, count = low or 0, high or 0, max(count, 1)
     width = max((high - low) // max(count // RANGE, 1) + 1, 1)
-    # rows without id stay apart, spread by their text
-    placed = docs.withColumn("r", F.when(F.col("doc_id").isNotNull(), F.expr(f"(doc_id - {low}L) DIV {width}L")))
-    tops = kept(placed.where("r IS NOT NULL").groupBy("r").agg(F.max("doc_id").alias("top")), "ranges")
+    docs = docs.withColumn("r", F.when(F.col("doc_id").isNotNull(), F.expr(f"{low}L + (doc_id - {low}L) DIV {width}L * {width}L")))
+    ids, tops = docs.select("doc_id", "r").where("r IS NOT NULL"), []
+    while True:
+        ranges = kept(ids.groupBy("r").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top")), "ranges")
+        large = f"n > {2 * RANGE} AND low < top"
+        tops.append(ranges.where(f"NOT ({large})").select("r", "top"))
+        cuts = ranges.where(large).select("r", "low", F.expr(f"(top - low) DIV (n DIV {RANGE}) + 1").alias("width"))
+        if cuts.isEmpty():
+            break
+        ids, docs = _split(ids.join(cuts, "r", "left_semi"), cuts), _split(docs, cuts)
+    return docs, functools.reduce(DataFrame.union, tops)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Rows of (range, place, doc_id, text, next_text), and the first row of the range below as place -1."""
+    rows, tops = placed(docs)
     ends = kept(tops.join(_below(tops.select("r")), "r").select(F.col("top").alias("doc_id"), "above"), "ends")
     tails = docs.join(ends, "doc_id").select("doc_id", "text", F.col("above").alias("r"), F.lit(True).alias("tail"))
-    rows = placed.where("r IS NOT NULL").select("doc_id", "text", "r", F.lit(False).alias("tail")).union(tails)
+    rows = rows.where("r IS NOT NULL").select("doc_id", "text", "r", F.lit(False).alias("tail")).union(tails)
     order = Window.partitionBy("r").orderBy("tail", F.col("doc_id").desc(), "text")
     return rows.select("r", F.row_number().over(order).alias("place"), "tail", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 

@@ -126,6 +126,19 @@ def test_fingerprints(make, odd, span, monkeypatch):
     assert fingerprints.edited_likeness(make(rows).limit(0)).count() == 0
 
 
+def test_ranges_hold_about_as_many_documents_wherever_ids_lie(make, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE", 4)
+    monkeypatch.setattr(fingerprints, "GROUP", 2)
+    ids = [*range(60), *range(10**6, 10**6 + 30), *(3 * 10**9 + 7 * i for i in range(30)), -5, 10**12]
+    rows = [(i, f"text {i}", None) for i in ids]
+    got = fingerprints.with_next(make(rows).select("doc_id", "text")).where("NOT tail").collect()
+    assert max(collections.Counter(r.r for r in got).values()) <= 8
+    assert {(r.doc_id, r.next_text) for r in got} == {(i, y) for i, _, y in plain_next([(i, x) for i, x, _ in rows])}
+    same = [(7, f"text {i}", None) for i in range(20)]  # one id is never cut
+    got = fingerprints.with_next(make(rows + same).select("doc_id", "text")).where("NOT tail").collect()
+    assert sorted((r.doc_id, r.text, r.next_text) for r in got) == sorted(plain_next([(i, x) for i, x, _ in rows + same]))
+
+
 # --- top k --------------------------------------------------------------------------
 
 
