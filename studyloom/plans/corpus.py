@@ -301,6 +301,19 @@ def join_module_name(spark, folder):
     return ops.with_module_name(view(spark, folder, "fx_courses"), names).select("id", "module", "module_name")
 
 
+@query(
+    "join_module_name_whole",
+    f"""WITH m AS (SELECT DISTINCT CASE WHEN starts_with(module, '01_') THEN substr(module, 4) ELSE module END AS id, concat('Name of ', module) AS name FROM <fx_index> i)
+    SELECT c.id, c.module, coalesce(m.name, {_title_sql('c.module')}) AS module_name FROM <fx_courses> c LEFT JOIN m ON m.id = c.module""",
+)
+def join_module_name_whole(spark, folder):
+    """Every module by its whole name, of any length."""
+    names = ops.modules(view(spark, folder, "fx_index")).select(
+        F.regexp_replace("module", r"\A01_", "").alias("id"), F.concat(F.lit("Name of "), F.col("module")).alias("name")
+    )
+    return ops.with_module_name(view(spark, folder, "fx_courses"), names).select("id", "module", "module_name")
+
+
 @query(
     "list_sections",
     f"""SELECT module, section, section_pos, count(file) AS files_count, {_title_sql('section')} AS name FROM <fx_index> i GROUP BY module, section, section_pos""",

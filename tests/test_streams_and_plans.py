@@ -121,3 +121,10 @@ def test_live_ledger_with_a_hot_user(spark):
     step, _ = ledger.live_ledger(spark.createDataFrame(frames[0], schema).cache(), spark.createDataFrame([], ledger.ACCOUNTS))
     plan = step._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_modules_of_all_name_lengths_are_joined(spark):
+    rows = entry.queries()["join_module_name_whole"](spark, "/root/testdata/sf0.001").select("module", "module_name").distinct().collect()
+    names = {r.module: r.module_name for r in rows}
+    assert {len(m) for m in names} == {4, 5}
+    assert all(name == f"Name of 01_{m}" for m, name in names.items() if m != "src0")
