@@ -84,16 +84,33 @@ def progress_of(progress: DataFrame, exercises: DataFrame, difficulty: str) -> D
     return progress.join(wanted, "exercise_id", "left_semi")
 
 
+def in_bucket(at: Column, bucket: str, day: str) -> Column:
+    """Whether a time falls "today", in the past "7 days", in this "month" or "year", as seen on an ISO day.
+
+    Each bucket is a half-open range of dates; one of days ends with that day.
+    """
+    today = F.to_date(F.lit(day))
+    low, high = {
+        "today": (today, F.date_add(today, 1)),
+        "7 days": (F.date_sub(today, 7), F.date_add(today, 1)),
+        "month": (F.to_date(F.trunc(today, "month")), F.add_months(F.trunc(today, "month"), 1)),
+        "year": (F.to_date(F.trunc(today, "year")), F.add_months(F.trunc(today, "year"), 12)),
+    }[bucket]
+    return (at >= low) & (at < high)
+
+
 def admin_search(
     rows: DataFrame,
     text: str,
     columns: Sequence[str],
     filters: Mapping[str, object] | None = None,
     since: tuple[str, str] | None = None,
+    bucket: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """Rows where each word of ``text`` occurs in some column, with equality filters.
 
-    ``since`` = (column, ISO date) keeps rows of that day or later.
+    ``since`` = (column, ISO date) keeps rows of that day or later; ``bucket``
+    = (column, bucket, ISO date) those of a date bucket (``in_bucket``).
     """
     for term in text.split():
         hit: Column = F.lit(False)
@@ -104,6 +121,8 @@ def admin_search(
         rows = rows.where(F.col(name) == F.lit(value))
     if since:
         rows = rows.where(F.to_date(since[0]) >= F.to_date(F.lit(since[1])))
+    if bucket:
+        rows = rows.where(in_bucket(F.col(bucket[0]), *bucket[1:]))
     return rows
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import exercises as ops
@@ -105,6 +108,29 @@ def filter_admin_search(spark, folder):
     return rows.select(*_CARD)
 
 
+_BUCKETS = {
+    "today": ("2024-03-05", "2024-03-06"), "7 days": ("2024-02-27", "2024-03-06"), "month": ("2024-03-01", "2024-04-01"), "year": ("2024-01-01", "2025-01-01"),
+}
+
+
+@query(
+    "filter_admin_buckets",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS bucket, id, title FROM <fx_exercises> e WHERE is_active AND created_at >= DATE '{low}' AND created_at < DATE '{high}'"
+        for name, (low, high) in _BUCKETS.items()
+    ),
+)
+def filter_admin_buckets(spark, folder):
+    """What the four date filters of the admin list show on 2024-03-05."""
+    rows = view(spark, folder, "fx_exercises")
+    shown = [
+        ops.admin_search(rows, "", [], {"is_active": True}, bucket=("created_at", name, "2024-03-05"))
+        .select(F.lit(name).alias("bucket"), "id", "title")
+        for name in _BUCKETS
+    ]
+    return functools.reduce(DataFrame.union, shown)
+
+
 @query(
     "filter_admin_search_joined",
     """SELECT s.id, u.username, e.title, s.status FROM <fx_attempts> s JOIN <fx_exercises> e ON e.id = s.exercise_id JOIN <fx_users> u ON u.id = s.user_id

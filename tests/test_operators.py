@@ -375,3 +375,14 @@ def test_sinks(spark):
     progress = spark.createDataFrame([(1, 7), (2, 8)], "user_id int, best_submission int")
     gone = spark.createDataFrame([(7,)], "id int")
     assert sorted(map(tuple, sinks.forget_best(progress, gone).collect())) == [(1, None), (2, 8)]
+
+
+def test_date_buckets_are_half_open(spark):
+    days = ["2023-12-31 23:59:59", "2024-01-01 00:00:00", "2024-02-26 23:59:59", "2024-02-27 00:00:00", "2024-03-05 00:00:00", "2024-03-05 23:59:59",
+            "2024-03-06 00:00:00", "2024-03-31 23:59:59", "2024-04-01 00:00:00", "2024-12-31 23:59:59", "2025-01-01 00:00:00"]
+    df = spark.createDataFrame(list(enumerate(days)), "id int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {
+        name: [r.id for r in exercises.admin_search(df, "", [], bucket=("at", name, "2024-03-05")).orderBy("id").collect()]
+        for name in ("today", "7 days", "month", "year")
+    }
+    assert got == {"today": [4, 5], "7 days": [3, 4, 5], "month": [4, 5, 6, 7], "year": list(range(1, 10))}
