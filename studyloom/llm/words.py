@@ -96,9 +96,10 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.per_text)
 
 
-def split(text: pa.Array) -> Words:
+def split(text: pa.Array, space: np.ndarray = IS_SPACE) -> Words:
+    """Words between the bytes that ``space`` marks."""
     data, offsets = raw(text)
-    solid = ~IS_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(len(data), dtype=bool)
