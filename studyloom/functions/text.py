@@ -109,9 +109,12 @@ def language(preference: Column) -> Column:
 
 
 def clamp_questions(text: Column) -> Column:
-    """Number of questions asked for; 10 unless it is a whole number from 1 to 50."""
-    digits = F.regexp_extract(F.replace(strip(text), F.lit("_"), F.lit("")), r"^([+-]?[0-9]+)$", 1)
-    number = digits.try_cast("int")
+    """Number of questions asked for; 10 unless it is a whole number from 1 to 50.
+
+    Underscores may stand between digits.
+    """
+    digits = F.regexp_extract(strip(text), r"^([+-]?[0-9]+(?:_[0-9]+)*)$", 1)
+    number = F.replace(digits, F.lit("_"), F.lit("")).try_cast("int")
     return F.when(number.between(1, 50), number).otherwise(F.lit(DEFAULT_QUESTIONS))
 
 

@@ -1,6 +1,7 @@
 """Day streaks and the experience ledger, set-wise over an activity log.
 
-``activity`` has activity_id, user_id, ts, activity_type, difficulty, score.
+``activity`` has activity_id, user_id, ts, activity_type, difficulty, score and,
+where results of rooms are among it, rank (the place in the room).
 The work is cut at time slices: everything that concerns a whole user runs on
 (user, slice) rows, which the calendar bounds, and the log itself is shuffled
 once, by (user, hour).
@@ -32,9 +33,13 @@ def _is_quiz(kind: Column) -> Column:
     return kind == "quiz_completion"
 
 
-def _fixed_xp() -> Column:
+def _rank(activity: DataFrame) -> Column:
+    return F.col("rank") if "rank" in activity.columns else F.lit(1)
+
+
+def _fixed_xp(activity: DataFrame) -> Column:
     """The part of an award that does not depend on the streak."""
-    return gamify.base_xp(F.col("activity_type"), F.col("difficulty"), F.col("score"), F.lit(1))
+    return gamify.base_xp(F.col("activity_type"), F.col("difficulty"), F.col("score"), _rank(activity))
 
 
 # The first activity of a group by (time, id), with its quiz bit, in one number:
@@ -85,7 +90,7 @@ def time_slices(activity: DataFrame, grain: str = "hour", accounts: DataFrame |
         activity.withColumn("slice", F.date_trunc(grain, "ts"))
         .groupBy("user_id", "slice")
         .agg(
-            F.sum(_fixed_xp()).alias("fixed_xp"),
+            F.sum(_fixed_xp(activity)).alias("fixed_xp"),
             F.count_if(_is_quiz(F.col("activity_type"))).alias("quizzes"),
             _first_event().alias("first_event"),
         )
@@ -125,30 +130,34 @@ def time_slices(activity: DataFrame, grain: str = "hour", accounts: DataFrame |
     )
 
 
-def with_streaks(activity: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
-    """The log with ``streak`` (after the activity) and ``streak_before`` it."""
+def with_streaks(activity: DataFrame, accounts: DataFrame | None = None, slices: DataFrame | None = None) -> DataFrame:
+    """The log with ``streak`` (after the activity) and ``streak_before`` it.
+
+    ``slices`` are its hourly ``time_slices``, where the caller has them.
+    """
+    slices = time_slices(activity, accounts=accounts) if slices is None else slices
     opening = F.col("activity_id").eqNullSafe(F.col("opening_id"))
     return (
         activity.withColumn("slice", F.date_trunc("hour", "ts"))
-        .join(time_slices(activity, accounts=accounts).drop("day"), ["user_id", "slice"])
+        .join(slices.drop("day"), ["user_id", "slice"])
         .withColumn("streak_before", F.when(opening, F.col("streak_yesterday")).otherwise(F.col("streak")))
     )
 
 
-def xp_ledger(activity: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+def xp_ledger(activity: DataFrame, accounts: DataFrame | None = None, slices: DataFrame | None = None) -> DataFrame:
     """One row per activity: XP gained, running total, levels, level-up flag.
 
-    ``accounts`` as in ``time_slices``.
+    ``accounts`` as in ``time_slices``, ``slices`` as in ``with_streaks``.
     """
     inside = (
         Window.partitionBy("user_id", "slice").orderBy(*EVENT_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     )
     gained = gamify.xp_award(
-        F.col("activity_type"), F.col("difficulty"), F.col("score"), F.col("streak_before")
+        F.col("activity_type"), F.col("difficulty"), F.col("score"), F.col("streak_before"), _rank(activity)
     )
     total = F.col("xp_before_slice") + F.sum("xp_gained").over(inside)
     return (
-        with_streaks(activity, accounts)
+        with_streaks(activity, accounts, slices)
         .withColumn("xp_gained", gained)
         .withColumn("total_xp", total)
         .withColumn("old_level", gamify.level(F.col("total_xp") - F.col("xp_gained")))
@@ -169,9 +178,9 @@ def xp_ledger(activity: DataFrame, accounts: DataFrame | None = None) -> DataFra
     )
 
 
-def accounts_after(activity: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Where users stand after this log (``ACCOUNTS``), those without an activity in it too."""
-    moved = time_slices(activity, "day", accounts).groupBy("user_id").agg(
+def accounts_after(slices: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Where users stand after a log (``ACCOUNTS``), given by its time slices; other users stay where they were."""
+    moved = slices.groupBy("user_id").agg(
         F.max_by(F.col("xp_before_slice") + F.col("slice_xp"), "slice").alias("total"),
         F.max_by("streak", "slice").alias("streak"),
         F.max("day").alias("day"),

@@ -35,11 +35,8 @@ def file_sections(files: DataFrame, index: DataFrame) -> DataFrame:
     Files in a module folder look in that module's index, files in the
     resources folder in the resources index.
     """
-    listed = (
-        index.where("file is not null")
-        .groupBy("module", F.col("file").alias("name"))
-        .agg(F.min_by("section", "section_pos").alias("section"))
-    )
+    rows = index.where("file is not null").select("module", F.col("file").alias("name"), "section", "section_pos")
+    listed = first_n(rows, ["module", "name"], [F.col("section_pos")], 1).select("module", "name", "section")
     known = modules(index).withColumn("is_module", F.lit(True))
     placed = (
         files.join(known.withColumnRenamed("module", "parent"), "parent", "left")
@@ -270,57 +267,62 @@ def _query_grams(needle):
     )
 
 
-def search_index(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Sections and files of a module whose name contains a query, best first.
+def _searched_names(index: DataFrame) -> DataFrame:
+    """Lower-cased names of sections and files, with the place that finds them again; sections have file_pos -1."""
+    sections_ = index.select("module", "section_pos", F.lit(-1).cast("long").alias("file_pos"), F.lower("section").alias("name")).distinct()
+    files = index.where("file is not null").select("module", "section_pos", "file_pos", F.lower("file").alias("name"))
+    return sections_.unionByName(files)
+
+
+def _needles(queries: DataFrame) -> DataFrame:
+    return queries.select("module", F.lower("query").alias("needle")).distinct()
+
+
+def name_postings(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """Substrings of up to three characters that the queries ask for, with the names that hold them.
+
+    The result is read twice by :func:`search_index`; write it where the index is large.
+    """
+    asked = _needles(queries).select("module", F.explode(_query_grams(F.col("needle"))).alias("gram")).distinct()
+    return _searched_names(index).withColumn("gram", F.explode(_name_grams(F.col("name")))).join(asked, ["module", "gram"], "left_semi")
+
+
+def search_index(index: DataFrame, queries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """Sections and files of a module whose name contains a query.
 
     ``queries``: query_id, module, query. A distinct query is looked up by the
     rarest of its three-character substrings, so it meets few names besides
-    its hits; then the whole query is looked for.
+    its hits; then the whole query is looked for. What else a hit shows is
+    fetched for the hits only. ``postings``: :func:`name_postings` of the two.
     """
-    block = F.floor(F.col("file_pos") / PAGES_PER_SLICE)
-    section_names = index.select("module", "section", "section_pos").distinct().select(
-        "module",
-        "section",
-        "section_pos",
-        F.lit("section").alias("type"),
-        F.lit(None).cast("string").alias("file"),
-        F.lit(-1).alias("file_pos"),
-        F.lower("section").alias("name"),
-    )
-    file_names = index.where("file is not null").select(
-        "module",
-        "section",
-        "section_pos",
-        F.lit("file").alias("type"),
-        "file",
-        "file_pos",
-        F.lower("file").alias("name"),
+    postings = name_postings(index, queries) if postings is None else postings
+    frequency = postings.groupBy("module", "gram").agg(F.count("*").alias("n"))
+    grams = _needles(queries).withColumn("gram", F.explode(_query_grams(F.col("needle")))).join(frequency, ["module", "gram"])
+    lookup = first_n(grams, ["module", "needle"], [F.col("n"), F.col("gram")], 1).select("module", "needle", "gram")
+    found = (
+        postings.join(lookup, ["module", "gram"])
+        .where(F.col("name").contains(F.col("needle")))
+        .select("module", "needle", "name", "section_pos", "file_pos")
     )
-    names = section_names.unionByName(file_names).withColumn("gram", F.explode(_name_grams(F.col("name"))))
+    none = F.lit(None).cast("string").alias("file")
+    shown = index.select("module", "section_pos", F.lit(-1).cast("long").alias("file_pos"), "section", none).distinct()
+    shown = shown.unionByName(index.where("file is not null").select("module", "section_pos", "file_pos", "section", "file"))
+    high = (F.col("file_pos") >= 0) | (F.col("name") == F.col("needle"))
     asked = queries.select("query_id", "module", F.lower("query").alias("needle"))
-    frequency = names.groupBy("module", "gram").agg(F.count("*").alias("n"))
-    lookup = (
-        asked.select("module", "needle")
-        .distinct()
-        .withColumn("gram", F.explode(_query_grams(F.col("needle"))))
-        .join(frequency, ["module", "gram"])
-        .groupBy("module", "needle")
-        .agg(F.min(F.struct("n", "gram")).alias("rarest"))
-        .select("module", "needle", "rarest.gram")
-    )
-    high = (F.col("type") == "file") | (F.col("name") == F.col("needle"))
-    hits = (
-        names.join(lookup, ["module", "gram"])
-        .where(F.col("name").contains(F.col("needle")))
+    return (
+        found.join(shown, ["module", "section_pos", "file_pos"])
         .join(asked, ["module", "needle"])
-        .withColumn("relevance", F.when(high, "high").otherwise("medium"))
-        .withColumn("lower_rank", (~high).cast("int"))
-        .withColumn("block", block)
-        .select("query_id", "module", "type", "section", "file", "relevance", "lower_rank", "section_pos", "block", "file_pos")
+        .select(
+            "query_id", "module", F.when(F.col("file_pos") < 0, "section").otherwise("file").alias("type"), "section", "file",
+            F.when(high, "high").otherwise("medium").alias("relevance"), "section_pos", "file_pos",
+        )
+    )
+
+
+def by_relevance(hits: DataFrame) -> DataFrame:
+    """Hits numbered per query: high relevance first, then in order of the index."""
+    rows = hits.withColumn("lower_rank", (F.col("relevance") != "high").cast("int")).withColumn(
+        "block", F.floor(F.col("file_pos") / PAGES_PER_SLICE)
     )
-    return positions(
-        hits,
-        ["query_id"],
-        [("lower_rank", False), ("section_pos", False), ("block", False)],
-        [F.col("file_pos")],
-    ).drop("lower_rank", "section_pos", "block", "file_pos")
+    slices = [("lower_rank", False), ("section_pos", False), ("block", False)]
+    return positions(rows, ["query_id"], slices, [F.col("file_pos")]).drop("lower_rank", "block")

@@ -179,8 +179,5 @@ def repair(texts: DataFrame, from_course: bool = False) -> DataFrame:
         .when(F.col("stage") == 2, F.col("picked"))
         .otherwise(F.col("spare"))
     )
-    return (
-        staged.withColumn("stage", stage)
-        .withColumn("exercise", chosen)
-        .select(*texts.columns, "stage", "exercise.*")
-    )
+    # held, so the later stages run once, and only for the rows that need them
+    return hold(staged.withColumn("stage", stage), "exercise", chosen).select(*texts.columns, "stage", "exercise.*")

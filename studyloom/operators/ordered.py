@@ -63,6 +63,31 @@ def positions(
     return running_sums(df, keys, slices, order, {name: F.lit(1).cast("long")})
 
 
+#: Rows that a key is sorted in at once; larger keys are cut into ``BANDS`` quantiles.
+BAND = 4096
+BANDS = 256
+
+
+def banded_positions(df: DataFrame, keys: Sequence[str], rough: Column, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Add the 1-based place of every row inside its key, by bands of about equal size.
+
+    ``rough`` is a number that never falls along ``order``. Only keys with more
+    than ``BAND`` rows are cut, at the quantiles of ``rough``, so their number
+    of bands is bounded and so is the window over them. Reads ``df`` several
+    times; write it first where it is expensive.
+    """
+    rows = df.withColumn("__rough", rough)
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > BAND).select(*keys)
+    shares = [i / BANDS for i in range(1, BANDS)]
+    cuts = rows.join(large, list(keys), "left_semi").groupBy(*keys).agg(
+        F.percentile_approx("__rough", shares, 64 * BANDS).alias("__cuts")
+    )
+    below = F.size(F.filter("__cuts", lambda c: c < F.col("__rough")))
+    banded = rows.join(cuts, list(keys), "left").withColumn("__band", F.when(F.col("__cuts").isNull(), 0).otherwise(below))
+    banded = banded.drop("__cuts", "__rough")
+    return positions(banded, keys, [("__band", False)], order, name).drop("__band")
+
+
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "position") -> DataFrame:
     """The first ``n`` rows per key, numbered from 1.
 

@@ -92,6 +92,103 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS) -> DataFrame
     return first_n(pairs.mapInArrow(_nearest(k), schema), ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
 
 
+# The inverted file is fitted on about this many vectors, drawn at random, in so many rounds.
+SAMPLE = 20_000
+ROUNDS = 10
+MOST_CELLS = 4096
+# Share of the cells that a query looks into.
+PROBED = 0.25
+
+
+def fit_cells(chunks: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> np.ndarray:
+    """Centres of the cells of an inverted file (k-means on a bounded sample).
+
+    By default the square root of the number of vectors, ``MOST_CELLS`` at most.
+    """
+    vectors = chunks.where("vector IS NOT NULL").select("id", "vector")
+    count = vectors.count()
+    if not count:
+        return np.zeros((0, 0))
+    drawn = vectors.sample(fraction=min(1.0, sample / count), seed=1).orderBy(F.xxhash64("id"), "id").limit(2 * sample)
+    points = np.array([r["vector"] for r in drawn.select("vector").collect()], dtype=np.float64)
+    if not len(points):
+        points = np.array([vectors.first()["vector"]], dtype=np.float64)
+    cells = min(cells or int(count**0.5) or 1, MOST_CELLS, len(points))
+    rng = np.random.default_rng(1)
+    centres = points[rng.choice(len(points), cells, replace=False)]
+    for _ in range(ROUNDS):
+        nearest = _nearest_cells(points, centres, 1)[:, 0]
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, points)
+        n = np.bincount(nearest, minlength=cells)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def _nearest_cells(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n nearest centres of each point, a bounded number of points at a time."""
+    norms, out = (centres**2).sum(1), []
+    for low in range(0, len(points), 4096):
+        distance = norms[None, :] - 2.0 * points[low : low + 4096] @ centres.T
+        out.append(np.argsort(distance, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
+
+
+def _with_cells(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = batch.column("vector")
+            points = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            near = _nearest_cells(points, shared.value, n)
+            cells = pa.array([row.tolist() for row in near], pa.list_(pa.int32()))
+            yield pa.record_batch([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+
+    fields = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return rows.mapInArrow(run, f"{fields}, cells array<int>")
+
+
+def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Every chunk (id, vector) with the cell it belongs to."""
+    rows = chunks.where("vector IS NOT NULL").select("id", "vector")
+    if not len(centres):
+        return rows.withColumn("cell", F.lit(0))
+    return _with_cells(rows, centres, 1).select("id", "vector", F.col("cells")[0].alias("cell"))
+
+
+def knn_probed(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = NEIGHBOURS, probes: int | None = None) -> DataFrame:
+    """The k nearest chunks of every query among those of its nearest cells.
+
+    ``indexed``: id, vector, cell. By default a query probes ``PROBED`` of the
+    cells, eight at least; with all cells the result is exact. A cell is cut
+    into blocks of bounded size, so one that holds most chunks is no bottleneck.
+    """
+    schema = _hits(queries, indexed)
+    queries = queries.where("vector IS NOT NULL").select("query_id", "vector")
+    if not len(centres):
+        return knn(queries, indexed, k)
+    probes = min(probes or max(8, int(PROBED * len(centres))), len(centres))
+    shares = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_CHUNKS).cast("int").alias("shares"))
+    found = (
+        indexed.join(shares, "cell")
+        .groupBy("cell", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"))
+        .agg(F.collect_list(F.struct("id", "vector")).alias("found"))
+    )
+    asked = _with_cells(queries, centres, probes).select("query_id", "vector", F.explode("cells").alias("cell"))
+    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
+    asked = (
+        asked.join(parts, "cell")
+        .groupBy("cell", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"))
+        .agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    )
+    asked = asked.join(shares, "cell").select("cell", "asked", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"))
+    pairs = found.join(asked, ["cell", "share"]).select("found", "asked")
+    return first_n(pairs.mapInArrow(_nearest(k), schema), ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
+
+
 def context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per query: chunk texts in rank order, parted by blank lines, and their sources.
 

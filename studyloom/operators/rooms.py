@@ -6,8 +6,8 @@ is_active. ``questions``: room_id, question_number, correct_answer.
 ``answers``: room_id, user_id, question_number, selected_answer,
 response_time, answered_at.
 
-Rankings are numbered in slices (score, joining hour), so a room with very many
-players is spread over tasks. Joins carry no hints: the optimizer broadcasts
+Rankings are numbered in bands of about equal size and the waiting list by
+joining hour, so a room with very many players is spread over tasks. Joins carry no hints: the optimizer broadcasts
 sides it has measured to be small and splits skewed ones.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.gamify import answer_points, is_correct, podium_xp
-from .ordered import positions
+from .ordered import banded_positions, positions
 
 OPEN_STATUSES = ["waiting", "starting"]
 LOBBY_ROWS = 10
@@ -183,12 +183,16 @@ def answer_histogram(answers: DataFrame) -> DataFrame:
 
 def leaderboard(participants: DataFrame, scores: DataFrame) -> DataFrame:
     """Active players by score, earlier joiners first among equals."""
-    return _by_hour(
-        with_scores(active(participants), scores),
-        [("score", True), ("joined_hour", False)],
-        [F.col("joined_at"), F.col("user_id")],
-        "position",
-    ).withColumn(
+    return ranked(with_scores(active(participants), scores))
+
+
+def ranked(players: DataFrame) -> DataFrame:
+    """Players with their scores, by place; the input is read several times."""
+    # score and second of joining in one number, in the order of places
+    top = F.lit(1 << 20)
+    rough = (top - F.greatest(F.least(F.col("score"), top), -top)) * F.lit(1 << 32) + F.unix_seconds(F.col("joined_at").cast("timestamp"))
+    order = [F.col("score").desc(), F.col("joined_at"), F.col("user_id")]
+    return banded_positions(players, ["room_id"], rough, order).withColumn(
         "medal",
         F.when(F.col("position") == 1, "gold")
         .when(F.col("position") == 2, "silver")
@@ -198,10 +202,14 @@ def leaderboard(participants: DataFrame, scores: DataFrame) -> DataFrame:
 
 def final_results(rooms: DataFrame, participants: DataFrame, scores: DataFrame) -> DataFrame:
     """Places, accuracy and bonus XP of the active players of every room."""
+    return results(rooms, leaderboard(participants, scores))
+
+
+def results(rooms: DataFrame, places: DataFrame) -> DataFrame:
+    """Places (``ranked``) with accuracy and bonus XP."""
     size = rooms.select(F.col("id").alias("room_id"), "num_questions")
     return (
-        leaderboard(participants, scores)
-        .join(size, "room_id")
+        places.join(size, "room_id")
         .select(
             "room_id",
             "user_id",

@@ -28,10 +28,7 @@ def _title_sql(x):
       row_number() OVER (PARTITION BY module, section ORDER BY file) - 1 AS file_pos FROM r WHERE n % 7 NOT IN (0, 1, 2, 3)""",
 )
 def scan_content_index(spark, folder):
-    """Index files of twenty documents each; some are broken, empty or followed by other text.
-
-    The texts are kept as rows of a table; the reader of real files is the same but for its scan.
-    """
+    """Index files of twenty documents each; some are broken, empty or followed by other text."""
     number = F.floor(F.col("doc_id") / 20)
     lists = (
         table(spark, folder, "documents")
@@ -49,8 +46,9 @@ def scan_content_index(spark, folder):
         .otherwise(F.col("body"))
     )
     name = F.concat(F.lit("m"), F.col("n").cast("string"), F.lit("_set_index.json"))
-    files = lists.select(F.concat(F.lit("/data/"), name).alias("path"), body.alias("value"))
-    return content.index_rows(sinks.write_snapshot(files, shared_folder(spark, "index")))
+    root = shared_folder(spark, "index")
+    lists.select(name.alias("file"), body.alias("value")).repartition("file").write.partitionBy("file").text(root)
+    return content.read_content_index(spark, root)
 
 
 _PAGE_FILE = """CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.IPYNB' WHEN 2 THEN '.Png' ELSE '.html' END"""
@@ -58,20 +56,17 @@ _PAGE_FILE = """CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.IPYNB' WHEN 2 T
 
 @query(
     "scan_content_files",
-    f"""SELECT concat('page', page_id, {_PAGE_FILE}) AS name, concat('m', page_id % 7) AS parent, substr({_PAGE_FILE}, 2) AS type, CAST(strlen(html) AS BIGINT) AS length
+    f"""SELECT concat('page', page_id, {_PAGE_FILE}) AS name, concat('m', page_id % 7) AS parent, substr({_PAGE_FILE}, 2) AS type, CAST(strlen(html) + 1 AS BIGINT) AS length
     FROM pages WHERE page_id % 4 <> 3""",
 )
 def scan_content_files(spark, folder):
-    """One file per page, as the rows a scan of files gives; the .html ones must be left out."""
-    number = F.col("page_id").cast("string")
-    name = F.concat(
-        F.lit("m"), (F.col("page_id") % 7).cast("string"), F.lit("/page"), number, F.expr(_PAGE_FILE)
-    )
-    body = F.col("html").cast("binary")
-    files = table(spark, folder, "pages").select(
-        F.concat(F.lit("/data/"), name).alias("path"), F.octet_length(body).cast("long").alias("length"), body.alias("content")
-    )
-    return content.supported(files).select("name", "parent", "type", "length")
+    """One file per page, ended by a line break; the .html ones must be left out."""
+    parent = F.concat(F.lit("m"), (F.col("page_id") % 7).cast("string"))
+    name = F.concat(F.lit("page"), F.col("page_id").cast("string"), F.expr(_PAGE_FILE))
+    root = shared_folder(spark, "content")
+    pages = table(spark, folder, "pages").select(parent.alias("parent"), name.alias("name"), F.col("html").alias("value"))
+    pages.repartition("parent", "name").write.partitionBy("parent", "name").text(root)
+    return content.read_content_files(spark, root).select("name", "parent", "type", "length")
 
 
 def _file_rows(docs, kind, body):
@@ -284,29 +279,13 @@ def fn_module_description(spark, folder):
     return grouped.select("module", txt.module_description(F.slice("all", 1, 3), F.col("n")).alias("description"))
 
 
-@query(
-    "join_module_name",
-    f"""WITH m AS (SELECT DISTINCT concat('src', right(module, 1)) AS id, concat('Name of ', module) AS name FROM <fx_index> i WHERE length(module) = 7)
-    SELECT c.id, c.module, coalesce(m.name, {_title_sql('c.module')}) AS module_name FROM <fx_courses> c LEFT JOIN m ON m.id = c.module""",
-)
-def join_module_name(spark, folder):
-    names = (
-        ops.modules(view(spark, folder, "fx_index"))
-        .where(F.length("module") == 7)
-        .select(
-            F.concat(F.lit("src"), F.right("module", F.lit(1))).alias("id"),
-            F.concat(F.lit("Name of "), F.col("module")).alias("name"),
-        )
-    )
-    return ops.with_module_name(view(spark, folder, "fx_courses"), names).select("id", "module", "module_name")
+_MODULE_NAME = f"""WITH m AS (SELECT DISTINCT CASE WHEN starts_with(module, '01_') THEN substr(module, 4) ELSE module END AS id, concat('Name of ', module) AS name FROM <fx_index> i)
+    SELECT c.id, c.module, coalesce(m.name, {_title_sql('c.module')}) AS module_name FROM <fx_courses> c LEFT JOIN m ON m.id = c.module"""
 
 
-@query(
-    "join_module_name_whole",
-    f"""WITH m AS (SELECT DISTINCT CASE WHEN starts_with(module, '01_') THEN substr(module, 4) ELSE module END AS id, concat('Name of ', module) AS name FROM <fx_index> i)
-    SELECT c.id, c.module, coalesce(m.name, {_title_sql('c.module')}) AS module_name FROM <fx_courses> c LEFT JOIN m ON m.id = c.module""",
-)
-def join_module_name_whole(spark, folder):
+@query("join_module_name", _MODULE_NAME)
+@query("join_module_name_whole", _MODULE_NAME)
+def join_module_name(spark, folder):
     """Every module by its whole name, of any length."""
     names = ops.modules(view(spark, folder, "fx_index")).select(
         F.regexp_replace("module", r"\A01_", "").alias("id"), F.concat(F.lit("Name of "), F.col("module")).alias("name")
@@ -340,12 +319,14 @@ def _searched(spark, folder):
         "CASE WHEN source = 'src0' THEN 'ressources' ELSE concat('01_', source) END AS module",
         "CASE doc_id % 3 WHEN 0 THEN concat('INTRO_to_', lang) WHEN 1 THEN concat('DOC', doc_id) ELSE lang END AS query",
     )
-    return ops.search_index(view(spark, folder, "fx_index"), queries)
+    index = view(spark, folder, "fx_index")
+    postings = sinks.write_snapshot(ops.name_postings(index, queries), shared_folder(spark, "postings"))
+    return ops.search_index(index, queries, postings)
 
 
 @query("index_search", f"{_SEARCH} SELECT query_id, module, type, section, file, relevance FROM hits")
 def index_search(spark, folder):
-    return _searched(spark, folder).drop("position")
+    return _searched(spark, folder).drop("section_pos", "file_pos")
 
 
 @query(
@@ -353,7 +334,7 @@ def index_search(spark, folder):
     f"""{_SEARCH} SELECT query_id, type, section, file, row_number() OVER (PARTITION BY query_id ORDER BY CASE relevance WHEN 'high' THEN 0 ELSE 1 END, section_pos, file_pos) AS position FROM hits""",
 )
 def sort_search_relevance(spark, folder):
-    return _searched(spark, folder).select("query_id", "type", "section", "file", "position")
+    return ops.by_relevance(_searched(spark, folder)).select("query_id", "type", "section", "file", "position")
 
 
 @query(
@@ -405,6 +386,14 @@ def knn_topk(spark, folder):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_index")
+def knn_index(spark, folder):
+    """The same questions through an inverted file; its recall is measured in the tests."""
+    vectors = view(spark, folder, "fx_vectors")
+    cells = retrieval.fit_cells(vectors)
+    return retrieval.knn_probed(_questions(spark, folder), retrieval.assign_cells(vectors, cells), cells)
+
+
 @query(
     "knn_every_vector",
     """SELECT query_id, rank, id FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY

@@ -108,6 +108,23 @@ def filter_admin_search(spark, folder):
     return rows.select(*_CARD)
 
 
+@query(
+    "filter_admin_progress",
+    """SELECT p.id, u.username, e.title, p.is_completed FROM <fx_progress> p JOIN <fx_users> u ON u.id = p.user_id JOIN <fx_exercises> e ON e.id = p.exercise_id
+    WHERE (contains(lower(u.username), '7') OR contains(lower(e.title), '7')) AND (contains(lower(u.username), 'o') OR contains(lower(e.title), 'o'))
+      AND p.is_completed AND e.difficulty = 'advanced' AND p.first_attempt_at >= DATE '1995-01-01' AND p.first_attempt_at < DATE '1996-01-01'""",
+)
+def filter_admin_progress(spark, folder):
+    """Progress searched by user name and exercise title, with the three filters of its list."""
+    users = view(spark, folder, "fx_users").select(F.col("id").alias("user_id"), "username")
+    cards = view(spark, folder, "fx_exercises").select(F.col("id").alias("exercise_id"), "title", "difficulty")
+    rows = view(spark, folder, "fx_progress").join(users, "user_id").join(cards, "exercise_id")
+    found = ops.admin_search(
+        rows, "7 O", ["username", "title"], {"is_completed": True, "difficulty": "advanced"}, bucket=("first_attempt_at", "year", "1995-06-01")
+    )
+    return found.select("id", "username", "title", "is_completed")
+
+
 _BUCKETS = {
     "today": ("2024-03-05", "2024-03-06"), "7 days": ("2024-02-27", "2024-03-06"), "month": ("2024-03-01", "2024-04-01"), "year": ("2024-01-01", "2025-01-01"),
 }

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import gamify
 from ..operators import rooms as ops
+from ..session import shared_folder
+from ..sources.sinks import write_snapshot
 from .registry import query, table, view
 
 
@@ -20,6 +22,12 @@ def _scores(x):
     return ops.participant_scores(x["answers"], x["questions"])
 
 
+def _players(spark, x):
+    """Active players with their scores, written once as the ranking reads them several times."""
+    players = ops.with_scores(ops.active(x["participants"]), _scores(x))
+    return write_snapshot(players, shared_folder(spark, "players"))
+
+
 SCORED_SQL = """scored AS (SELECT a.*, q.correct_answer, a.selected_answer = q.correct_answer AS is_correct,
   CASE WHEN a.selected_answer = q.correct_answer THEN 1000 + greatest(0, CAST(trunc((60 - a.response_time) / 60 * 500) AS INT)) ELSE 0 END AS points
   FROM <fx_answers> a JOIN <fx_questions> q ON a.room_id = q.room_id AND a.question_number = q.question_number),
@@ -206,8 +214,7 @@ def agg_answer_histogram(spark, folder):
     CASE position WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal FROM ranked""",
 )
 def win_leaderboard(spark, folder):
-    x = _inputs(spark, folder)
-    return ops.leaderboard(x["participants"], _scores(x)).select(
+    return ops.ranked(_players(spark, _inputs(spark, folder))).select(
         "room_id", "user_id", "score", "correct_answers", "position", "medal"
     )
 
@@ -220,7 +227,7 @@ FINAL_SQL = f"""WITH {SCORED_SQL} SELECT k.room_id, k.user_id, k.position AS ran
 @query("win_final_results", FINAL_SQL)
 def win_final_results(spark, folder):
     x = _inputs(spark, folder)
-    return ops.final_results(x["rooms"], x["participants"], _scores(x))
+    return ops.results(x["rooms"], ops.ranked(_players(spark, x)))
 
 
 @query(

@@ -192,13 +192,15 @@ def fn_language_default(spark, folder):
 @query(
     "fn_num_questions_clamp",
     """WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(CAST(floor(value) AS INT) AS VARCHAR) WHEN 1 THEN concat(' ', CAST(event_id % 60 AS VARCHAR), ' ')
-      WHEN 2 THEN event_type ELSE concat('-', CAST(event_id % 9 AS VARCHAR)) END AS asked FROM events)
-    SELECT event_id, CASE WHEN TRY_CAST(trim(asked) AS INT) BETWEEN 1 AND 50 THEN TRY_CAST(trim(asked) AS INT) ELSE 10 END AS num_questions FROM t""",
+      WHEN 2 THEN CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat('_', CAST(event_id % 9 AS VARCHAR)) ELSE concat('1_', CAST(event_id % 9 AS VARCHAR)) END ELSE concat('-', CAST(event_id % 9 AS VARCHAR)) END AS asked FROM events)
+    SELECT event_id, CASE WHEN TRY_CAST(n AS INT) BETWEEN 1 AND 50 THEN TRY_CAST(n AS INT) ELSE 10 END AS num_questions
+    FROM (SELECT event_id, CASE WHEN regexp_matches(trim(asked), '^[0-9]+_[0-9]+$') THEN replace(trim(asked), '_', '') WHEN contains(asked, '_') THEN NULL ELSE trim(asked) END AS n FROM t)""",
 )
 def fn_num_questions_clamp(spark, folder):
     asked = F.expr(
         """CASE event_id % 4 WHEN 0 THEN string(int(floor(value))) WHEN 1 THEN concat(' ', string(event_id % 60), ' ')
-        WHEN 2 THEN event_type ELSE concat('-', string(event_id % 9)) END"""
+        WHEN 2 THEN CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat('_', string(event_id % 9)) ELSE concat('1_', string(event_id % 9)) END
+        ELSE concat('-', string(event_id % 9)) END"""
     )
     return table(spark, folder, "events").select("event_id", txt.clamp_questions(asked).alias("num_questions"))
 

@@ -303,6 +303,24 @@ for _stage, _name in enumerate(["json_repair_stage1", "json_repair_stage2", "jso
         return _exercises(spark, folder).where(F.col("stage") == stage).select(*_EXERCISE_COLUMNS)
 
 
+# The course form escapes only the last line break of a value, so a text with two of them (kind 0) goes to the second stage.
+_COURSE_SQL = r"""WITH t AS (SELECT id, topic, text, id % 9 AS kind FROM <fx_exercise_text> x),
+f AS (SELECT *, CASE WHEN kind IN (1, 4, 5) THEN 1 WHEN kind IN (0, 2, 6, 7) THEN 2 ELSE 3 END AS stage,
+  regexp_extract(text, '"title":\s*"([^"]*)"', 1) AS raw_title, regexp_extract(text, '"description":\s*"([^"]*)"', 1) AS raw_description,
+  concat('# Exercise based on course: ', topic, chr(10), '# TODO: Implement your solution', chr(10), chr(10), 'def my_function():', chr(10), '    # Your code here', chr(10), '    pass') AS stub,
+  concat('# Example solution for ', topic, chr(10), chr(10), 'def my_function():', chr(10), '    return ''Hello World''') AS sample FROM t)
+SELECT id, stage, CASE WHEN stage = 3 THEN concat('Practical exercise: ', topic) ELSE raw_title END AS title,
+  CASE WHEN stage = 3 THEN concat('Practical exercise based on the course ''', topic, '''. Complete the code below to practice the learned concepts.') ELSE raw_description END AS description,
+  CASE kind WHEN 0 THEN concat('def f():', chr(10), chr(9), 'pass') WHEN 1 THEN 'a' WHEN 4 THEN concat('def h():', chr(10), '  pass') WHEN 5 THEN 'u' WHEN 6 THEN 'u' ELSE concat(stub, CASE WHEN stage = 3 THEN chr(10) ELSE '' END) END AS starter_code,
+  CASE kind WHEN 0 THEN 'x' WHEN 1 THEN 'b' WHEN 2 THEN 'return 1' WHEN 4 THEN 's' WHEN 5 THEN 'v' ELSE concat(sample, CASE WHEN stage = 3 THEN chr(10) ELSE '' END) END AS solution FROM f"""
+
+
+@query("json_repair_course", _COURSE_SQL)
+def json_repair_course(spark, folder):
+    """Exercises asked for from a course: another rule for line breaks, other placeholders."""
+    return generated.repair(view(spark, folder, "fx_exercise_text"), from_course=True).select("stage", *_EXERCISE_COLUMNS)
+
+
 @query(
     "json_repair_tests",
     """SELECT id, CASE id % 9 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN NULL ELSE 1 END AS n_tests,
@@ -453,16 +471,16 @@ def sink_append(spark, folder):
 
 @query(
     "sink_insert_if_absent",
-    """WITH fresh AS (SELECT user_id % 10 AS room_id, user_id, min(ts) AS joined_at FROM events WHERE event_type = 'signup' GROUP BY user_id
-      UNION ALL SELECT 100 + user_id % 10, user_id, min(ts) FROM events WHERE event_type = 'view' GROUP BY user_id)
+    """WITH fresh AS (SELECT user_id % 10 AS room_id, user_id, min(ts) AS joined_at FROM events WHERE event_type <> 'view' GROUP BY user_id
+      UNION ALL SELECT 100 + user_id % 10, user_id, min(ts) FROM events WHERE event_type IN ('view', 'error') GROUP BY user_id)
     SELECT p.room_id, p.user_id, p.joined_at, p.is_active OR f.user_id IS NOT NULL AS is_active FROM <fx_participants> p LEFT JOIN fresh f ON f.room_id = p.room_id AND f.user_id = p.user_id
     UNION ALL SELECT room_id, user_id, joined_at, true FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM <fx_participants> p WHERE p.room_id = f.room_id AND p.user_id = f.user_id)""",
 )
 def sink_insert_if_absent(spark, folder):
     events = table(spark, folder, "events")
     room = F.col("user_id") % 10
-    joins = events.where("event_type = 'signup'").select(room.alias("room_id"), "user_id", F.col("ts").alias("joined_at"))
-    others = events.where("event_type = 'view'").select((room + 100).alias("room_id"), "user_id", F.col("ts").alias("joined_at"))
+    joins = events.where("event_type <> 'view'").select(room.alias("room_id"), "user_id", F.col("ts").alias("joined_at"))
+    others = events.where("event_type IN ('view', 'error')").select((room + 100).alias("room_id"), "user_id", F.col("ts").alias("joined_at"))
     fresh = joins.unionByName(others).withColumn("is_active", F.lit(True))
     merged = sinks.insert_if_absent(view(spark, folder, "fx_participants"), fresh, ["room_id", "user_id"], "is_active")
     return sinks.write_snapshot(merged, shared_folder(spark, "participants"))
@@ -487,6 +505,28 @@ def sink_owner_delete(spark, folder):
     )
 
 
+_BEST_SQL = f"""{_DELETED}, lost AS (SELECT id FROM <fx_attempts> a WHERE exercise_id IN (SELECT id FROM gone)),
+best AS (SELECT user_id, min(id) AS best FROM <fx_attempts> a WHERE status = 'success' GROUP BY user_id)
+SELECT p.id, p.user_id, p.exercise_id, CASE WHEN b.best NOT IN (SELECT id FROM lost) THEN b.best END AS best_submission
+FROM <fx_progress> p LEFT JOIN best b ON b.user_id = p.user_id WHERE p.exercise_id NOT IN (SELECT id FROM gone)"""
+
+
+@query("sink_owner_delete_best", _BEST_SQL)
+def sink_owner_delete_best(spark, folder):
+    """Deleted exercises take attempts and progress with them; other progress forgets a best attempt that is gone.
+
+    Here the best attempt of a user is the first successful one on any exercise.
+    """
+    requests = table(spark, folder, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 97).alias("user_id"))
+    exercises = view(spark, folder, "fx_exercises").withColumnRenamed("created_by", "owner_id")
+    attempts = view(spark, folder, "fx_attempts")
+    best = attempts.where("status = 'success'").groupBy("user_id").agg(F.min("id").alias("best_submission"))
+    progress = view(spark, folder, "fx_progress").join(best, "user_id", "left").select("id", "user_id", "exercise_id", "best_submission")
+    left = sinks.delete_owned(exercises, requests, {"attempts": (attempts, "exercise_id"), "progress": (progress, "exercise_id")})
+    lost = attempts.select("id").join(left["attempts"].select("id"), "id", "left_anti")
+    return sinks.forget_best(left["progress"], lost)
+
+
 _CLOSED = """WITH gone AS (SELECT r.id FROM <fx_rooms> r WHERE r.id % 3 = 0 AND EXISTS (SELECT 1 FROM events v WHERE v.user_id = r.host_id AND v.event_type = 'error'))"""
 
 

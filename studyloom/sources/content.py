@@ -12,7 +12,7 @@ from ..functions.text import file_name, parent_name, suffix
 TEXT_TYPES = ["md", "ipynb", "pdf"]
 IMAGE_TYPES = ["png", "jpg", "jpeg", "avif"]
 
-_INDEX_KEY = r"([^/]*)_index\.json$"
+_INDEX_KEY = r"([^/=]*)_index\.json(?:/[^/]*)?$"
 
 
 def index_rows(files: DataFrame) -> DataFrame:
@@ -32,11 +32,11 @@ def index_rows(files: DataFrame) -> DataFrame:
 
 
 def read_content_index(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``<module>_index.json`` files of a folder."""
-    texts = spark.read.option("pathGlobFilter", "*_index.json").text(folder, wholetext=True)
-    # The name comes percent-encoded; a plus sign stands for itself.
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return index_rows(texts.select(name.alias("path"), "value"))
+    """All ``<module>_index.json`` of a folder: files, or folders of that name written by Spark."""
+    texts = spark.read.text(f"{folder}/*_index.json", wholetext=True)
+    # The path comes percent-encoded; a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return index_rows(texts.select(path.alias("path"), "value"))
 
 
 def read_content_files(spark: SparkSession, root: str) -> DataFrame:
@@ -45,7 +45,14 @@ def read_content_files(spark: SparkSession, root: str) -> DataFrame:
     ``length`` and the names need no file contents: select those alone and the
     bytes are not read.
     """
-    return supported(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return supported(files.withColumn("path", named_path(F.col("path"))))
+
+
+def named_path(path: Column) -> Column:
+    """Path of a file; for ``key=name`` folders written by Spark that of the file they are named after."""
+    whole = F.regexp_replace(path, r"(/[^/]*=[^/]*)/part-[^/]*$", "$1")
+    return F.regexp_replace(whole, r"/[^/=]+=", "/")
 
 
 def supported(files: DataFrame) -> DataFrame:

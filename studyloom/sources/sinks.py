@@ -34,9 +34,7 @@ def insert_if_absent(
     comes again. Of several new rows with one key the smallest is taken.
     """
     rest = [c for c in existing.columns if c not in keys]
-    first = (
-        new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")).select(*keys, *[f"row.{c}" for c in rest])
-    )
+    first = first_n(new, keys, [F.col(c) for c in rest], 1).select(*keys, *rest)
     added = first.join(existing, list(keys), "left_anti")
     if reactivate:
         again = new.select(*keys).distinct().withColumn("__again", F.lit(True))

@@ -1,15 +1,15 @@
 """The live quiz flow on streaming DataFrames.
 
-Where rows must meet rows of earlier batches, the operator is a step (rows,
-state) -> (results, state): the state is a table of what is still open, read
-and written once per batch, and goes when the session or room ends. No length
-of time decides what is kept. Totals are taken over the stored results.
-
-``answers``: room_id, user_id, question_number, selected_answer,
-response_time, ts. ``presence``: id, room_id, user_id, kind
-(connect/disconnect), ts. ``lifecycle``: room_id, kind, ts. Every operator has
-a batch twin with the same result; most are the batch operator itself. Event
-times must be ``timestamp``: watermarks do not take ``timestamp_ntz``.
+What must be remembered between batches lies in the state store (``state``); it
+goes when the session, question or room ends, and no length of time decides
+what counts. Results come after every batch.
+
+``answers``: kind ("answer", and "finished" rows without a user for rooms that
+end), room_id, user_id, question_number, selected_answer, response_time, ts.
+``presence``: id, room_id, user_id, kind (connect/disconnect), ts.
+``lifecycle``: room_id, kind, ts. Every operator has a batch twin with the same
+result; most are the batch operator itself. Event times must be ``timestamp``:
+streams do not take ``timestamp_ntz``.
 """
 
 from __future__ import annotations
@@ -17,40 +17,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.gamify import answer_points, is_correct
 from ..operators import rooms as batch
-from ..operators.ordered import first_n
+from . import state
 
-ANSWER_KEYS = ["room_id", "user_id", "question_number"]
 ANSWER_LIMIT_SECONDS = 60
 SOLO_FIRST_LIMIT_SECONDS = 30
-NO_ANSWER = -1
 LIFECYCLE = ["waiting", "starting", "in_progress", "finished"]
 
 
-SEEN = "room_id long, user_id long, question_number long"
+def first_answers(rows: DataFrame) -> DataFrame:
+    """First answer per player and question, as it comes (append mode).
 
-
-def first_answers(rows: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First answer per player and question, and what must be remembered of them.
-
-    A step of a stream (``sinks.write_steps``). ``rows`` holds answers and,
-    with kind "finished", rooms that have ended; ``seen`` (``SEEN``) the keys
-    answered in open rooms. Within a batch the earliest answer is the first.
-    When a room ends its keys go; the room itself stays as one row without a
-    player, so that nothing is counted after its end.
+    Within a batch the earliest answer is the first. After a room's end nothing counts.
     """
-    open_rooms = seen.where("user_id IS NOT NULL")
-    ended = seen.where("user_id IS NULL").select("room_id")
-    answers = rows.where("kind = 'answer'")
-    order = [F.col("ts"), *[F.col(c) for c in sorted(set(answers.columns) - {"ts", *ANSWER_KEYS})]]
-    new = (
-        first_n(answers, ANSWER_KEYS, order, 1).drop("position")
-        .join(open_rooms, ANSWER_KEYS, "left_anti").join(ended, "room_id", "left_anti")
-    )
-    over = rows.where("kind = 'finished'").select("room_id").union(ended).distinct()
-    still = open_rooms.union(new.select(*ANSWER_KEYS)).join(over, "room_id", "left_anti")
-    nobody = F.lit(None).cast("long")
-    return new, still.union(over.select("room_id", nobody, nobody))
+    return state.answers(rows, "answers")
 
 
 def scored_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -58,16 +39,33 @@ def scored_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return batch.score_answers(answers, questions)
 
 
-def live_totals(scored: DataFrame) -> DataFrame:
-    """Score and number of correct answers per player, over the stored answers."""
-    return scored.groupBy("room_id", "user_id").agg(
-        F.sum("points").alias("score"), F.count_if("is_correct").alias("correct_answers")
+def _scored(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answers with points, ended rooms as they are."""
+    key = questions.select("room_id", "question_number", "correct_answer")
+    hit = is_correct(F.col("selected_answer"), F.col("correct_answer"))
+    return (
+        rows.join(key, ["room_id", "question_number"], "left")
+        .where("kind = 'finished' OR correct_answer IS NOT NULL")
+        .withColumns({"is_correct": hit, "points": answer_points(hit, F.col("response_time"))})
     )
 
 
-def live_histogram(answers: DataFrame) -> DataFrame:
-    """Answers per option of every question, over the stored answers."""
-    return batch.answer_histogram(answers)
+def live_totals(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Score and number of correct answers of the players who gave a first answer (update mode)."""
+    return state.answers(_scored(rows, questions), "totals")
+
+
+def totals_at_end(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Totals of all players of the rooms that end, and a row without a player for each of those rooms (append mode)."""
+    return state.answers(_scored(rows, questions), "results")
+
+
+def live_histogram(rows: DataFrame) -> DataFrame:
+    """Answers per option of the questions that were answered (update mode).
+
+    Counted before the shuffle as well, so one busy room is no bottleneck.
+    """
+    return state.histogram(rows)
 
 
 def presence(events: DataFrame) -> DataFrame:
@@ -82,80 +80,35 @@ def presence(events: DataFrame) -> DataFrame:
     )
 
 
-def question_counts(answers: DataFrame) -> DataFrame:
-    """Number of answers per room and question, over the stored answers.
+def attendance(rows: DataFrame) -> DataFrame:
+    """What changes in a room: players present and first answers per question (append mode).
 
-    Counted before the shuffle as well, so one busy room is no bottleneck.
+    ``rows`` holds answers and presence events, and rooms that end. A log of
+    this (``sinks.write_log``) is what :func:`room_progress` reads.
     """
-    return answers.groupBy("room_id", "question_number").agg(F.count("*").alias("answered"))
+    return state.attendance(rows)
 
 
-def completed_questions(counts: DataFrame, participants: DataFrame) -> DataFrame:
-    """Questions answered by as many as there are active players."""
-    players = batch.room_players(participants)
-    return counts.join(players, "room_id").where(F.col("answered") >= F.col("player_count")).select(
-        "room_id", "question_number"
-    )
-
-
-def room_progress(completed: DataFrame, rooms: DataFrame, end_rule: str = "stay") -> DataFrame:
-    """Where each room stands after its completed questions.
+def room_progress(changes: DataFrame, rooms: DataFrame, end_rule: str = "stay") -> DataFrame:
+    """Where each room stands: it moves on when as many have answered as are present (update mode).
 
-    A room moves on while the questions from the first on are complete. At the
-    end ``end_rule`` "stay" keeps it at the last question, "pass" moves it one
-    past. ``completed`` may hold repeats; a room has at most 50 questions.
+    At the end ``end_rule`` "stay" keeps a room at the last question, "pass"
+    moves it one past.
     """
-    if end_rule not in ("stay", "pass"):
-        raise ValueError(f"unknown end rule {end_rule!r}")
-    done = completed.distinct().groupBy("room_id").agg(F.sort_array(F.collect_set("question_number")).alias("numbers"))
-    run = F.size(F.filter("numbers", lambda n, i: n == i + 1))
-    last = F.col("num_questions") if end_rule == "stay" else F.col("num_questions") + 1
-    passed = F.coalesce(run, F.lit(0))
-    return (
-        rooms.select(F.col("id").alias("room_id"), "num_questions")
-        .join(done, "room_id", "left")
-        .select(
-            "room_id",
-            F.least(passed + 1, last).alias("current_question"),
-            F.when(passed >= F.col("num_questions"), "finished").otherwise("in_progress").alias("status"),
-        )
-    )
-
+    return state.barrier(changes, rooms, end_rule)
 
-ASKED = "room_id long, user_id long, question_number long, asked_at timestamp"
 
+def with_timeouts(rows: DataFrame, limit_seconds: int = ANSWER_LIMIT_SECONDS, first_limit_seconds: int | None = None) -> DataFrame:
+    """Answers, and a "no answer" row for every question a player let pass (append mode).
 
-def with_timeouts(
-    rows: DataFrame, waiting: DataFrame, limit_seconds: int = ANSWER_LIMIT_SECONDS, first_limit_seconds: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Answers, and a "no answer" row for every question a player let pass.
-
-    A step of a stream (``sinks.write_steps``). ``rows`` holds, by kind,
-    "asked" questions with the time they were shown (``asked_at``), "answer"
-    rows and "closed" questions; ``waiting`` (``ASKED``) the questions asked
-    and not yet decided. An answer decides its question whenever it arrives;
-    one given after the limit is "no answer". A question without an answer is
-    decided when it is closed. ``first_limit_seconds`` is another limit for a
-    player's first question, as in the game of one.
+    ``rows`` holds, by kind, "asked" questions with the time they were shown
+    (``asked_at``), "answer" rows and "closed" questions, in any order. An
+    answer decides its question whenever it arrives; one given after the limit
+    is "no answer". A question without an answer is decided when it is closed.
+    ``first_limit_seconds`` is another limit for a player's first question, as
+    in the game of one.
     """
-    asked = waiting.union(rows.where("kind = 'asked'").select(*ANSWER_KEYS, "asked_at"))
-    answers = first_n(rows.where("kind = 'answer'"), ANSWER_KEYS, [F.col("ts"), F.col("selected_answer"), F.col("response_time")], 1)
-    closed = rows.where("kind = 'closed'").select(*ANSWER_KEYS, F.lit(True).alias("closed")).distinct()
-    limit = F.lit(limit_seconds)
-    if first_limit_seconds is not None:
-        limit = F.when(F.col("question_number") == 1, F.lit(first_limit_seconds)).otherwise(limit)
-    late = F.col("ts") > F.col("asked_at") + F.make_dt_interval(secs=limit)
-    given = F.col("ts").isNotNull() & ~F.coalesce(late, F.lit(False))
-    all_rows = (
-        asked.join(answers.select(*ANSWER_KEYS, "selected_answer", "response_time", "ts"), ANSWER_KEYS, "left")
-        .join(closed, ANSWER_KEYS, "left")
-    )
-    decided = all_rows.where("ts IS NOT NULL OR closed").select(
-        *ANSWER_KEYS,
-        F.when(given, F.col("selected_answer")).otherwise(F.lit(NO_ANSWER)).alias("selected_answer"),
-        F.when(given, F.col("response_time")).otherwise(limit.cast("double")).alias("response_time"),
-    )
-    return decided, all_rows.where("ts IS NULL AND closed IS NULL").select(*ANSWER_KEYS, "asked_at")
+    return state.questions(rows, limit_seconds, first_limit_seconds)
 
 
 def room_status(lifecycle: DataFrame) -> DataFrame:
@@ -176,35 +129,24 @@ def room_status(lifecycle: DataFrame) -> DataFrame:
     )
 
 
-def finish_rooms(finished: DataFrame, rooms: DataFrame, participants: DataFrame, scores: DataFrame) -> DataFrame:
-    """Final results of the rooms in one batch of finished rooms (room_id).
+def finish_rooms(totals: DataFrame, rooms: DataFrame, participants: DataFrame) -> DataFrame:
+    """Final results of the rooms that end in a batch, from their totals (:func:`totals_at_end`).
 
-    Each row is also one XP event of type multiplayer_quiz: rank and bonus_xp.
+    Each row is also one XP event of type multiplayer_quiz: rank, bonus_xp and ended_at.
     """
-    ended = finished.select("room_id").distinct()
-    return batch.final_results(
-        rooms.join(ended.withColumnRenamed("room_id", "id"), "id", "left_semi"),
+    ended = totals.groupBy("room_id").agg(F.max("ended_at").alias("ended_at"))
+    results = batch.final_results(
+        rooms.join(ended.select(F.col("room_id").alias("id")), "id", "left_semi"),
         participants.join(ended, "room_id", "left_semi"),
-        scores,
+        totals.where("user_id IS NOT NULL").drop("ended_at"),
     )
+    return results.join(ended, "room_id")
 
 
-OPEN = "session_id long, user_id long, topic string, start_time timestamp"
+def pair_sessions(rows: DataFrame) -> DataFrame:
+    """Sessions that end, with their duration (append mode).
 
-
-def pair_sessions(rows: DataFrame, opened: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sessions that end, and those still open.
-
-    A step of a stream (``sinks.write_steps``). ``rows`` holds starts (kind
-    "start") and ends; ``opened`` (``OPEN``) the sessions without an end so
-    far, however long ago they began. The earliest end of a session counts. An
-    end without a start gives no row: starts are written before their ends.
+    ``rows`` holds starts (kind "start") and ends, in any order. The earliest
+    end of a session counts.
     """
-    starts = opened.union(rows.where("kind = 'start'").select("session_id", "user_id", "topic", "start_time"))
-    ends = rows.where("kind <> 'start'").select("session_id", "end_time", "score")
-    ends = first_n(ends, ["session_id"], [F.col("end_time"), F.col("score")], 1).drop("position")
-    seconds = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000000
-    paired = starts.join(ends, "session_id").select(
-        "session_id", "user_id", "topic", seconds.cast("int").alias("duration_seconds"), "score"
-    )
-    return paired, starts.join(ends, "session_id", "left_anti")
+    return state.sessions(rows)

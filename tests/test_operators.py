@@ -335,7 +335,7 @@ def test_search(spark):
         [("m", "01_loops", 0, "Loops.md", 0), ("m", "01_loops", 0, "x.md", 1), ("m", "more_loops", 1, None, None), ("n", "01_loops", 0, "y", 0)], INDEX
     )
     queries = spark.createDataFrame([(1, "m", "01_LOOPS"), (2, "m", "loops"), (3, "m", ""), (4, "m", "s."), (5, "z", "x")], "query_id long, module string, query string")
-    rows = corpus.search_index(index, queries).orderBy("query_id", "position").collect()
+    rows = corpus.by_relevance(corpus.search_index(index, queries)).orderBy("query_id", "position").collect()
     got = {}
     for r in rows:
         got.setdefault(r["query_id"], []).append((r["type"], r["section"], r["file"], r["relevance"]))
