@@ -9,9 +9,11 @@ collision-corrected estimate drops the hopeless ones, and every remaining pair
 is confirmed on the full shingle sets.
 
 No group is expanded into pairs: equal sets become one class first; each member
-of a band bucket meets a few pivots of the bucket; only members of buckets that
-still hold several components are compared across them, on sketches, in blocks
-of bounded size.
+of a band bucket meets its pivot, and those the pivot's component leaves out
+meet a second one; only members of buckets that still hold several components
+are compared across them, on sketches, in blocks of bounded size. Of two
+components only the most alike pairs are confirmed, more of them only where
+those fail.
 
 Rows: null text, empty text and text without words have no shingles and stay
 alone. A row without id stays alone with a null component. Rows that share an
@@ -37,10 +39,12 @@ BAND_ROWS = 4
 BAND_BITS = 6
 MANTISSA_BITS = 10
 PROBES = 64
-COLOURS = 3
+PIVOTS = 2
 ERRORS = 4.5
 BLOCK = 256
 SMALL = 256
+#: Pairs of two components that are confirmed at first; four times as many after each failure.
+CANDIDATES = 2
 
 _SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, shingles array<int>"
 
@@ -188,36 +192,48 @@ def _alike(x: frozenset, y: frozenset, n: int, m: int, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def _across_components(percent: int):
+def _across_components(percent: int, low: int, high: int):
     """Pairs of one block pair of a bucket that lie in different components and look alike.
 
-    Small sets come along whole (shortened hashes), as the estimate says little about them.
+    Small sets come along whole (shortened hashes), as the estimate says little
+    about them. Of the pairs of the same two components (``component``) those
+    numbered ``low`` to ``high`` are given out, by likeness and ids, unless the
+    components hold together by now (``now``).
     """
 
     def run(table: pa.Table) -> pa.Table:
         codes = _codes(table.column("sketch").combine_chunks())
         bands, band = codes.view(np.uint64), table.column("key")[0].as_py() & ((1 << BAND_BITS) - 1)
-        id_, n, component, block = (table.column(c).to_numpy() for c in ("id", "n_shingles", "component", "block"))
+        names = ("id", "n_shingles", "component", "now", "block")
+        id_, n, component, now, block = (table.column(c).to_numpy() for c in names)
         sets = table.column("shingles").to_pylist()
         sets = [None if s is None else frozenset(s) for s in sets]
-        low = block == block.min()
-        left, right = np.flatnonzero(low), np.flatnonzero(~low) if not low.all() else np.flatnonzero(low)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        first = block == block.min()
+        left, right = np.flatnonzero(first), np.flatnonzero(~first) if not first.all() else np.flatnonzero(first)
+        found: list[np.ndarray] = []
         for i in left:
             equal = (codes[right] == codes[i]).sum(axis=1)
             good = hopeful(equal, n[right], n[i], percent) & (component[right] != component[i])
-            if low.all():
+            if first.all():
                 good &= right > i
-            hit = right[good]
+            hit, equal = right[good], equal[good]
             # a pair that shares several bands is found in the first of them
-            hit = hit[(bands[hit] == bands[i]).argmax(axis=1) == band]
+            own_band = (bands[hit] == bands[i]).argmax(axis=1) == band
+            hit, equal = hit[own_band], equal[own_band]
             if n[i] <= SMALL:
                 own = sets[i]
-                hit = hit[[n[j] > SMALL or _alike(own, sets[j], n[i], n[j], percent) for j in hit]]
-            found.append((np.full(len(hit), id_[i]), id_[hit]))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, dtype=np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                alike = np.array([n[j] > SMALL or _alike(own, sets[j], n[i], n[j], percent) for j in hit], dtype=bool)
+                hit, equal = hit[alike], equal[alike]
+            found.append(np.stack([np.full(len(hit), i), hit, equal], axis=1))
+        x, y, equal = np.concatenate(found).T if found else np.zeros((3, 0), dtype=np.int64)
+        a, b = np.minimum(id_[x], id_[y]), np.maximum(id_[x], id_[y])
+        p, q = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+        order = np.lexsort((b, a, -equal, q, p))
+        x, y, a, b, p, q = (v[order] for v in (x, y, a, b, p, q))
+        heads = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])[: len(p)])
+        place = np.arange(len(p)) - np.repeat(heads, np.diff(np.append(heads, len(p))))
+        give = (place >= low) & (place < high) & (now[x] != now[y])
+        return pa.table({"a": pa.array(a[give]), "b": pa.array(b[give]), "more": pa.array(place[give] == high - 1)})
 
     return run
 
@@ -237,6 +253,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _linked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches and then whose full sets are alike enough."""
+    a = heads.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    b = heads.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    likely = kept(pairs, "pairs").join(a, "a").join(b, "b").mapInArrow(_estimated(percent), "a long, b long")
+    return confirm(kept(likely.distinct(), "likely"), docs, percent)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -258,36 +282,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "heads",
     )
 
-    # members of each band bucket, against a few pivots: the smallest id of each colour
-    bands = heads.select("id", F.posexplode("sketch").alias("band", "key")).select(
-        "id", F.shiftleft(F.xxhash64("key"), BAND_BITS).bitwiseOR(F.col("band").cast("long")).alias("key")
-    )
-    colour = F.expr(f"pmod(xxhash64(id), {COLOURS})")
-    pivots = F.array_compact(F.array(*[F.min(F.when(colour == c, F.col("id"))) for c in range(COLOURS)]))
-    full = bands.groupBy("key").agg(pivots.alias("pivots"), F.min("id").alias("low"), F.max("id").alias("top"))
-    full = kept(full.where("low <> top").select("key", "pivots"), "pivots")
-    buckets = kept(bands.join(full, "key"), "buckets")
-    pairs = kept(
-        buckets.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(),
-        "pairs",
+    # ids of several contents, and their classes, hold together
+    links = members.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).join(
+        members.groupBy(F.col("doc_id").alias("a")).agg(F.countDistinct("id").alias("n")).where("n > 1").select("a"), "a"
     )
-    a = heads.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = heads.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    likely = kept(pairs.join(a, "a").join(b, "b").mapInArrow(_estimated(percent), "a long, b long").distinct(), "likely")
-    links = confirm(likely, docs, percent)
 
-    # ids of several contents, and their classes, hold together as well
-    tie = members.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).join(
-        members.groupBy(F.col("doc_id").alias("a")).agg(F.countDistinct("id").alias("n")).where("n > 1").select("a"), "a"
+    # members of each band bucket against its pivot, the smallest id; then those
+    # that the pivot's component leaves out against a pivot of their own
+    bands = heads.select("id", F.posexplode("sketch").alias("band", "key")).select(
+        "id", F.shiftleft(F.xxhash64("key"), BAND_BITS).bitwiseOR(F.col("band").cast("long")).alias("key")
     )
-    links = links.union(tie)
-    groups = components(links)
+    buckets, open_, groups = None, bands, None
+    for _ in range(PIVOTS):
+        shared = open_.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
+        met = kept(open_.join(kept(shared, "pivots"), "key"), "met")
+        buckets = met if buckets is None else buckets
+        pairs = met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        links = links.union(_linked(pairs, heads, docs, percent))
+        groups = components(links)
+        own = met.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        ahead = groups.select(F.col("id").alias("pivot"), F.col("component").alias("ahead"))
+        open_ = kept(
+            own.join(ahead, "pivot", "left").where("component <> coalesce(ahead, pivot)").select("id", "key"), "open"
+        )
 
     # buckets that still hold several components: everyone across them, in blocks, on sketches
-    named = buckets.join(groups, "id", "left").select(
-        "key", "id", F.array_contains("pivots", F.col("id")).alias("pivot"), F.coalesce("component", "id").alias("component")
-    )
+    named = buckets.join(groups, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component"))
     named = kept(named, "named")
     mixed = kept(
         named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
@@ -295,25 +315,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "mixed",
     )
     if mixed.limit(1).count():
-        members_left = kept(named.where("NOT pivot").join(mixed, "key"), "rest")
+        members_left = kept(named.where("id <> pivot").join(mixed, "key"), "rest")
         small = rows.where(f"n_shingles <= {SMALL}").join(
             members_left.select(F.col("id").alias("doc_id")).distinct(), "doc_id"
         ).select(F.col("doc_id").alias("id"), "n_shingles", "shingles").dropDuplicates(["id", "n_shingles"])
-        rest = (
-            members_left.join(heads.join(kept(small, "small"), ["id", "n_shingles"], "left"), "id")
-            .withColumn("block", F.expr("pmod(xxhash64(id, key), blocks)").cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .select(
-                "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "id", "n_shingles", "component", "block", "sketch", "shingles",
+        rest = members_left.join(heads.join(kept(small, "small"), ["id", "n_shingles"], "left"), "id")
+        low, high = 0, CANDIDATES
+        while True:
+            now = groups.select("id", F.col("component").alias("now"))
+            blocks = (
+                rest.join(now, "id", "left").withColumn("now", F.coalesce("now", "id"))
+                .withColumn("block", F.expr("pmod(xxhash64(id, key), blocks)").cast("int"))
+                .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+                .select(
+                    "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                    "id", "n_shingles", "component", "now", "block", "sketch", "shingles",
+                )
             )
-        )
-        found = kept(
-            rest.groupBy("key", "low", "high").applyInArrow(_across_components(percent), "a long, b long").distinct(),
-            "across",
-        )
-        links = links.union(confirm(found, docs, percent))
-        groups = components(links)
+            found = blocks.groupBy("key", "low", "high").applyInArrow(_across_components(percent, low, high), "a long, b long, more boolean")
+            found = kept(found, "across")
+            if not found.limit(1).count():
+                break
+            links = links.union(confirm(found.select("a", "b").distinct(), docs, percent))
+            groups = components(links)
+            if not found.where("more").limit(1).count():
+                break
+            low, high = high, 4 * high
     groups = groups.withColumnRenamed("id", "doc_id")
     named_members = (
         members.groupBy("doc_id").agg(F.min("id").alias("id"))

@@ -134,3 +134,54 @@ def test_cut_texts_keep_columns(make, odd):
     by = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
     assert by[0].text is None and by[1].text == "" and by[10].text == odd[6][1]
     assert 11 not in by and by[12].text.endswith("tail") and by[12].n_chars == len(by[12].text)
+
+
+def near_copies(n):
+    """n texts, each a template with two words of its own."""
+    template, rows = base_text(77, 200).split(), []
+    for i in range(n):
+        text = template[:]
+        for j in range(2):
+            text[(i * 31 + j * 41) % 200] = f"own{i}x{j}"
+        rows.append((i, " ".join(text), "en"))
+    return rows
+
+
+def test_pairs_grow_in_proportion_to_a_group(make, monkeypatch):
+    handed = {}
+    confirm = minhash.confirm
+
+    def counted(pairs, docs, percent):
+        handed[-1] = handed.get(-1, 0) + pairs.count()
+        return confirm(pairs, docs, percent)
+
+    monkeypatch.setattr(minhash, "confirm", counted)
+    for n in (200, 800):
+        handed[-1] = 0
+        got = minhash.near_duplicates(make(near_copies(n)))
+        assert got.where("kept").count() == 1
+        handed[n] = handed[-1]
+    assert handed[800] <= 4 * 1.3 * handed[200] and handed[800] <= 12 * 800
+
+
+def test_a_common_line_sends_ranges_not_windows(make, monkeypatch):
+    """A line of 14 words in otherwise different texts, and classes of texts that share more of its surroundings."""
+    line = base_text(91, 14)
+    rows = [(i, f"{base_text(1000 + i, 45)} {line} {base_text(5000 + i, 45)}", "en") for i in range(150)]
+    left, right = base_text(92, 40), base_text(93, 40)
+    rows += [(200 + i, f"{base_text(2000 + i, 30)} {left} {line} {base_text(6000 + i, 30)}", "de") for i in range(4)]
+    rows += [(300 + i, f"{base_text(3000 + i, 30)} {line} {right} {base_text(7000 + i, 30)}", "de") for i in range(4)]
+    rows += [(400 + i, f"{left} {line} {right}", "de") for i in range(3)] + [(450, f"{left} other {line} {right}", "de")]
+    written = []
+    kept = repeats.kept
+
+    def watched(df, label):
+        out = kept(df, label)
+        if label == "contexts":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "kept", watched)
+    check_removal(make, rows)
+    # every occurrence of an anchor goes out once, and few of them once more
+    assert sum(written[1:]) < written[0]
