@@ -6,22 +6,24 @@ into words ``[^\\x20\\x09]+``. Everything is per language (null: ``und``).
 Candidates. A phrase occurs at least ``least`` times only if all its parts do.
 For each length the hashes of the phrases seen are counted, but only where the
 parts one word shorter passed; that filter is a bit map of hashes, so it lets
-some others in and keeps none out. A last look collects the distinct phrases
-whose bit is set.
+some others in and keeps none out. A last look collects the phrases themselves;
+each is given out by the documents that share the smallest of the document
+numbers (16 bits of a hash) it was seen in, so a phrase that is everywhere is not
+sent by every task.
 
 Counts. The candidates are dealt into shards of at most ``SHARD`` phrases. A
 shard becomes a double-array trie over its words: state s goes with word code c
 to base[s] + c where check holds s. The trie is broadcast; all positions of a
 slice of text take their steps together, one level after the other, and the
-states that accept are counted with bincount. Tasks give out a sum per phrase
-they met, and Spark adds the sums up.
+states that accept are counted with bincount. Tasks give out their counts as
+blocks of ``BLOCK`` numbers, and Spark adds the blocks up, in two steps.
 
 Scores are computed in decimals of 38 digits, which hold 1000 * a * n exactly.
 
 What is broadcast is bounded by ``SHARD`` and ``MOST_BITS``, whatever the corpus
 holds: beyond ``SHARD`` candidates the texts are read once per shard, and beyond
-``2^MOST_BITS / 64`` frequent phrases the bit maps let more others in, which the
-counts drop. Words are told apart by 64-bit hashes of their bytes and language.
+``2^MOST_BITS / SPARSE`` frequent phrases the bit maps let more others in, which
+the counts drop. Words are told apart by 64-bit hashes of their bytes and language.
 
 Rows: a null or empty text has no words. Rows without id, of the same id and
 repeated rows count one by one; ids and other columns are not read. Ties are
@@ -36,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +53,13 @@ TOP = 2000
 #: Phrases in one trie.
 SHARD = 1 << 18
 #: Bits of a bit map: this many for each phrase that can be frequent, within bounds.
-SPARSE = 64
+SPARSE = 32
 LEAST_BITS, MOST_BITS = 20, 30
 #: Distinct phrases that a task holds before it gives out its sums.
-HELD = 1 << 20
+HELD = 1 << 21
+#: Counts in a block, and groups of tasks whose blocks are added up first.
+BLOCK = 4096
+GROUPS = 64
 SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -64,15 +70,17 @@ _BREAK[[0x20, 0x09]] = False
 
 @dataclass
 class Text:
-    """Words of a slice of texts: their symbols, and how many words follow each in its piece."""
+    """Words of a slice of texts: their symbols, how many words follow each in its piece, and the number of their text."""
 
     words: W.Words
     symbols: np.ndarray
     follow: np.ndarray
+    document: np.ndarray
 
 
 def _symbols(hashes: np.ndarray, languages: np.ndarray) -> np.ndarray:
-    return W.mix(hashes ^ languages)
+    """64-bit hash of a word and its language; the two take different parts, as a word may be a language's name."""
+    return W.mix(hashes ^ W.mix(languages + np.uint64(W.BASE)))
 
 
 def _language_hashes(column: pa.Array) -> np.ndarray:
@@ -99,7 +107,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 follow[run] = step
                 run[: n - step] &= linked[step:]
                 run[n - step :] = False
-            yield part, Text(words, _symbols(hashes, _language_hashes(part.column("lang"))[owner]), follow)
+            number = W.range_hashes(words.data, words.offsets[:-1], words.offsets[1:]) >> np.uint64(48)
+            languages = _language_hashes(part.column("lang"))
+            yield part, Text(words, _symbols(hashes, languages[owner]), follow, number.astype(np.uint16)[owner])
 
 
 def _hashed(symbols: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndarray]:
@@ -114,24 +124,36 @@ def _hashed(symbols: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndarray
 
 
 class _Sums:
-    """Counts of hashes that a task holds back."""
+    """Counts of hashes that a task holds back, and the smallest document number of each."""
 
     def __init__(self):
         self.keys = np.zeros(0, dtype=np.uint64)
         self.counts = np.zeros(0, dtype=np.int64)
+        self.documents = np.zeros(0, dtype=np.uint16)
 
-    def add(self, hashes: np.ndarray) -> np.ndarray:
+    def add(self, hashes: np.ndarray, documents: np.ndarray) -> np.ndarray:
         """Count some hashes; gives the places of those not held so far, one of each."""
-        keys, place, counts = np.unique(hashes, return_index=True, return_counts=True)
+        order = np.argsort(hashes, kind="stable")
+        sorted_ = hashes[order]
+        heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(order)])
+        keys, counts = sorted_[heads], np.diff(np.append(heads, len(order)))
+        least = np.minimum.reduceat(documents[order], heads) if len(heads) else documents[:0]
         at = np.searchsorted(self.keys, keys)
         old = np.zeros(len(keys), dtype=bool)
         inside = at < len(self.keys)
         old[inside] = self.keys[at[inside]] == keys[inside]
         self.counts[at[old]] += counts[old]
+        self.documents[at[old]] = np.minimum(self.documents[at[old]], least[old])
         new = ~old
         self.keys = np.insert(self.keys, at[new], keys[new])
         self.counts = np.insert(self.counts, at[new], counts[new])
-        return place[new]
+        self.documents = np.insert(self.documents, at[new], least[new])
+        return order[heads[new]]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.record_batch({
+            "key": pa.array(self.keys.view(np.int64)), "n": pa.array(self.counts), "document": pa.array(self.documents.astype(np.int32)),
+        })
 
 
 def _bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -140,54 +162,56 @@ def _bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-_COUNTED = "length int, key long, lang string, n long"
+# the three lowest bits of a key are the length of its phrase
+_COUNTED = "key long, n long, document int"
 
 
-def _rows(length: int, keys=(), langs=(), counts=()) -> pa.RecordBatch:
-    n = len(counts)
-    return pa.record_batch({
-        "length": pa.array(np.full(n, length, dtype=np.int32)),
-        "key": pa.array(keys.view(np.int64)) if len(keys) else pa.nulls(n, pa.int64()),
-        "lang": pa.array(langs, pa.string()) if len(langs) else pa.nulls(n, pa.string()),
-        "n": pa.array(counts, pa.int64()),
-    })
+def _keyed(hashes: np.ndarray, length: int) -> np.ndarray:
+    return (hashes & ~np.uint64(7)) | np.uint64(length)
 
 
-def _seen(lengths: Sequence[int], filtered: int = 0, bitmap=None) -> Callable:
-    """Sums of the hashes of phrases of some lengths whose parts of ``filtered`` words have their bit set.
+def _marked(keys: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """63-bit hash of a key and a document number."""
+    return W.mix(keys + W.mix(documents.astype(np.uint64) + np.uint64(1))) >> np.uint64(1)
 
-    Without a filter also the number of words per language.
-    """
+
+def _seen(lengths: Sequence[int], filtered: int = 0, bitmap=None) -> Callable:
+    """Sums of the keys of phrases of some lengths whose parts of ``filtered`` words have their bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bitmap is None else bitmap.value
         sums = {k: _Sums() for k in lengths}
-        totals: dict[str, int] = {}
-        for part, text in _texts(batches):
-            if known is None:
-                for lang, n in zip(part.column("lang").to_pylist(), text.words.per_text.tolist()):
-                    totals[lang] = totals.get(lang, 0) + n
+        for _, text in _texts(batches):
             hashes = _hashed(text.symbols, [*lengths, filtered] if filtered else lengths)
             if filtered:
-                good = (text.follow >= filtered - 1) & _bit(known, hashes[filtered])
+                good = (text.follow >= filtered - 1) & _bit(known, _keyed(hashes[filtered], filtered))
             for k in lengths:
                 take = text.follow >= k - 1
                 if filtered:
                     for step in range(k - filtered + 1):
                         take[: max(len(good) - step, 0)] &= good[step:]
-                sums[k].add(hashes[k][take])
+                sums[k].add(_keyed(hashes[k][take], k), text.document[take])
                 if len(sums[k].keys) >= HELD:
-                    yield _rows(k, keys=sums[k].keys, counts=sums[k].counts)
+                    yield sums[k].rows()
                     sums[k] = _Sums()
-        for k, held in sums.items():
+        for held in sums.values():
             if len(held.keys):
-                yield _rows(k, keys=held.keys, counts=held.counts)
-        if totals:
-            yield _rows(0, langs=list(totals), counts=list(totals.values()))
+                yield held.rows()
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words per language, summed over a task."""
+    totals: dict[str, int] = {}
+    for batch in batches:
+        for part in W.slices(batch, limit=SLICE_BYTES):
+            counts = W.split(W.texts_of(part.column("text")), _SPACE).per_text.tolist()
+            for lang, n in zip(part.column("lang").to_pylist(), counts):
+                totals[lang] = totals.get(lang, 0) + n
+    yield pa.record_batch({"lang": pa.array(list(totals), pa.string()), "n": pa.array(list(totals.values()), pa.int64())})
+
+
 def _strings(text: Text, lang: list[str], at: np.ndarray, k: int) -> list[str]:
     """Language, line feed and the words joined by a blank, for phrases of k words."""
     words, out = text.words, []
@@ -200,22 +224,23 @@ def _strings(text: Text, lang: list[str], at: np.ndarray, k: int) -> list[str]:
     return out
 
 
-def _collect(bitmaps) -> Callable:
-    """Distinct phrases whose bit is set."""
+def _collect(bitmap, marks) -> Callable:
+    """Phrases whose bit is set, from the documents whose numbers mark them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bitmaps.value
-        sums = {k: _Sums() for k in known}
+        known, marked = bitmap.value, marks.value
+        sums = {k: _Sums() for k in range(1, LONGEST + 1)}
         for part, text in _texts(batches):
             lang = part.column("lang").to_pylist()
-            hashes = _hashed(text.symbols, list(known))
-            for k, bitmap in known.items():
+            hashes = _hashed(text.symbols, range(1, LONGEST + 1))
+            for k, held in sums.items():
                 at = np.flatnonzero(text.follow >= k - 1)
-                at = at[_bit(bitmap, hashes[k][at])]
-                new = sums[k].add(hashes[k][at])
+                at = at[_bit(known, _keyed(hashes[k][at], k))]
+                at = at[_bit(marked, _marked(_keyed(hashes[k][at], k), text.document[at]))]
+                new = held.add(hashes[k][at], text.document[at])
                 if len(new):
                     yield pa.record_batch({"phrase": pa.array(_strings(text, lang, at[new], k), pa.string())})
-                if len(sums[k].keys) >= HELD:
+                if len(held.keys) >= HELD:
                     sums[k] = _Sums()
 
     return run
@@ -271,58 +296,90 @@ def build(ids: Sequence[int], phrases: Sequence[str]) -> Trie:
         raise ValueError("two frequent words share a 64-bit hash")
     code = dict(zip([words[i] for i in order], range(1, len(words) + 1)))
 
-    # children of every prefix, prefixes of equal length together
-    children: dict[tuple, set[int]] = {(): set()}
-    for lang, text in split:
-        path: tuple = ()
-        for w in text.split(" "):
-            c = code[lang, w]
-            children.setdefault(path, set()).add(c)
-            path = (*path, c)
-    nodes = 1 + sum(len(c) for c in children.values())
-    width = len(words) + 1
-    size = 3 * nodes + 2 * width
+    paths = [[code[lang, w] for w in text.split(" ")] for lang, text in split]
+    lengths = np.array([len(p) for p in paths])
+    codes = np.zeros((len(paths), LONGEST), dtype=np.int64)
+    codes[np.repeat(np.arange(len(paths)), lengths), np.concatenate([np.arange(n) for n in lengths])] = np.concatenate(paths)
+    del words, split, paths, code
+    # in the order of their words, phrases with a common begin lie together
+    rows = np.lexsort(codes.T[::-1])
+    width = len(symbols) + 1
+    size = 3 * int(lengths.sum()) + 2 * width
     base, check = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
     check[0] = size  # the root is nobody's child
-    state: dict[tuple, int] = {(): 0}
+    state = np.zeros(len(codes), dtype=np.int64)
     rng = np.random.default_rng(1)
-    for length in range(LONGEST):
+    for level in range(LONGEST):
+        rows = rows[lengths[rows] > level]
+        if not len(rows):
+            break
+        parent, own = state[rows], codes[rows, level]
+        heads = np.flatnonzero(np.concatenate([[True], (parent[1:] != parent[:-1]) | (own[1:] != own[:-1])]))
+        parent, own, child = parent[heads], own[heads], np.empty(len(heads), dtype=np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+        end = np.append(begin[1:], len(heads))
         # many children first, while there is room
-        for path in sorted((p for p in children if len(p) == length and children[p]), key=lambda p: (-len(children[p]), p)):
-            own = np.array(sorted(children[path]), dtype=np.int64)
+        for g in np.argsort(begin - end, kind="stable"):
+            some = own[begin[g] : end[g]]
             for _ in range(32):
-                b = 0 if not path else int(rng.integers(0, size - width))
-                if (check[b + own] < 0).all():
+                b = 0 if not level else int(rng.integers(0, size - width))
+                if (check[b + some] < 0).all():
                     break
             else:
                 # room at the end, always free
                 b = len(check)
                 base, check = np.append(base, np.zeros(width, dtype=np.int64)), np.append(check, np.full(width, -1))
-            here = state[path]
-            base[here], check[b + own] = b, here
-            for c in own.tolist():
-                state[*path, c] = b + c
+            base[parent[begin[g]]] = b
+            check[b + some] = parent[begin[g]]
+            child[begin[g] : end[g]] = b + some
+        state[rows] = np.repeat(child, np.diff(np.append(heads, len(rows))))
     # steps from any base stay inside
     base, check = np.append(base, np.zeros(width, dtype=np.int64)), np.append(check, np.full(width, -1))
-    accept = np.array([state[tuple(code[lang, w] for w in text.split(" "))] for lang, text in split], dtype=np.int64)
-    return Trie(symbols[order], base, check, accept, np.asarray(ids, dtype=np.int64))
+    return Trie(symbols[order], base, check, state, np.asarray(ids, dtype=np.int64))
 
 
 def _counted(trie) -> Callable:
+    """Counts of the phrases of a trie, in blocks by the place of the phrase."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Trie = trie.value
         met = np.zeros(len(own.check), dtype=np.int64)
         for _, text in _texts(batches):
             met += own.count(text)
         counts = met[own.accept]
-        hit = counts > 0
-        yield pa.record_batch({"id": pa.array(own.ids[hit]), "a": pa.array(counts[hit])})
+        blocks = [b for b in range(0, len(counts), BLOCK) if counts[b : b + BLOCK].any()]
+        group = TaskContext.get().partitionId() % GROUPS
+        yield pa.record_batch({
+            "block": pa.array([b // BLOCK for b in blocks], pa.int32()), "part": pa.array([group] * len(blocks), pa.int32()),
+            "counts": pa.array([counts[b : b + BLOCK].tobytes() for b in blocks], pa.binary()),
+        })
+
+    return run
+
+
+_BLOCKS = "block int, part int, counts binary"
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist())
+    return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
+
+
+def _named(trie) -> Callable:
+    """Blocks of counts to rows of (id, a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = trie.value.ids
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                own = np.frombuffer(counts, dtype=np.int64)
+                yield pa.record_batch({"id": pa.array(ids[block * BLOCK : block * BLOCK + len(own)]), "a": pa.array(own)})
 
     return run
 
 
 def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """Bit map of the keys of some rows; packed by tasks, put together on the driver."""
+    """Bit map of some 63-bit keys (``key``); packed by tasks, put together on the driver."""
     place = f"(shiftright(key, {63 - bits}) + 1)"
     packs = rows.groupBy(F.expr(f"bitmap_bucket_number({place})").alias("pack")).agg(
         F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias("bits")
@@ -333,6 +390,12 @@ def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, documents = batch.column("key").to_numpy().view(np.uint64), batch.column("document").to_numpy()
+        yield pa.record_batch({"key": pa.array(_marked(keys, documents).view(np.int64))})
+
+
 def _texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
@@ -345,27 +408,28 @@ def frequent(docs: DataFrame, least: int = LEAST, shard: int = SHARD) -> tuple[D
     A phrase is its language, a line feed and its words joined by blanks.
     """
     spark, texts = docs.sparkSession, _texts_of(docs)
+    share = spark.sparkContext.broadcast
 
     def seen(lengths, filtered=0, bitmap=None):
-        shared = None if bitmap is None else spark.sparkContext.broadcast(bitmap)
-        rows = texts.mapInArrow(_seen(lengths, filtered, shared), _COUNTED)
-        rows = rows.groupBy("length", "key", "lang").agg(F.sum("n").alias("n")).where(f"length = 0 OR n >= {least}")
-        return kept(rows, "seen")
+        rows = texts.mapInArrow(_seen(lengths, filtered, bitmap), _COUNTED)
+        return kept(rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("document").alias("document")).where(f"n >= {least}"), "seen")
 
-    words = seen([1])
-    totals = words.where("length = 0").select("lang", "n")
+    totals = kept(texts.mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "words")
     n = totals.agg(F.sum("n")).first()[0] or 0
     bits = min(max((SPARSE * n // least).bit_length(), LEAST_BITS), MOST_BITS)
-    maps = {1: _bitmap(words.where("length = 1"), bits)}
-    maps[2] = _bitmap(seen([2], 1, maps[1]), bits)
-    maps[3] = _bitmap(seen([3], 2, maps[2]), bits)
-    longer = seen([4, 5], 3, maps[3])
-    maps |= {k: _bitmap(longer.where(f"length = {k}"), bits) for k in (4, 5)}
-    shared = spark.sparkContext.broadcast(maps)
+    found = seen([1])
+    for lengths, filtered in (([2], 1), ([3], 2), ([4, 5], 3)):
+        bitmap = share(_bitmap(found.where(f"key & 7 = {filtered}"), bits))
+        found = found.union(seen(lengths, filtered, bitmap))
+        bitmap.destroy()
+    known = share(_bitmap(found.select("key"), bits))
+    marks = share(_bitmap(found.mapInArrow(_marks, "key long"), bits))
     candidates = kept(
-        kept(texts.mapInArrow(_collect(shared), "phrase string").distinct(), "phrases").withColumn("id", F.monotonically_increasing_id()),
+        kept(texts.mapInArrow(_collect(known, marks), "phrase string").distinct(), "phrases").withColumn("id", F.monotonically_increasing_id()),
         "candidates",
     )
+    known.destroy()
+    marks.destroy()
     shards = -(-candidates.count() // shard)
     counts = empty(spark, "phrase string, a long")
     for s in range(shards):
@@ -376,9 +440,12 @@ def frequent(docs: DataFrame, least: int = LEAST, shard: int = SHARD) -> tuple[D
             phrases.append(row["phrase"])
         if not ids:
             continue
-        trie = spark.sparkContext.broadcast(build(ids, phrases))
-        sums = texts.mapInArrow(_counted(trie), "id long, a long").groupBy("id").agg(F.sum("a").alias("a")).where(f"a >= {least}")
+        trie = share(build(ids, phrases))
+        del ids, phrases
+        blocks = texts.mapInArrow(_counted(trie), _BLOCKS).groupBy("block", "part").applyInArrow(_added, _BLOCKS)
+        sums = blocks.groupBy("block").applyInArrow(_added, _BLOCKS).mapInArrow(_named(trie), "id long, a long").where(f"a >= {least}")
         counts = counts.union(own.join(kept(sums, "counts"), "id").select("phrase", "a"))
+        trie.destroy()
     return counts, totals
 
 
