@@ -101,9 +101,16 @@ def _below(ranges: DataFrame) -> DataFrame:
     return grouped.withColumn("up", up).join(groups, "g").select("r", F.coalesce("up", "next", F.lit(first)).alias("above"))
 
 
+def _range(low: str, width: str) -> str:
+    """First id of a document's range; in decimals, as ids may lie further apart than 64 bits reach."""
+    wide = "DECIMAL(20, 0)"
+    steps = f"CAST((CAST(doc_id AS {wide}) - CAST({low} AS {wide})) DIV CAST({width} AS {wide}) AS {wide})"
+    return f"CAST(CAST({low} AS {wide}) + {steps} * CAST({width} AS {wide}) AS LONG)"
+
+
 def _split(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Rows of the ranges in ``cuts`` (r, low, width) in finer ranges, the others as they are."""
-    finer = F.expr("low + (doc_id - low) DIV width * width")
+    finer = F.expr(_range("low", "width"))
     return rows.join(cuts, "r", "left").withColumn("r", F.coalesce(finer, "r")).drop("low", "width")
 
 
@@ -120,13 +127,13 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     low, high, count = low or 0, high or 0, max(count, 1)
     width = max((high - low) // max(count // RANGE, 1) + 1, 1)
-    docs = docs.withColumn("r", F.when(F.col("doc_id").isNotNull(), F.expr(f"{low}L + (doc_id - {low}L) DIV {width}L * {width}L")))
+    docs = docs.withColumn("r", F.when(F.col("doc_id").isNotNull(), F.expr(_range(f"'{low}'", f"'{width}'"))))
     ids, tops = docs.select("doc_id", "r").where("r IS NOT NULL"), []
     while True:
         ranges = kept(ids.groupBy("r").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top")), "ranges")
         large = f"n > {2 * RANGE} AND low < top"
         tops.append(ranges.where(f"NOT ({large})").select("r", "top"))
-        cuts = ranges.where(large).select("r", "low", F.expr(f"(top - low) DIV (n DIV {RANGE}) + 1").alias("width"))
+        cuts = ranges.where(large).select("r", "low", F.expr(f"CAST((CAST(top AS DECIMAL(20, 0)) - low) DIV (n DIV {RANGE}) AS DECIMAL(20, 0)) + 1").alias("width"))
         if cuts.isEmpty():
             break
         ids, docs = _split(ids.join(cuts, "r", "left_semi"), cuts), _split(docs, cuts)

@@ -325,13 +325,15 @@ def _accepted(shared, least: float):
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """A bounded number of excerpts for each language, drawn by the hash of the text.
+    """A bounded number of excerpts of different texts for each language, drawn by the hash of the text.
 
     Texts with a small hash are picked where they lie, a few times as many as
-    are wanted, so that the last choice sees a bounded number of them.
+    are wanted, so that the last choice sees a bounded number of them. Copies
+    count once.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    counts = docs.groupBy("lang").count().collect()  # a row per language, as in the model
+    different = docs.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = different.groupBy("lang").count().collect()  # a row per language, as in the model
     if not counts:
         return docs.limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(4.0 * SAMPLE / r["count"], 1.0))])
@@ -340,7 +342,7 @@ def sample(docs: DataFrame) -> DataFrame:
     pieces = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     return (
-        docs.withColumn("n", F.row_number().over(order))
+        docs.distinct().withColumn("n", F.row_number().over(order))
         .where(F.col("n") <= SAMPLE).select("lang", "text", pieces.alias("w"))
         .select("lang", F.array_join(F.slice("w", (F.pmod(F.xxhash64("text"), F.greatest(F.size("w") - EXCERPT, F.lit(1))) + 1).cast("int"), EXCERPT), " ").alias("text"))
         .where("text <> ''")

@@ -150,11 +150,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of the k highest inner products of each query.
 
     ``rows`` and ``queries`` have vec_id and v (array<long>); ties go to the smaller vec_id.
+    Vectors whose square passes 64 bits are an error, as their scores would.
     """
     rows = kept(rows, "vectors")
     asked = kept(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     norm = rows.union(asked).agg(F.max(square)).first()[0] or 0.0
+    if norm >= 2.0**63:
+        raise ValueError("inner products of these vectors may pass 64 bits")
     blocks = max(-(-asked.count() // QUERIES), 1)
     candidates = kept(rows.mapInArrow(_candidate_blocks, "ids binary, vectors binary, width int"), "blocks")
     # every block of rows is sent to every block of queries

@@ -30,7 +30,9 @@ from .tables import components, kept
 # (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+# rel is a list of words; one of them must be the link's
+_REL = r"""(?:"\s*(?:[^"\s>]+\s+)*canonical(?=[\s"])|'\s*(?:[^'\s>]+\s+)*canonical(?=[\s'])|canonical(?=[\s/>]))"""
+_CANONICAL = rf"(?is)<link\b(?=[^>]*\brel\s*=\s*{_REL})[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -64,12 +66,12 @@ def rule_of(own_host: Column, own_path: Column, rules: Sequence[tuple[str, str,
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(a, b): addresses that a redirect or canonical link joins."""
-    url, html = F.col("url"), F.col("html")
-    with_links = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
+    """(a, b): addresses that a redirect or canonical link joins, all of a page but those in comments."""
+    url, html = F.col("url"), F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")
+    with_links = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
     named = with_links.select(
         address(url).alias("a"), host(url).alias("own_host"), path(url).alias("own_path"),
-        F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("target"),
+        F.explode(F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1))).alias("target"),
     ).where("a IS NOT NULL AND target <> ''")
     target = F.regexp_replace("target", "&amp;", "&")
     base = F.concat(F.lit("x://"), F.col("own_host"))

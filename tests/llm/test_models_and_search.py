@@ -199,6 +199,8 @@ def test_scores_equal_a_plain_model(make, odd, hot, shard, monkeypatch):
     monkeypatch.setattr(ngram, "HOT", hot)
     monkeypatch.setattr(ngram, "SHARD_TOKENS", shard)
     rows = odd + [(50 + i, base_text(i % 7, 40 + i), "en") for i in range(40)]
+    weights, fit = [], ngram.fit_weight
+    monkeypatch.setattr(ngram, "fit_weight", lambda *args: weights.append(fit(*args)) or weights[-1])
     got = ngram.score(make(rows), remainder_column(7) == 2).collect()
     assert len(got) == len(rows)
     one, two, ends = collections.Counter(), collections.Counter(), 0
@@ -208,7 +210,16 @@ def test_scores_equal_a_plain_model(make, odd, hot, shard, monkeypatch):
             one.update(w)
             two.update(zip(["start", *w], w))
             ends += 1
-    n, v, k = sum(one.values()), len(one), ngram.CONTEXT_WEIGHT
+    n, v, k = sum(one.values()), len(one), weights[0]
+
+    def left_out(k):
+        joint = sum(c * math.log(c - 1 + k * one[b] / (n + v)) for (_, b), c in two.items())
+        contexts = collections.Counter({**one, "start": ends})
+        del contexts["end"]
+        return joint - sum(c * math.log(c - 1 + k) for c in contexts.values())
+
+    best = max(ngram.WEIGHTS, key=left_out)
+    assert k == best if shard > n else best / 8 <= k <= best * 8  # all words, or those of four shards
     want = collections.defaultdict(list)
     for i, x, _ in rows:
         w = [*words(x, lower=True), "end"]
@@ -264,3 +275,37 @@ def test_urls_with_quoted_targets_and_mixed_case(spark):
     got = urlfilter.judge(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
     assert {r.page_id: r.verdict for r in got} == {r[0]: r[3] for r in rows}
     assert {r.page_id for r in got if r.alias_group is not None} == {1, 2, 3, 4}
+
+
+def test_urls_with_several_links(spark):
+    two = CANONICAL % "http://b.info/y" + CANONICAL % "http://c.net/"
+    rows = [
+        (1, "http://a.info/1", two, "block"), (2, "http://a.info/2", "<link rel='shortcut canonical' href='http://d.net/'>", "block"),
+        (3, "http://a.info/3", f"<!-- {CANONICAL % 'http://e.net/'} -->", "allow"), (4, "http://a.info/4", "<!-- open " + CANONICAL % "http://e.net/", "allow"),
+        (5, "http://a.info/5", '<link rel="non-canonical" href="http://f.net/">', "allow"), (6, "http://b.info/y", "", "block"),
+        (7, "http://a.info/7", REFRESH % "http://g.info/" + REFRESH % "http://h.net/", "block"), (8, "http://g.info/", "", "block"),
+    ]
+    got = urlfilter.judge(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {r[0]: r[3] for r in rows}
+
+
+def test_products_beyond_64_bits_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [3_000_000_000, 3_000_000_000]), (20, [3_000_000_000, 3_000_000_000])], "vec_id long, v array<long>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.nearest(rows, rows.where("vec_id = 20"), 5)
+
+
+def test_ids_at_both_ends(make):
+    rows = [(-(2**63), "a b c d e f", "en"), (2**63 - 1, "a b c d e g", "en"), (0, "x", "de"), (5, None, None)]
+    got = fingerprints.edited_likeness(make(rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    by = {r.doc_id: r.edited_sha256 for r in got}
+    for i, text, following in ((2**63 - 1, "a b c d e g", ""), (0, "x", "a b c d e f"), (-(2**63), "a b c d e f", "a b c d e g")):
+        assert by[i] == hashlib.sha256(edited(text, following).encode()).hexdigest()
+
+
+def test_the_sample_holds_different_texts(make):
+    hot = [(i, "der eine text " * 3, "de") for i in range(900)]
+    rows = hot + [(1000 + i, base_text(i, 12), "de") for i in range(1800)]
+    texts = [r.text for r in langid.sample(make(rows)).collect()]
+    assert len(texts) == langid.SAMPLE and len(set(texts)) == len(texts)
