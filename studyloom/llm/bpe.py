@@ -5,7 +5,8 @@ of a task is encoded once: the pairs of neighbouring symbols are the leaves of
 a segment tree whose keys are (rank of the merge, place); the root is the
 leftmost merge of lowest rank. A merge changes three leaves and their paths to
 the root; the tree of a piece is done when its root holds no merge. The trees
-of many pieces are kept as the rows of one array and take their steps together.
+of many pieces are kept as the rows of one array and take their steps together;
+the last few, as of a long run of letters, are walked one by one.
 
 The vocabulary file is that of a public tokenizer; its path is a parameter.
 Special tokens in a text give their ids. Texts with characters beyond Latin
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from . import words as W
 
 REMEMBERED = 400_000
+#: So few trees are quicker on plain lists than on arrays.
+LONE = 48
 NONE = np.iinfo(np.int64).max
 
 # Texts of these characters need no help from the library: they are in composed
@@ -72,6 +75,7 @@ class Merges:
         self.keys = np.full(size + 64, -1, dtype=np.int64)
         self.rank = np.full(size + 64, -1, dtype=np.int64)
         self.made = np.full(size + 64, -1, dtype=np.int64)
+        self.known = {k: (r, m) for r, (k, m) in reversed(list(enumerate(zip(key.tolist(), made.tolist()))))}
         self.reach = 1
         for r, (k, m, slot) in enumerate(zip(key.tolist(), made.tolist(), self._slot(key).tolist())):
             step = 0
@@ -149,7 +153,11 @@ class Merges:
         while True:
             root = tree[rows * (2 * width) + 1]
             rows, root = rows[root != NONE], root[root != NONE]
-            if not len(rows):
+            if len(rows) <= LONE:
+                for row in rows.tolist():
+                    own = slice(row * line, (row + 1) * line)
+                    lists = (x.tolist() for x in (symbol[own], after[own], before[own], tree[2 * width * row : 2 * width * (row + 1)]))
+                    symbol[own] = self._walk(*lists, width)
                 break
             at, top = rows * line, rows * (2 * width)
             place = root % width
@@ -186,6 +194,34 @@ class Merges:
         return symbol[left], left.sum(axis=1)
 
 
+    def _walk(self, symbol: list[int], after: list[int], before: list[int], tree: list[int], width: int) -> list[int]:
+        """Symbols of one piece when its tree holds no more merges."""
+        known, none = self.known, int(NONE)
+
+        def put(place: int, left: int, right: int) -> None:
+            found = known.get((left << 32) | right)
+            value = none if found is None else found[0] * width + place
+            node = width + place
+            while node and tree[node] != value:
+                tree[node] = value
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                value = a if a < b else b
+
+        while tree[1] != none:
+            place = tree[1] % width
+            gone = after[place]
+            merged = known[(symbol[place] << 32) | symbol[gone]][1]
+            following, preceding = after[gone], before[place]
+            symbol[place], symbol[gone] = merged, -1
+            after[place], before[following] = following, place
+            put(gone, -1, -1)
+            put(place, merged, symbol[following] if following < width else -1)
+            if preceding < width:
+                put(preceding, symbol[preceding], merged)
+        return symbol
+
+
 class Encoder:
     """Pieces of a text to ids, equal to the library's ids for the whole text."""
 

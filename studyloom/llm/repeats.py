@@ -4,13 +4,16 @@ A window is ``length`` consecutive words. Among the 10-word grams of a window
 the one with the smallest hash (the rightmost, if several) is its anchor, so
 equal windows have equal anchors at equal places. Documents are joined on
 anchors, never on all windows. Each shared anchor is extended to both sides, as
-far as its own windows reach, against one occurrence: the first one in the
+far as its own windows reach, against one occurrence, the pivot: one in the
 smallest document that holds the anchor. The result is the maximal run of
-windows that both have. Windows that differ from that occurrence are compared
-among each other by the hash of their words. So work stays linear in the number
-of occurrences, whatever the size of a group, and no equal window is missed.
+windows that both have. Windows that reach past a difference from the pivot are
+compared among each other: occurrences that differ at the same place by the same
+word are a class, which has a pivot of its own in the next round. An occurrence
+sends out two ranges a round at most, and every round looks one word further at
+least. So work stays linear in the number of occurrences, whatever the size of a
+group, and no equal window is missed.
 
-Words travel as 32-bit hashes in the extension, windows as 64-bit hashes.
+Words travel as 32-bit hashes in the extension.
 
 Rows: null or empty text has no words and stays as it is. A row without id
 takes no part: nothing is removed from it or because of it. Rows with the same
@@ -141,74 +144,59 @@ def _contexts(length: int):
     return run
 
 
-def _window_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hash of every run of ``length`` of these words."""
-    up, down = W._powers(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum((words.astype(np.uint64) + np.uint64(1)) * up[: len(words)], out=sums[1:])
-    count = len(words) - length + 1
-    return W.mix((sums[length:] - sums[:count]) * down[:count]).view(np.int64)
+_FOUND = "doc_id long, t long, low int, high int, h long, pos int, first int, words binary"
+
+
+def _class(h: int, side: int, distance: int, word: int) -> int:
+    """Name of the occurrences of a class that first differ from its pivot by this word at this place."""
+    x = W.mix(np.array([h & (1 << 64) - 1], dtype=np.uint64) + np.uint64(2 * distance + side))
+    return int(W.mix(x ^ np.uint64(word)).view(np.int64)[0])
 
 
 def _extend(length: int):
-    """Grow each seed to both sides against the first occurrence of its anchor.
+    """Grow each occurrence to both sides against the pivot of its class.
 
-    Gives words [low, high) to remove where that occurrence lies in a smaller
-    document, and the hashes of the windows that differ from it.
+    Gives words [low, high) to remove where the pivot lies in a smaller
+    document. Windows that reach past the first difference go on in a class of
+    their own: those past the one on the left, and of the others those past the
+    one on the right. Whatever window two occurrences share, they differ from
+    the pivot at the same place and by the same word in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs: list[tuple] = []
-            loose: list[tuple[int, int, np.ndarray, int]] = []
-            names = ("doc_id", "t", "pos", "first", "words", "pivot", "p_pos", "p_first", "p_words")
-            for doc, t, pos, first, own, pivot, p_pos, p_first, other in zip(*(batch.column(c).to_pylist() for c in names)):
+            out: list[tuple] = []
+            names = ("h", "doc_id", "t", "pos", "first", "words", "pivot", "p_pos", "p_first", "p_words")
+            for h, doc, t, pos, first, own, pivot, p_pos, p_first, other in zip(*(batch.column(c).to_pylist() for c in names)):
                 back, p_back = pos - first, p_pos - p_first
                 if own == other and back == p_back:
-                    low, high = first, first + len(own) // 4
-                else:
-                    a, b = np.frombuffer(own, dtype=np.uint32), np.frombuffer(other, dtype=np.uint32)
-                    reach = min(back, p_back)
-                    differ = a[back - reach : back] != b[p_back - reach : p_back]
-                    left = int(differ[::-1].argmax()) if differ.any() else reach
-                    reach = min(len(a) - back, len(b) - p_back)
-                    differ = a[back : back + reach] != b[p_back : p_back + reach]
-                    right = int(differ.argmax()) if differ.any() else reach
-                    low, high = pos - left, pos + right
-                    last = first + len(a) - length
-                    if high - low < length:
-                        low, high = last + 1, last + length
-                    if low > first or high - length < last:
-                        hashes = _window_hashes(a, length)
-                        inside = np.ones(len(hashes), dtype=bool)
-                        inside[low - first : high - length - first + 1] = False
-                        loose.append((doc, t, hashes[inside], first + np.flatnonzero(inside)))
+                    if doc > pivot:
+                        out.append((doc, t, first, first + len(own) // 4, None, None, None, None))
+                    continue
+                a, b = np.frombuffer(own, dtype=np.uint32), np.frombuffer(other, dtype=np.uint32)
+                reach = min(back, p_back)
+                differ = a[back - reach : back] != b[p_back - reach : p_back]
+                left = int(differ[::-1].argmax()) if differ.any() else reach
+                reach = min(len(a) - back, len(b) - p_back)
+                differ = a[back : back + reach] != b[p_back : p_back + reach]
+                right = int(differ.argmax()) if differ.any() else reach
+                low, high, last = pos - left, pos + right, first + len(a) - length
                 if high - low >= length and doc > pivot:
-                    runs.append((doc, t, low, high))
-            if runs:
-                doc, t, low, high = zip(*runs)
-                yield _found(doc, t, low, high, None)
-            if loose:
-                sizes = [len(x[2]) for x in loose]
-                starts = np.concatenate([x[3] for x in loose])
-                yield _found(
-                    np.repeat([x[0] for x in loose], sizes), np.repeat([x[1] for x in loose], sizes),
-                    starts, starts + length, np.concatenate([x[2] for x in loose]),
-                )
+                    out.append((doc, t, low, high, None, None, None, None))
+                # begins of the windows past the left end, then of those past the right end only
+                for side, distance, begin, end in ((0, left, first, low - 1), (1, right, max(low, high - length + 1), last)):
+                    if begin <= end:
+                        word = int(a[low - 1 - first] if side == 0 else a[high - first])
+                        body = a[begin - first : end - first + length].tobytes()
+                        out.append((doc, t, None, None, _class(h, side, distance, word), pos, begin, body))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                yield pa.record_batch(columns, names=[f.split()[0] for f in _FOUND.split(", ")])
 
     return run
 
 
-def _found(doc, t, low, high, window) -> pa.RecordBatch:
-    return pa.record_batch({
-        "doc_id": pa.array(np.asarray(doc, dtype=np.int64)),
-        "t": pa.array(np.asarray(t, dtype=np.int32)),
-        "low": pa.array(np.asarray(low, dtype=np.int32)),
-        "high": pa.array(np.asarray(high, dtype=np.int32)),
-        "w": pa.nulls(len(doc), pa.int64()) if window is None else pa.array(window),
-    })
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch):
@@ -228,6 +216,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+def _against_pivots(contexts: DataFrame) -> DataFrame:
+    """Occurrences beside one of those of their class in its smallest document."""
+    own = contexts.where("doc_id = pivot").withColumn("place", F.xxhash64("t", "pos"))
+    place = kept(own.groupBy("h").agg(F.min("place").alias("place")), "places")
+    pivots = own.join(place, ["h", "place"]).select(
+        "h", F.col("pos").alias("p_pos"), F.col("first").alias("p_first"), F.col("words").alias("p_words")
+    )
+    return contexts.join(kept(pivots, "pivots"), "h")
+
+
 def repeated_passages(docs: DataFrame, length: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
     """Words that repeat a window of a document with a smaller id.
 
@@ -237,10 +235,10 @@ def repeated_passages(docs: DataFrame, length: int = WINDOW_WORDS) -> tuple[Data
     """
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.hash(F.col("text").cast("string")).alias("t"),
+        F.xxhash64(F.col("text").cast("string")).alias("t"),
     )
     rows = kept(
-        docs.mapInArrow(_scan(length), f"doc_id long, t int, n_words long, whole_sha256 string, seeds array<{_SEED}>"), "anchors"
+        docs.mapInArrow(_scan(length), f"doc_id long, t long, n_words long, whole_sha256 string, seeds array<{_SEED}>"), "anchors"
     )
     seeds = rows.where("doc_id IS NOT NULL").select("doc_id", "t", F.explode("seeds").alias("s")).select("doc_id", "t", "s.*")
     shared = kept(
@@ -254,36 +252,28 @@ def repeated_passages(docs: DataFrame, length: int = WINDOW_WORDS) -> tuple[Data
         docs.where("doc_id IS NOT NULL").join(kept(own, "seeds"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]), "involved"
     )
     contexts = kept(
-        involved.mapInArrow(_contexts(length), "h long, pivot long, doc_id long, t int, pos int, first int, words binary"),
+        involved.mapInArrow(_contexts(length), "h long, pivot long, doc_id long, t long, pos int, first int, words binary"),
         "contexts",
     )
-    place = contexts.where("doc_id = pivot").groupBy("h").agg(F.min("t").alias("t"), F.count("*"))
-    place = (
-        contexts.where("doc_id = pivot").join(place.select("h", "t"), ["h", "t"])
-        .groupBy("h", "doc_id", "t").agg(F.min("pos").alias("pos"))
-    )
-    pivots = kept(
-        contexts.where("doc_id = pivot").join(place, ["h", "doc_id", "t", "pos"])
-        .select("h", F.col("pos").alias("p_pos"), F.col("first").alias("p_first"), F.col("words").alias("p_words")),
-        "pivots",
-    )
-    found = kept(
-        contexts.join(pivots, "h").drop("h").mapInArrow(_extend(length), "doc_id long, t int, low int, high int, w long"), "found"
-    )
-    loose = found.where("w IS NOT NULL")
-    again = kept(
-        loose.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("top")).where("least <> top").drop("top"),
-        "again",
-    )
-    runs = found.where("w IS NULL").select("doc_id", "t", "low", "high").union(
-        loose.join(again, "w").where("doc_id > least").select("doc_id", "t", "low", "high")
-    )
+    runs = None
+    while True:
+        found = kept(_against_pivots(contexts).mapInArrow(_extend(length), _FOUND), "found")
+        ends = found.where("h IS NULL").select("doc_id", "t", "low", "high")
+        runs = ends if runs is None else runs.union(ends)
+        loose = found.where("h IS NOT NULL").select("h", "doc_id", "t", "pos", "first", "words")
+        shared = kept(
+            loose.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot <> top").drop("top"),
+            "shared",
+        )
+        if not shared.limit(1).count():
+            break
+        contexts = kept(loose.join(shared, "h"), "contexts")
     grouped = kept(
         runs.distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs"
     )
     edits = kept(
         involved.drop("seeds").join(grouped, ["doc_id", "t"])
-        .mapInArrow(_cut, "doc_id long, t int, n_removed long, kept_text string"),
+        .mapInArrow(_cut, "doc_id long, t long, n_removed long, kept_text string"),
         "edits",
     )
     return rows.drop("seeds"), edits
@@ -309,7 +299,7 @@ def without_repeats(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
     _, edits = repeated_passages(docs, length)
     d, e = docs.alias("d"), edits.alias("e")
     rows = d.join(
-        e, (F.col("d.doc_id") == F.col("e.doc_id")) & (F.hash(F.col("d.text").cast("string")) == F.col("e.t")), "left"
+        e, (F.col("d.doc_id") == F.col("e.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("e.t")), "left"
     )
     new = F.col("e.kept_text")
     changed = {"text": F.coalesce(new, "d.text"), "n_chars": F.coalesce(F.char_length(new).cast("long"), "d.n_chars")}

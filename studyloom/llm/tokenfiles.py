@@ -1,14 +1,15 @@
 """Token ids in binary files: frequency ranks in byte-aligned variable length.
 
 A file is a series of segments of about ``SEGMENT_TOKENS`` ids, whole documents
-in ascending doc_id order. In a segment the most frequent id has rank 0, and so
-on (ties to the smaller id); the segment carries that table, so it can be read
-alone and no pass over the corpus is needed before writing. A rank takes one to
-four bytes; how many, less one, is kept apart in two bits of the control bytes
+in ascending doc_id order. The most frequent id of the corpus has rank 0, and so
+on (ties to the smaller id); the table of ranks, bounded by the vocabulary, lies
+beside the segments. Texts are encoded once: segments are first written with
+ranks of their own, their counts are added up, and then they are written again
+with the ranks of the corpus. A rank takes one to four bytes; how many, less one, is kept apart in two bits of the control bytes
 (four ranks to a byte, the first in the lowest bits). Reading looks the lengths
 of four ranks up by their control byte and gathers all ranks at once.
 
-The container is Parquet, one row for a segment, written by Spark's own writer,
+The containers are Parquet (``segments``, one row for each, and ``ranks``), written by Spark's own writer,
 so any store that Spark reaches will do. Texts are dealt to tasks by ranges of
 doc_id and encoded there; a task holds one segment at a time. The number of the
 range and that of the segment in it give the order.
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 from studyloom.session import shared_folder
 
 from .bpe import crc32, encoded
+from .tables import kept
 
 END = 0
 SEGMENT_TOKENS = 1 << 20
 
-FORMAT = "part int, segment int, doc_ids array<long>, sizes array<long>, ranked binary, control binary, data binary"
+FORMAT = "part int, segment int, doc_ids array<long>, sizes array<long>, control binary, data binary"
+RANKS = "id int, rank int"
+_DRAFT = f"{FORMAT}, ranked binary, counts binary"
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
@@ -61,7 +65,8 @@ def from_bytes(control: bytes, data: bytes, count: int) -> np.ndarray:
     return ranks
 
 
-def _segment(part: int, number: int, doc_ids: list, texts: list[bytes]) -> pa.RecordBatch:
+def _draft(part: int, number: int, doc_ids: list, texts: list[bytes]) -> pa.RecordBatch:
+    """A segment with ranks of its own, its ids by rank and their counts."""
     ids = np.frombuffer(b"".join(texts), dtype="<u4")
     counts = np.bincount(ids)
     present = np.flatnonzero(counts)
@@ -74,12 +79,44 @@ def _segment(part: int, number: int, doc_ids: list, texts: list[bytes]) -> pa.Re
         "segment": pa.array([number], pa.int32()),
         "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
         "sizes": pa.array([[len(x) // 4 for x in texts]], pa.list_(pa.int64())),
-        "ranked": pa.array([ranked.astype("<u4").tobytes()], pa.binary()),
         "control": pa.array([control], pa.binary()),
         "data": pa.array([data], pa.binary()),
+        "ranked": pa.array([ranked.astype("<u4").tobytes()], pa.binary()),
+        "counts": pa.array([counts[ranked].astype("<i8").tobytes()], pa.binary()),
     })
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of ids, added up over the segments of a task."""
+    total = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for ranked, counts in zip(batch.column("ranked").to_pylist(), batch.column("counts").to_pylist()):
+            ids = np.frombuffer(ranked, dtype="<u4")
+            if len(ids) and ids.max() >= len(total):
+                total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
+            total[ids] += np.frombuffer(counts, dtype="<i8")
+    ids = np.flatnonzero(total)
+    yield pa.record_batch({"id": pa.array(ids.astype(np.int32)), "n": pa.array(total[ids])})
+
+
+def _ranked_anew(shared):
+    """Segments with the ranks of the corpus in place of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+        names = [f.split()[0] for f in FORMAT.split(", ")]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                ranked, control, data = (one.column(c)[0].as_py() for c in ("ranked", "control", "data"))
+                count = int(np.sum(one.column("sizes")[0].as_py()))
+                ids = np.frombuffer(ranked, dtype="<u4")[from_bytes(control, data, count)]
+                new = dict(zip(("control", "data"), to_bytes(rank[ids])))
+                yield pa.record_batch([pa.array([new[c]], pa.binary()) if c in new else one.column(c) for c in names], names=names)
+
+    return run
+
+
 def _segments(path: str, end: int):
     tail = np.array([end], dtype="<u4").tobytes()
 
@@ -89,7 +126,7 @@ def _segments(path: str, end: int):
             for piece, own in encoded(batch, path):
                 for doc, p, ids in zip(piece.column("doc_id").to_pylist(), piece.column("part").to_pylist(), own):
                     if texts and (p != part or held >= SEGMENT_TOKENS):
-                        yield _segment(part, number, doc_ids, texts)
+                        yield _draft(part, number, doc_ids, texts)
                         number = number + 1 if p == part else 0
                         doc_ids, texts, held = [], [], 0
                     part = p
@@ -97,7 +134,7 @@ def _segments(path: str, end: int):
                     texts.append(ids + tail)
                     held += len(ids) // 4 + 1
         if texts:
-            yield _segment(part, number, doc_ids, texts)
+            yield _draft(part, number, doc_ids, texts)
 
     return run
 
@@ -107,37 +144,52 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     ordered = ordered.sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(_segments(path, end), FORMAT).write.parquet(folder)
+    drafts = kept(ordered.mapInArrow(_segments(path, end), _DRAFT), "drafts")
+    counts = drafts.select("ranked", "counts").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    # as many rows as the vocabulary has ids, at most
+    order = [r["id"] for r in counts.orderBy(F.col("n").desc(), "id").select("id").collect()]
+    rank = np.zeros(max(order, default=0) + 1, dtype=np.uint32)
+    rank[order] = np.arange(len(order))
+    spark = docs.sparkSession
+    spark.createDataFrame(list(zip(order, range(len(order)))), RANKS).coalesce(1).write.parquet(f"{folder}/ranks")
+    drafts.mapInArrow(_ranked_anew(spark.sparkContext.broadcast(rank)), FORMAT).write.parquet(f"{folder}/segments")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The segments of a folder."""
-    return spark.read.schema(FORMAT).parquet(folder)
+def read(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """The segments of a folder, and the ids by rank."""
+    ranks = spark.read.schema(RANKS).parquet(f"{folder}/ranks").collect()
+    ranked = np.zeros(len(ranks), dtype=np.uint32)
+    for r in ranks:
+        ranked[r["rank"]] = r["id"]
+    return spark.read.schema(FORMAT).parquet(f"{folder}/segments"), ranked
 
 
-def segment_ids(ranked: bytes, control: bytes, data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(ranked, dtype="<u4")[from_bytes(control, data, count)]
+def segment_ids(ranked: np.ndarray, control: bytes, data: bytes, count: int) -> np.ndarray:
+    return ranked[from_bytes(control, data, count)]
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            part, segment, doc_ids, sizes, ranked, control, data = (batch.column(c)[row].as_py() for c in range(7))
-            sizes = np.array(sizes, dtype=np.int64)
-            ids = segment_ids(ranked, control, data, int(sizes.sum()))
-            ends = np.cumsum(sizes)
-            body = ids.astype("<u4").tobytes()
-            yield pa.record_batch({
-                "part": pa.array([part] * len(sizes), pa.int32()),
-                "segment": pa.array([segment] * len(sizes), pa.int32()),
-                "doc_id": pa.array(doc_ids, pa.int64()),
-                "at": pa.array(ends - sizes),
-                "n_tokens": pa.array(sizes),
-                "ids_crc32": pa.array([crc32(body[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())], pa.int64()),
-            })
-
-
-def documents(segments: DataFrame) -> DataFrame:
+def _documents(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part, segment, doc_ids, sizes, control, data = (batch.column(c)[row].as_py() for c in range(6))
+                sizes = np.array(sizes, dtype=np.int64)
+                ids = segment_ids(shared.value, control, data, int(sizes.sum()))
+                ends = np.cumsum(sizes)
+                body = ids.astype("<u4").tobytes()
+                yield pa.record_batch({
+                    "part": pa.array([part] * len(sizes), pa.int32()),
+                    "segment": pa.array([segment] * len(sizes), pa.int32()),
+                    "doc_id": pa.array(doc_ids, pa.int64()),
+                    "at": pa.array(ends - sizes),
+                    "n_tokens": pa.array(sizes),
+                    "ids_crc32": pa.array([crc32(body[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())], pa.int64()),
+                })
+
+    return run
+
+
+def documents(segments: DataFrame, ranked: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of some files.
 
     Segments before a document are summed per range first, so the window over
@@ -153,7 +205,7 @@ def documents(segments: DataFrame) -> DataFrame:
         parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "part"
     ).select("part", "segment", (F.col("own") + F.col("base")).alias("first"))
     rows = segments.mapInArrow(
-        _documents, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long"
+        _documents(segments.sparkSession.sparkContext.broadcast(ranked)), "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long"
     )
     return rows.join(starts, ["part", "segment"]).select(
         "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
@@ -164,4 +216,4 @@ def round_trip(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """Write the files of ``docs`` to the shared folder and report what they hold."""
     folder = shared_folder(docs.sparkSession, "tokens")
     write(docs, path, folder, end)
-    return documents(read(docs.sparkSession, folder))
+    return documents(*read(docs.sparkSession, folder))

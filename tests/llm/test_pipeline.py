@@ -10,7 +10,7 @@ from studyloom.llm.queries import ORACLES, QUERIES, vocabulary
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLES) <= set(QUERIES)
 
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 from studyloom.llm import bpe, packing, tokenfiles
 from studyloom.llm.queries import vocabulary
+from studyloom.session import shared_folder
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 ODD = [
@@ -109,3 +111,26 @@ def test_token_files(make, odd, segment, monkeypatch):
         at += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
     assert tokenfiles.round_trip(make(rows).limit(0), vocabulary(BYTE)).count() == 0
+
+
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_long_runs_without_a_break(name):
+    coder, tok = bpe.Encoder(vocabulary(name)), library(name)
+    random = np.random.default_rng(4)
+    runs = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000)), "ab" * 30_000, "日本語テキスト" * 3000, "x" * 65_537]
+    for text in runs:
+        begin = time.process_time()
+        ids = np.frombuffer(coder.encode([text])[0], "<u4").tolist()
+        assert time.process_time() - begin < 6  # a second or less on an idle machine
+        assert ids == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_are_those_of_the_corpus(spark, make, odd, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SEGMENT_TOKENS", 50)
+    tok = library(BYTE)
+    folder = shared_folder(spark, "test-tokens")
+    tokenfiles.write(make(odd), vocabulary(BYTE), folder)
+    counts = collections.Counter(i for _, text, _ in odd for i in tok.encode(text or "", add_special_tokens=False).ids + [0])
+    segments, ranked = tokenfiles.read(spark, folder)
+    assert ranked.tolist() == sorted(counts, key=lambda i: (-counts[i], i))
+    assert segments.count() > 3 and "ranked" not in segments.columns
