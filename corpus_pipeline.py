@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from studyloom.llm import langid, minhash, packing, repeats
 from studyloom.llm.queries import remainder, vocabulary
 from studyloom.llm.tables import kept
+from studyloom.session import scratch, shared_folder
 
 #: Share of its words that a text's language must hold.
 LEAST_SHARE = 0.3
@@ -59,5 +60,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        folder = shared_folder(spark, name)
+        with scratch(spark):  # what a stage writes on its way goes when its result is there
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(folder)
+        docs = spark.read.schema(rows.schema).parquet(folder)
     return docs

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -96,19 +97,28 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS) -> DataFrame
 SAMPLE = 20_000
 ROUNDS = 10
 MOST_CELLS = 4096
-# Share of the cells that a query looks into.
-PROBED = 0.25
+# Recall that the number of probed cells is chosen for, on so many of the queries.
+RECALL = 0.95
+TRIED = 256
 
 
-def fit_cells(chunks: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> np.ndarray:
-    """Centres of the cells of an inverted file (k-means on a bounded sample).
+@dataclass(frozen=True)
+class Cells:
+    """Centres of an inverted file, and the sample they are fitted on."""
 
-    By default the square root of the number of vectors, ``MOST_CELLS`` at most.
+    centres: np.ndarray
+    points: np.ndarray
+
+
+def fit_cells(chunks: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> Cells:
+    """Cells of an inverted file (k-means on a bounded sample).
+
+    By default as many as the square root of the number of vectors, ``MOST_CELLS`` at most.
     """
     vectors = chunks.where("vector IS NOT NULL").select("id", "vector")
     count = vectors.count()
     if not count:
-        return np.zeros((0, 0))
+        return Cells(np.zeros((0, 0)), np.zeros((0, 0)))
     drawn = vectors.sample(fraction=min(1.0, sample / count), seed=1).orderBy(F.xxhash64("id"), "id").limit(2 * sample)
     points = np.array([r["vector"] for r in drawn.select("vector").collect()], dtype=np.float64)
     if not len(points):
@@ -122,7 +132,24 @@ def fit_cells(chunks: DataFrame, cells: int | None = None, sample: int = SAMPLE)
         np.add.at(sums, nearest, points)
         n = np.bincount(nearest, minlength=cells)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-    return centres
+    return Cells(centres, points)
+
+
+def enough_probes(queries: DataFrame, cells: Cells, k: int = NEIGHBOURS, recall: float = RECALL) -> int:
+    """Cells to probe so that some of the queries find that share of their k nearest in the sample."""
+    drawn = queries.where("vector IS NOT NULL").orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED)
+    asked = np.array([r["vector"] for r in drawn.select("vector").collect()], dtype=np.float64)
+    if not len(asked):
+        return 1
+    home = _nearest_cells(cells.points, cells.centres, 1)[:, 0]
+    norms = (cells.points**2).sum(1)
+    ranks = []
+    for point, order in zip(asked, _nearest_cells(asked, cells.centres, len(cells.centres))):
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        ranks.append(place[home[np.argsort(norms - 2.0 * cells.points @ point, kind="stable")[:k]]])
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[min(int(np.ceil(recall * len(ranks))), len(ranks)) - 1]) + 1
 
 
 def _nearest_cells(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
@@ -151,26 +178,27 @@ def _with_cells(rows: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, cells array<int>")
 
 
-def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+def assign_cells(chunks: DataFrame, cells: Cells) -> DataFrame:
     """Every chunk (id, vector) with the cell it belongs to."""
     rows = chunks.where("vector IS NOT NULL").select("id", "vector")
-    if not len(centres):
+    if not len(cells.centres):
         return rows.withColumn("cell", F.lit(0))
-    return _with_cells(rows, centres, 1).select("id", "vector", F.col("cells")[0].alias("cell"))
+    return _with_cells(rows, cells.centres, 1).select("id", "vector", F.col("cells")[0].alias("cell"))
 
 
-def knn_probed(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = NEIGHBOURS, probes: int | None = None) -> DataFrame:
+def knn_probed(queries: DataFrame, indexed: DataFrame, cells: Cells, k: int = NEIGHBOURS, probes: int | None = None) -> DataFrame:
     """The k nearest chunks of every query among those of its nearest cells.
 
-    ``indexed``: id, vector, cell. By default a query probes ``PROBED`` of the
-    cells, eight at least; with all cells the result is exact. A cell is cut
+    ``indexed``: id, vector, cell. By default as many cells are probed as
+    ``enough_probes`` finds; with all cells the result is exact. A cell is cut
     into blocks of bounded size, so one that holds most chunks is no bottleneck.
     """
     schema = _hits(queries, indexed)
     queries = queries.where("vector IS NOT NULL").select("query_id", "vector")
+    centres = cells.centres
     if not len(centres):
         return knn(queries, indexed, k)
-    probes = min(probes or max(8, int(PROBED * len(centres))), len(centres))
+    probes = min(probes or enough_probes(queries, cells, k), len(centres))
     shares = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_CHUNKS).cast("int").alias("shares"))
     found = (
         indexed.join(shares, "cell")

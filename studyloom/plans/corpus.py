@@ -215,17 +215,17 @@ def chunk_recursive_words(spark, folder):
 
 @query(
     "chunk_recursive_whole",
-    """SELECT concat('doc', doc_id, '-0') AS id, md5(text) AS digest FROM documents WHERE length(text) < 1000""",
+    """SELECT concat('doc', doc_id, '-0') AS id, CASE WHEN length(text) < 1000 THEN md5(text) END AS digest FROM documents""",
 )
 def chunk_recursive_whole(spark, folder):
-    """The chunks of the files that stay whole, out of the full chunking."""
+    """The first chunk of every file, with its digest where the file stays whole."""
     full = chunk_recursive(spark, folder)
     docs = table(spark, folder, "documents").select(
         F.concat(F.lit("/data/doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
-        F.length("text").alias("size"),
+        (F.length("text") < ops.CHUNK_SIZE).alias("whole"),
     )
-    kept = docs.where(f"size < {ops.CHUNK_SIZE}").select("path")
-    return full.join(kept, "path", "left_semi").select("id", F.md5("text").alias("digest"))
+    first = full.where(F.endswith("id", F.lit("-0"))).join(docs, "path")
+    return first.select("id", F.when(F.col("whole"), F.md5("text")).alias("digest"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import tempfile
@@ -38,6 +39,26 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
     return spark
 
 
+#: Folders made inside ``scratch`` blocks, the innermost last.
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove the shared folders made inside the block at its end.
+
+    For steps whose result is written elsewhere: what they kept on the way is
+    of no use after that.
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        for folder in _made.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -52,7 +73,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="studyloom-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(folder)
+    return folder
 
 
 _SHIPPED = "studyloom.zip"

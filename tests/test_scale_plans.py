@@ -55,13 +55,13 @@ def test_recall_of_the_inverted_file(spark, cells):
     folder = "/root/testdata/sf0.01"
     vectors = view(spark, folder, "fx_vectors").select("id", "vector")
     asked = vectors.where("id % 5 = 0").select(F.col("id").alias("query_id"), "vector")
-    centres = retrieval.fit_cells(vectors, cells)
-    indexed = retrieval.assign_cells(vectors, centres)
+    cells_ = retrieval.fit_cells(vectors, cells)
+    indexed = retrieval.assign_cells(vectors, cells_)
     assert indexed.count() == vectors.count()  # every row, though the cells are fitted on a sample
     exact = {(r.query_id, r.id) for r in retrieval.knn(asked, vectors).collect()}
-    found = {(r.query_id, r.id) for r in retrieval.knn_probed(asked, indexed, centres).collect()}
+    found = {(r.query_id, r.id) for r in retrieval.knn_probed(asked, indexed, cells_).collect()}
     assert len(found & exact) / len(exact) >= 0.9
-    whole = {(r.query_id, r.id, r["rank"]) for r in retrieval.knn_probed(asked, indexed, centres, probes=len(centres)).collect()}
+    whole = {(r.query_id, r.id, r["rank"]) for r in retrieval.knn_probed(asked, indexed, cells_, probes=len(cells_.centres)).collect()}
     assert whole == {(r.query_id, r.id, r["rank"]) for r in retrieval.knn(asked, vectors).collect()}
 
 
@@ -76,8 +76,8 @@ def test_an_inverted_file_with_a_hot_cell(spark, monkeypatch):
     rows = [(i, [1.0, 1.0]) for i in range(400)] + [(1000 + i, [float(i), -float(i)]) for i in range(100)] + [(2000, None)]
     chunks = spark.createDataFrame(rows, "id long, vector array<double>")
     asked = spark.createDataFrame([(1, [1.0, 1.1]), (2, [50.0, -50.0]), (3, None)], "query_id long, vector array<double>")
-    centres = retrieval.fit_cells(chunks, 8)
-    got = retrieval.knn_probed(asked, retrieval.assign_cells(chunks, centres), centres, 3, probes=4).collect()
+    cells_ = retrieval.fit_cells(chunks, 8)
+    got = retrieval.knn_probed(asked, retrieval.assign_cells(chunks, cells_), cells_, 3, probes=4).collect()
     assert sorted((r.query_id, r["rank"], r.id) for r in got) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 1050), (2, 2, 1049), (2, 3, 1051)]
     nothing = chunks.limit(0)
     empty = retrieval.fit_cells(nothing)
