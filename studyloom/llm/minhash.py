@@ -43,8 +43,9 @@ PIVOTS = 2
 ERRORS = 4.5
 BLOCK = 256
 SMALL = 256
-#: Pairs of two components that are confirmed at first; four times as many after each failure.
-CANDIDATES = 2
+#: Pairs of two components that are confirmed at first; more of them after each failure.
+CANDIDATES = 64
+FURTHER = 16
 
 _SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, shingles array<int>"
 
@@ -340,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             groups = components(links)
             if not found.where("more").limit(1).count():
                 break
-            low, high = high, 4 * high
+            low, high = high, FURTHER * high
     groups = groups.withColumnRenamed("id", "doc_id")
     named_members = (
         members.groupBy("doc_id").agg(F.min("id").alias("id"))

@@ -10,7 +10,8 @@ windows that both have. Windows that reach past a difference from the pivot are
 compared among each other: occurrences that differ at the same place by the same
 word are a class, which has a pivot of its own in the next round. An occurrence
 sends out two ranges a round at most, and every round looks one word further at
-least. So work stays linear in the number of occurrences, whatever the size of a
+least. Classes of up to ``TOGETHER`` occurrences are settled at once, in one
+task. So work stays linear in the number of occurrences, whatever the size of a
 group, and no equal window is missed.
 
 Words travel as 32-bit hashes in the extension.
@@ -36,6 +37,7 @@ from .tables import kept
 
 WINDOW_WORDS = 50
 GRAM_WORDS = 10
+TOGETHER = 256
 
 _SEED = "struct<h: long, pos: int, first: int, last: int>"
 
@@ -197,6 +199,57 @@ def _extend(length: int):
     return run
 
 
+def _window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of every run of ``length`` of these words."""
+    up, down = W._powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum((words.astype(np.uint64) + np.uint64(1)) * up[: len(words)], out=sums[1:])
+    count = len(words) - length + 1
+    return W.mix((sums[length:] - sums[:count]) * down[:count])
+
+
+def _settle(length: int):
+    """Words to remove in classes that come whole and in the order of ``h``."""
+
+    def settled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, doc, t, first = (batch.column(c).to_numpy() for c in ("h", "doc_id", "t", "first"))
+        windows = [_window_hashes(np.frombuffer(x, dtype=np.uint32), length) for x in batch.column("words").to_pylist()]
+        sizes = np.array([len(w) for w in windows])
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = W.mix(np.concatenate(windows) + h[row].view(np.uint64) * np.uint64(W.BASE))
+        order = np.lexsort((doc[row], key))
+        heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        least = np.empty(len(row), dtype=np.int64)
+        least[order] = np.repeat(doc[row][order][heads], np.diff(np.append(heads, len(row))))
+        gone = np.flatnonzero(doc[row] > least)
+        # windows one after the other are one run
+        begin = np.concatenate([[True], (np.diff(gone) != 1) | (np.diff(row[gone]) != 0)])[: len(gone)]
+        low = gone[begin]
+        high = gone[np.append(np.flatnonzero(begin)[1:] - 1, len(gone) - 1)] if len(gone) else gone
+        return pa.record_batch({
+            "doc_id": pa.array(doc[row[low]]), "t": pa.array(t[row[low]]),
+            "low": pa.array(start[low].astype(np.int32)), "high": pa.array((start[high] + length).astype(np.int32)),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            h = rows.column("h").to_numpy()
+            # the last class may go on in the next batch
+            last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+            held = rows.slice(last)
+            if last:
+                yield settled(rows.slice(0, last).combine_chunks().to_batches()[0])
+        if held is not None:
+            yield settled(held.combine_chunks().to_batches()[0])
+
+    return run
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch):
@@ -262,9 +315,14 @@ def repeated_passages(docs: DataFrame, length: int = WINDOW_WORDS) -> tuple[Data
         runs = ends if runs is None else runs.union(ends)
         loose = found.where("h IS NOT NULL").select("h", "doc_id", "t", "pos", "first", "words")
         shared = kept(
-            loose.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot <> top").drop("top"),
+            loose.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top"), F.count("*").alias("n"))
+            .where("pivot <> top").drop("top"),
             "shared",
         )
+        small = loose.join(shared.where(f"n <= {TOGETHER}").select("h"), "h").select("h", "doc_id", "t", "first", "words")
+        settled = small.repartition("h").sortWithinPartitions("h").mapInArrow(_settle(length), "doc_id long, t long, low int, high int")
+        runs = runs.union(kept(settled, "settled"))
+        shared = shared.where(f"n > {TOGETHER}").drop("n")
         if not shared.limit(1).count():
             break
         contexts = kept(loose.join(shared, "h"), "contexts")

@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pytest
 from conftest import base_text, shingles, words  # noqa: F401  (tests/llm/conftest.py)
 
 from studyloom.llm import minhash, repeats
@@ -164,8 +165,10 @@ def test_pairs_grow_in_proportion_to_a_group(make, monkeypatch):
     assert handed[800] <= 4 * 1.3 * handed[200] and handed[800] <= 12 * 800
 
 
-def test_a_common_line_sends_ranges_not_windows(make, monkeypatch):
+@pytest.mark.parametrize("together", [256, 2])
+def test_a_common_line_sends_ranges_not_windows(make, monkeypatch, together):
     """A line of 14 words in otherwise different texts, and classes of texts that share more of its surroundings."""
+    monkeypatch.setattr(repeats, "TOGETHER", together)
     line = base_text(91, 14)
     rows = [(i, f"{base_text(1000 + i, 45)} {line} {base_text(5000 + i, 45)}", "en") for i in range(150)]
     left, right = base_text(92, 40), base_text(93, 40)
