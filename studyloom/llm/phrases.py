@@ -56,7 +56,9 @@ SHARD = 1 << 18
 SPARSE = 32
 LEAST_BITS, MOST_BITS = 20, 30
 #: Distinct phrases that a task holds before it gives out its sums.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Rows that a task gives out at a time.
+GIVEN = 1 << 16
 #: Counts in a block, and groups of tasks whose blocks are added up first.
 BLOCK = 4096
 GROUPS = 64
@@ -150,10 +152,13 @@ class _Sums:
         self.documents = np.insert(self.documents, at[new], least[new])
         return order[heads[new]]
 
-    def rows(self) -> pa.RecordBatch:
-        return pa.record_batch({
-            "key": pa.array(self.keys.view(np.int64)), "n": pa.array(self.counts), "document": pa.array(self.documents.astype(np.int32)),
-        })
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(self.keys), GIVEN):
+            part = slice(low, low + GIVEN)
+            yield pa.record_batch({
+                "key": pa.array(self.keys[part].view(np.int64)), "n": pa.array(self.counts[part]),
+                "document": pa.array(self.documents[part].astype(np.int32)),
+            })
 
 
 def _bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -192,11 +197,10 @@ def _seen(lengths: Sequence[int], filtered: int = 0, bitmap=None) -> Callable:
                         take[: max(len(good) - step, 0)] &= good[step:]
                 sums[k].add(_keyed(hashes[k][take], k), text.document[take])
                 if len(sums[k].keys) >= HELD:
-                    yield sums[k].rows()
+                    yield from sums[k].rows()
                     sums[k] = _Sums()
         for held in sums.values():
-            if len(held.keys):
-                yield held.rows()
+            yield from held.rows()
 
     return run
 
