@@ -74,10 +74,12 @@ def banded_positions(df: DataFrame, keys: Sequence[str], rough: Column, order: S
     ``rough`` is a number that never falls along ``order``. Only keys with more
     than ``BAND`` rows are cut, at the quantiles of ``rough``, so their number
     of bands is bounded and so is the window over them. Reads ``df`` several
-    times; write it first where it is expensive.
+    times, once to count (a job); write it first where it is expensive.
     """
     rows = df.withColumn("__rough", rough)
     large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > BAND).select(*keys)
+    if not large.limit(1).count():
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     shares = [i / BANDS for i in range(1, BANDS)]
     cuts = rows.join(large, list(keys), "left_semi").groupBy(*keys).agg(
         F.percentile_approx("__rough", shares, 64 * BANDS).alias("__cuts")
