@@ -259,9 +259,9 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t) for t in texts]
         fresh = set().union(*pieces)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = dict(self.special)
         new = list(fresh.difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:  # what these texts ask for stays
+            self.known = self.special | {p: self.known[p] for p in fresh.intersection(self.known)}
         if new:
             self.known.update(zip(new, self.merges.encode([p.encode() for p in new])))
         get = self.known.__getitem__
