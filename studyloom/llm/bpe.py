@@ -19,8 +19,10 @@ Null text reads as empty text. The pieces a task remembers are bounded by
 
 from __future__ import annotations
 
+import collections
 import functools
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -238,9 +240,9 @@ class Encoder:
         self.byte_of = {s: b for b, s in enumerate(byte_symbols())}
         self.token_bytes = {i: s.encode() for s, i in self.library.get_vocab(with_added_tokens=True).items()}
         special = self.library.get_added_tokens_decoder()
-        self.special = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in special.items()}
+        self.special = {t.content: i for i, t in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.known: dict[str, bytes] = dict(self.special)
+        self._remember(list(self.special), np.array(list(special), dtype="<u4"), np.arange(len(special) + 1))
 
     def _pieces(self, text: str) -> list[str]:
         """Strings that the merges of a text do not leave."""
@@ -255,17 +257,47 @@ class Encoder:
             text = self.library.normalizer.normalize_str(text)
         return [bytes([self.byte_of[c] for c in p]).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def _remember(self, pieces: list[str], ids: np.ndarray, first: np.ndarray) -> None:
+        """Number some pieces; piece i has the ids from ``first[i]`` up to ``first[i + 1]``."""
+        self.known = collections.defaultdict(None, zip(pieces, range(len(pieces))))
+        self.known.default_factory = self.known.__len__  # a new piece gets the next number
+        self.ids, self.first = ids, first
+
+    def _learn(self) -> None:
+        """Encode the pieces that have a number and no ids yet."""
+        new = list(itertools.islice(self.known, len(self.first) - 1, None))
+        if new:
+            found = self.merges.encode([p.encode() for p in new])
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype="<u4")])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces in a row, and where each piece begins."""
+        sizes = self.first[numbers + 1] - self.first[numbers]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(self.first[numbers] - begin[:-1], sizes) + np.arange(begin[-1])], begin
+
+    def _forget(self, numbers: np.ndarray) -> None:
+        """Keep the special tokens and the pieces of some numbers."""
+        keep = np.union1d(np.arange(len(self.special)), numbers)
+        names = list(self.known)
+        ids, first = self._gather(keep)
+        self._remember([names[i] for i in keep.tolist()], ids, first)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [self._pieces(t) for t in texts]
-        fresh = set().union(*pieces)
-        new = list(fresh.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:  # what these texts ask for stays
-            self.known = self.special | {p: self.known[p] for p in fresh.intersection(self.known)}
-        if new:
-            self.known.update(zip(new, self.merges.encode([p.encode() for p in new])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        number, rows = self.known.__getitem__, []
+        for text in texts:
+            own = self._pieces(text)
+            rows.append(np.fromiter(map(number, own), dtype=np.int32, count=len(own)))
+        self._learn()
+        numbers = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
+        ids, begin = self._gather(numbers)
+        body, ends = ids.tobytes(), (begin[np.cumsum([len(r) for r in rows], dtype=np.int64)] * 4).tolist()
+        if len(self.known) > REMEMBERED:
+            self._forget(numbers)
+        return [body[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text of some ids, as the library decodes them with special tokens kept."""
