@@ -1,26 +1,35 @@
 """Stateful processors of the live quiz and of study sessions.
 
-State lies in Spark's state store, one entry per key, and only what a batch
-changes is written with it. A room with very many players is no bottleneck: its
-players are dealt over ``SHARDS`` keys (room, shard), and an event of the whole
-room goes to each of them. What is needed per room is summed per shard and
-batch before it meets.
+State lies in Spark's state store. A call to the store takes far longer than
+the work on a row, so sessions and questions are dealt over ``BUCKETS`` keys and
+a bucket is one entry, as is what players of a shard have answered: it is read
+and written once per batch, and only if the batch has rows for it. A room with
+very many players is no bottleneck: its players are dealt over ``SHARDS`` keys
+(room, shard), and an event of the whole room goes to each of them. What is
+needed per room is summed per shard and batch before it meets.
 
 State goes when its room or question ends or its session is paired. Rows that
 come before the row they belong to (an answer before its question, an end before
-its start) are held for ``HOLD_DAYS`` of processing time.
+its start) are held for ``HOLD_DAYS`` of processing time; a bucket forgets them
+the next time it has rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SHARDS = 16
+BUCKETS = 1024
+PACK_BYTES = 16 << 20  # rows of a task that are packed at a time
+PARTS = 32  # of the questions of a player
 HOLD_DAYS = 7
 NO_ANSWER = -1
 
@@ -42,9 +51,8 @@ def _row(schema: str) -> Row:
     return Row(*[field.split()[0] for field in schema.split(", ")])
 
 
-_answer, _total, _result, _histogram, _change, _progress, _session = map(
-    _row, (ANSWER, TOTAL, RESULT, HISTOGRAM, CHANGE, PROGRESS, SESSION)
-)
+_histogram, _change, _progress = map(_row, (HISTOGRAM, CHANGE, PROGRESS))
+_pack = _row("rows binary")
 
 
 def _micros(rows: DataFrame, *names: str) -> DataFrame:
@@ -59,12 +67,109 @@ def sharded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("shard", F.explode(F.when(F.col("user_id").isNull(), everywhere).otherwise(own)))
 
 
-def _order(row: Row) -> tuple:
-    """Time, and all other values to break ties; nulls first."""
-    return (row.ts, *[(v is not None, v) for k, v in sorted(row.asDict().items()) if k not in ("ts", "kind", "shard")])
+def _folded(key: str) -> Column:
+    """A number below ``BUCKETS``: all bits of a key, laid over each other."""
+    bits = BUCKETS.bit_length() - 1
+    folded = F.col(key)
+    for shift in range(bits, 64, bits):
+        folded = folded.bitwiseXOR(F.shiftrightunsigned(key, shift))
+    return folded.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
-class Answers(StatefulProcessor):
+class Held:
+    """A value of Python in one entry of state: read once, written once."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.entry = handle.getValueState(name, "value binary")
+
+    def get(self, default):
+        found = self.entry.get()
+        return pickle.loads(bytes(found[0])) if found else default
+
+    def put(self, value) -> None:
+        """Keep a value; an empty one leaves no entry."""
+        if value:
+            self.entry.update((pickle.dumps(value, pickle.HIGHEST_PROTOCOL),))
+        else:
+            self.entry.clear()
+
+    def clear(self) -> None:
+        self.entry.clear()
+
+
+def _packs(keys: list[str]):
+    """Rows of equal keys as one row, keys and an Arrow stream, for some batches of a task at a time."""
+
+    def one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in keys]).combine_chunks()
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = True
+        for k in keys:
+            values = pc.fill_null(table.column(k), -1).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+            new[1:] |= np.diff(table.column(k).is_null().to_numpy().astype(np.int8)) != 0
+        first = np.flatnonzero(new)
+        packs = [_stream(table.slice(a, n)) for a, n in zip(first.tolist(), np.diff([*first, table.num_rows]).tolist())]
+        heads = table.select(keys).take(pa.array(first)).combine_chunks()
+        return pa.record_batch([*(heads.column(k).combine_chunks() for k in keys), pa.array(packs, pa.binary())], names=[*keys, "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield one(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield one(waiting)
+
+    return run
+
+
+def _stream(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packs: Iterator[Row]) -> pa.Table:
+    """All rows of a key."""
+    return pa.concat_tables([pa.ipc.open_stream(bytes(p.rows)).read_all() for p in packs])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pack in batch.column("rows").to_pylist():
+            yield from pa.ipc.open_stream(pack).read_all().to_batches()
+
+
+def packed_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str, time: str) -> DataFrame:
+    """A stream through a processor of packed rows (``Packed``): handing over single rows costs more than the work on them."""
+    fields = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+    packs = rows.mapInArrow(_packs(keys), f"{fields}, rows binary").groupBy(*keys)
+    return packs.transformWithState(processor, "rows binary", mode, time).mapInArrow(_opened, schema)
+
+
+class Packed(StatefulProcessor):
+    """A processor whose rows come and go in packs; ``rows`` does the work on the table of a key."""
+
+    schema: str
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+        names, types = zip(*(field.split() for field in self.schema.split(", ")))
+        out = list(self.results(key, rows, timerValues))
+        if out:
+            yield _pack(_stream(pa.table([pa.array(x, kinds[t]) for x, t in zip(zip(*out), types)], names=list(names))))
+
+    def close(self) -> None:
+        pass
+
+
+class Answers(Packed):
     """First answers of the players of a shard, their running totals, and the totals when the room ends.
 
     ``give`` chooses what comes out: "answers", "totals" (of players with a new
@@ -75,56 +180,61 @@ class Answers(StatefulProcessor):
 
     def __init__(self, give: str):
         self.give = give
+        self.schema = {"answers": ANSWER, "totals": TOTAL, "results": RESULT}[give]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.answered = handle.getMapState("answered", "user_id long, question_number long", "seen boolean")
-        self.totals = handle.getMapState("totals", "user_id long", "score long, correct_answers long")
+        self.answered = Held(handle, "answered")  # players and questions
+        self.totals = Held(handle, "totals")  # points and correct answers of each player
         self.ended = handle.getValueState("ended", "ended boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first: dict[tuple, Row] = {}
-        over, ended_at = False, None
-        for row in rows:
-            if row.kind == "finished":
-                over, ended_at = True, row.ts
-            elif row.kind == "answer":
-                k = (row.user_id, row.question_number)
-                if k not in first or _order(row) < _order(first[k]):
-                    first[k] = row
+    def results(self, key, rows, timerValues) -> Iterator[tuple]:
         if self.ended.exists():
             return
+        table = _unpacked(rows)
+        over = pc.equal(table.column("kind"), "finished")
+        ended = table.filter(over).column("ts").to_pylist()
+        over, ended_at = bool(ended), ended[-1] if ended else None
+        said = table.filter(pc.equal(table.column("kind"), "answer"))
+        # the first by time, and all other values to break ties; nulls first
+        ties = [c for c in sorted(said.schema.names) if c not in ("ts", "kind", "shard")]
+        said = said.take(pc.sort_indices(said, [(c, "ascending") for c in ["ts", *ties]], null_placement="at_start"))
+        names = [c for c in ("selected_answer", "response_time", "points", "is_correct") if c in said.schema.names]
+        first: dict[tuple, dict] = {}
+        for user, question, *values in zip(*(said.column(c).to_pylist() for c in ("user_id", "question_number", *names))):
+            first.setdefault((user, question), values)
+        answered, totals = self.answered.get(set()), self.totals.get({})
         moved: dict[int, tuple] = {}
-        for k, row in first.items():
-            if self.answered.containsKey(k):
+        for k, values in first.items():
+            if k in answered:
                 continue
-            self.answered.updateValue(k, (True,))
+            answered.add(k)
             if self.give == "answers":
-                yield _answer(key[0], *k, row.selected_answer, row.response_time)
+                yield (key[0], *k, *values[:2])
                 continue
-            before = moved.get(k[0]) or self.totals.getValue((k[0],)) or (0, 0)
-            moved[k[0]] = (before[0] + row.points, before[1] + int(row.is_correct))
-        for user, total in moved.items():
-            self.totals.updateValue((user,), total)
-            if self.give == "totals":
-                yield _total(key[0], user, *total)
+            before = moved.get(k[0]) or totals.get(k[0]) or (0, 0)
+            moved[k[0]] = (before[0] + values[2], before[1] + int(values[3]))
+        totals.update(moved)
+        if self.give == "totals":
+            for user, total in moved.items():
+                yield (key[0], user, *total)
         if over:
             if self.give == "results":
-                yield _result(key[0], None, 0, 0, ended_at)
-                for user, total in self.totals.iterator():
-                    yield _result(key[0], user[0], *total, ended_at)
+                yield (key[0], None, 0, 0, ended_at)
+                for user, total in totals.items():
+                    yield (key[0], user, *total, ended_at)
             self.answered.clear()
             self.totals.clear()
             self.ended.update((True,))
-
-    def close(self) -> None:
-        pass
+        elif first:
+            self.answered.put(answered)
+            self.totals.put(totals)
 
 
 def answers(rows: DataFrame, give: str) -> DataFrame:
     """A stream of answers (kind "answer") and ended rooms ("finished"), through :class:`Answers`."""
-    schema = {"answers": ANSWER, "totals": TOTAL, "results": RESULT}[give]
+    processor = Answers(give)
     mode = "Update" if give == "totals" else "Append"
-    out = sharded(_micros(rows, "ts")).groupBy("room_id", "shard").transformWithState(Answers(give), schema, mode, "None")
+    out = packed_state(sharded(_micros(rows, "ts")), ["room_id", "shard"], processor, processor.schema, mode, "None")
     return out.withColumn("ended_at", F.timestamp_micros("ended_at")) if give == "results" else out
 
 
@@ -300,37 +410,41 @@ def barrier(changes: DataFrame, rooms: DataFrame, end_rule: str = "stay") -> Dat
     return rows.groupBy("room_id").transformWithState(Barrier(end_rule), PROGRESS, "Update", "None")
 
 
-class Sessions(StatefulProcessor):
-    """A session from its start and its earliest end, whichever comes first."""
+class Sessions(Packed):
+    """Sessions of a bucket, each from its start and its earliest end, whichever comes first."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.start = handle.getValueState("start", "user_id long, topic string, start_time long")
-        self.end = handle.getValueState("end", "end_time long, score double", _HOLD)
+    schema = SESSION
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        start, ends = None, []
-        for row in rows:
-            if row.kind == "start":
-                start = start or (row.user_id, row.topic, row.start_time)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.started = Held(handle, "start")  # by session: user_id, topic and start_time
+        self.ended = Held(handle, "end")  # by session without a start: its earliest end, and when it came
+
+    def results(self, key, rows, timerValues) -> Iterator[tuple]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        starts: dict[int, tuple] = {}
+        ends: dict[int, tuple] = {}
+        names = ("kind", "session_id", "user_id", "topic", "start_time", "end_time", "score")
+        table = _unpacked(rows)
+        for kind, session, user, topic, start, end, score in zip(*(table.column(c).to_pylist() for c in names)):
+            if kind == "start":
+                starts.setdefault(session, (user, topic, start))
             else:
-                ends.append((row.end_time, row.score is not None, row.score))
-        start = self.start.get() or start
-        held = self.end.get()
-        if held:
-            ends.append((held[0], held[1] is not None, held[1]))
-        if start and ends:
-            end, _, score = min(ends)
-            yield _session(key[0], start[0], start[1], (end - start[2]) // _SECOND, score)
-            self.start.clear()
-            self.end.clear()
-        elif start:
-            self.start.update(tuple(start))
-        else:
-            end, _, score = min(ends)
-            self.end.update((end, score))
-
-    def close(self) -> None:
-        pass
+                own = (end, score is not None, score)
+                ends[session] = min(ends.get(session, own), own)
+        started = self.started.get({})
+        ended = {session: held for session, held in self.ended.get({}).items() if held[1] + _HOLD > now}
+        for session in starts.keys() | ends.keys():
+            start = started.pop(session, None) or starts.get(session)
+            held = [ended.pop(session)[0]] if session in ended else []
+            end = min([*held, ends[session]] if session in ends else held, default=None)
+            if start and end:
+                yield (session, start[0], start[1], (end[0] - start[2]) // _SECOND, end[2])
+            elif start:
+                started[session] = start
+            else:
+                ended[session] = (end, now)
+        self.started.put(started)
+        self.ended.put(ended)
 
 
 def sessions(rows: DataFrame) -> DataFrame:
@@ -339,62 +453,67 @@ def sessions(rows: DataFrame) -> DataFrame:
     A session without an end stays, however long; an end without a start is
     held for ``HOLD_DAYS``, a second end of a session as well.
     """
-    return _micros(rows, "start_time", "end_time").groupBy("session_id").transformWithState(Sessions(), SESSION, "Append", "ProcessingTime")
+    dealt = _micros(rows, "start_time", "end_time").withColumn("bucket", _folded("session_id"))
+    return packed_state(dealt, ["bucket"], Sessions(), SESSION, "Append", "ProcessingTime")
 
 
-class Questions(StatefulProcessor):
-    """One decision per player and question: the answer, or none after the time limit.
+class Questions(Packed):
+    """One decision per player and question of a bucket: the answer, or none after the time limit.
 
     The question stays until it is closed, so an answer that is repeated is
     not decided again. An answer or a close that comes before the question is
     held.
     """
 
+    schema = ANSWER
+
     def __init__(self, limit: float, first_limit: float):
         self.limit, self.first_limit = limit, first_limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.asked = handle.getValueState("asked", "asked_at long, decided boolean")
-        self.answer = handle.getValueState("answer", "ts long, selected_answer int, response_time double", _HOLD)
-        self.closed = handle.getValueState("closed", "closed boolean", _HOLD)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        asked, closed, given = None, False, []
-        for row in rows:
-            if row.kind == "asked":
-                asked = asked or (row.asked_at, False)
-            elif row.kind == "closed":
-                closed = True
+        self.asked = Held(handle, "asked")  # by room, player and question: when it was asked, whether it is decided
+        self.early = Held(handle, "early")  # the same without a question: answer and when it came, when the close came
+
+    def results(self, key, rows, timerValues) -> Iterator[tuple]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        new: dict[tuple, list] = {}
+        names = ("room_id", "user_id", "question_number", "kind", "asked_at", "ts", "selected_answer", "response_time")
+        table = _unpacked(rows)
+        for room, user, question, kind, asked_at, ts, selected, seconds in zip(*(table.column(c).to_pylist() for c in names)):
+            own = new.setdefault((room, user, question), [None, None, False])
+            if kind == "asked":
+                own[0] = own[0] or (asked_at,)
+            elif kind == "closed":
+                own[2] = True
             else:
-                given.append((row.ts, row.selected_answer, row.response_time))
-        asked = self.asked.get() or asked
-        if not asked:
-            if given and not self.answer.exists():
-                self.answer.update(min(given))
-            if closed:
-                self.closed.update((True,))
-            return
-        if self.answer.exists():
-            given.append(tuple(self.answer.get()))
-            self.answer.clear()
-        closed = closed or self.closed.exists()
-        decided = asked[1]
-        if not decided and (given or closed):
-            limit = self.first_limit if key[2] == 1 else self.limit
-            decided = True
-            answer = min(given) if given else None
-            if answer and answer[0] <= asked[0] + limit * _SECOND:
-                yield _answer(*key, answer[1], answer[2])
-            else:
-                yield _answer(*key, NO_ANSWER, float(limit))
-        if closed:
-            self.asked.clear()
-            self.closed.clear()
-        else:
-            self.asked.update((asked[0], decided))
-
-    def close(self) -> None:
-        pass
+                answer = (ts, selected, seconds)
+                own[1] = min(own[1] or answer, answer)
+        questions, early = self.asked.get({}), {}
+        for k, (answer, since, closed) in self.early.get({}).items():
+            answer = answer if answer and since + _HOLD > now else None
+            closed = closed if closed and closed + _HOLD > now else None
+            if answer or closed:
+                early[k] = (answer, since, closed)
+        for k, (asked, given, over) in new.items():
+            asked, decided = questions.pop(k, None) or (asked, False)
+            answer, since, closed = early.pop(k, (None, None, None))
+            if not asked:
+                # the first held answer stays, however many come
+                early[k] = (answer or given, since if answer else now, now if over else closed)
+                continue
+            given = min((x for x in (answer, given) if x), default=None)
+            over = over or closed is not None
+            if not decided and (given or over):
+                limit = self.first_limit if k[2] == 1 else self.limit
+                decided = True
+                if given and given[0] <= asked[0] + limit * _SECOND:
+                    yield (*k, given[1], given[2])
+                else:
+                    yield (*k, NO_ANSWER, float(limit))
+            if not over:
+                questions[k] = (asked, decided)
+        self.asked.put(questions)
+        self.early.put(early)
 
 
 def questions(rows: DataFrame, limit: float, first_limit: float | None = None) -> DataFrame:
@@ -403,4 +522,6 @@ def questions(rows: DataFrame, limit: float, first_limit: float | None = None) -
     ``first_limit`` is another limit, in seconds, for a player's first question.
     """
     processor = Questions(limit, limit if first_limit is None else first_limit)
-    return _micros(rows, "asked_at", "ts").groupBy("room_id", "user_id", "question_number").transformWithState(processor, ANSWER, "Append", "ProcessingTime")
+    part = F.pmod(F.xxhash64("room_id", "question_number"), F.lit(PARTS))
+    dealt = _micros(rows, "asked_at", "ts").withColumns({"part": part, "bucket": F.pmod("user_id", F.lit(BUCKETS // PARTS))})
+    return packed_state(dealt, ["part", "bucket"], processor, ANSWER, "Append", "ProcessingTime")

@@ -49,6 +49,21 @@ def test_sessions_of_any_length(spark):
     assert keys_left(spark, checkpoint, "start") == [(2,)]
 
 
+def test_many_sessions_share_entries_of_state(spark):
+    """An entry per session would cost a call to the store for each, whatever the size of a batch."""
+    schema = "session_id long, user_id long, topic string, score double, start_time timestamp, end_time timestamp, kind string"
+    n = 2 * state.BUCKETS + 100
+    frames = [
+        [(i << 20, 1, "a", None, at(0), None, "start") for i in range(n)],
+        [(i << 20, None, None, 1.0, None, at(1), "end") for i in range(n)],
+    ]
+    out, checkpoint = replay(spark, frames[:1], schema, live.pair_sessions)
+    # ids that differ in their high bits only are dealt over all buckets
+    assert out == [[]] and state.BUCKETS // 2 < len(keys_left(spark, checkpoint, "start")) <= state.BUCKETS
+    out, checkpoint = replay(spark, frames, schema, live.pair_sessions)
+    assert sorted(x[0] for x in out[1]) == [i << 20 for i in range(n)] and keys_left(spark, checkpoint, "start") == []
+
+
 ANSWERS = "kind string, room_id long, user_id long, question_number long, selected_answer int, response_time double, ts timestamp"
 
 
