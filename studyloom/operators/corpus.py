@@ -6,7 +6,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,7 @@ RESOURCES_SECTION = "ressources"
 UNKNOWN = "unknown"
 GENERAL_MODULE = ("general", "General", "General questions on all topics")
 PAGES_PER_SLICE = 1000
+CUT_CHARS = 1 << 20  # text that is cut at a time
 
 
 def modules(index: DataFrame) -> DataFrame:
@@ -135,6 +140,17 @@ def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
     return [c for c in out if c]
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of about ``CUT_CHARS`` bytes together, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        upto = int(ends[begin - 1]) if begin else 0
+        end = max(int(np.searchsorted(ends, upto + CUT_CHARS, side="right")), begin + 1)
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
 def chunk_lists(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Pages with the list of their chunks (path, page, parts).
 
@@ -142,9 +158,14 @@ def chunk_lists(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     cut in Python, in Arrow batches, once each.
     """
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_text(t, size, overlap))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        # texts and chunks are objects of Python for a few texts at a time only
+        done = []
+        for some in _slices(texts):
+            parts = [None if t is None else split_text(t, size, overlap) for t in some.to_pylist()]
+            done.append(pa.array(parts, pa.list_(pa.string())))
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
     decided = pages.join(needs_split(pages.select("path", "page", "text"), size), "path")
     parts = F.coalesce(cut(F.when(F.col("needs_split"), F.col("text"))), F.array("text"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -130,3 +131,17 @@ def test_context_and_prompt(spark):
         retrieval.topic_in_module(F.lit("t"), F.lit(None).cast("string")).alias("n"),
     ).first()
     assert tuple(row) == ("{x} {b}-3", "t (dans le contexte de Git)", "t")
+
+
+def test_few_texts_are_cut_at_a_time(spark, monkeypatch):
+    """Not a whole batch of Arrow, whatever its texts are long."""
+    monkeypatch.setattr(corpus, "CUT_CHARS", 3000)
+    texts = ["a b " * n for n in (1000, 10, 2000, 5, 5, 600, 0)] + [None, "c d " * 300]
+    parts = [x.to_pylist() for x in corpus._slices(pa.array(texts))]
+    assert [t for x in parts for t in x] == texts and len(parts) > 4
+    assert all(len(x) == 1 or sum(len(t or "") for t in x) <= 3000 for x in parts)
+    pages = spark.createDataFrame([(f"/d/{i}.md", 0, t) for i, t in enumerate(texts) if t], "path string, page int, text string")
+    got = {r.path: r.parts for r in corpus.chunk_lists(pages).collect()}
+    for i, t in enumerate(texts):
+        if t:
+            assert got[f"/d/{i}.md"] == (corpus.split_text(t) if len(t) >= 1000 else [t])
