@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsontext
 from ..functions.text import strip
 from ..schemas import TEST
-from .staging import hold
+from .staging import hold, spread
 
 # Markers, required keys and placeholder texts.
 JSON_FENCE = "```json"
@@ -171,6 +171,7 @@ def repair_fallback(texts: DataFrame, from_course: bool = False) -> DataFrame:
 
 def repair(texts: DataFrame, from_course: bool = False) -> DataFrame:
     """Exercises from generated texts, with the stage that gave them."""
+    texts = spread(texts)
     readable = F.col("text").contains("{") | F.col("text").contains(JSON_FENCE)
     staged = repair_fallback(repair_stage2(repair_stage1(texts, from_course), from_course), from_course)
     stage = F.when(F.col("parsed").isNotNull(), 1).when(readable, 2).otherwise(3)

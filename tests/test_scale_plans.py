@@ -125,3 +125,12 @@ def test_progress_of_one_year(spark):
     rows = spark.createDataFrame([(1, "2024-12-31"), (2, "2025-01-01"), (3, "2025-12-31"), (4, "2026-01-01")], "id int, at string")
     got = exercises.admin_search(rows.withColumn("at", F.to_date("at")), "", [], bucket=("at", "year", "2025-06-01"))
     assert sorted(r.id for r in got.collect()) == [2, 3]
+
+
+def test_rows_of_one_split_are_repaired_in_many_tasks(spark):
+    from studyloom.operators import generated
+
+    texts = spark.range(100).coalesce(1).selectExpr("id", "'x' AS topic", "'no json' AS text")
+    rows = generated.repair(texts)
+    assert rows.count() == 100
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
