@@ -7,8 +7,8 @@ ones, p(w) = (c(w) + 1) / (N + V + 1) and
     p(w | v) = (c(v w) + K p(w)) / (c(v) + K).
 
 K is the weight under which the training texts are likeliest when each token is
-left out of its own counts (``fit_weight``). It is fitted on the words of at most
-``SAMPLE_SHARDS`` shards, a bounded sample; all counts are over all texts.
+left out of its own counts (``fit_weight``). It is fitted on all training texts,
+as are all counts; pairs are counted before they are dealt for that.
 
 The logarithm splits into a part of (v, w) and one of v alone, and both are
 known where all occurrences of a word are gathered. So the token occurrences
@@ -50,9 +50,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .tables import kept
 
-#: Weights that are tried, and the number of shards they are tried on.
+#: Weights that are tried.
 WEIGHTS = [2.0**i for i in range(0, 21)]
-SAMPLE_SHARDS = 4
 COUNTER_BYTES = 64 << 20  # text for one group of words in the first count
 HOT = 1000
 SHARD_TOKENS = 1_500_000
@@ -228,6 +227,7 @@ class Trie:
 # --- passes -----------------------------------------------------------------------
 
 _DEALT = "shard int, chunk long, rows binary, info binary, words binary, sizes binary, contexts binary, docs binary"
+_PAIRS = "shard int, words binary, sizes binary, contexts binary, counts binary"
 # sums of a chunk of texts in one shard, or (without sums) what is known of its texts
 _PART = "chunk long, rows binary, info binary, words binary, sizes binary, contexts binary, known binary, base binary, score binary"
 _TEXT = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -276,26 +276,25 @@ def _totals(table: pa.Table) -> pa.Table:
     })
 
 
-def _dealt(shards: int, hot: np.ndarray, only: int | None = None):
-    """Occurrences of words with their contexts, by shard; and what is known of each text.
+def _placed(words: np.ndarray, first: np.ndarray, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and shard of each token."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[first[:-1]] = START
+    spread = np.where(np.isin(words, hot), W.mix(words ^ (before * np.uint64(W.BASE))), words)
+    shard = ((spread >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.uint16 if shards < 65536 else np.uint32)
+    return (before >> np.uint64(32)).astype(np.uint32), shard
 
-    ``only``: nothing but the occurrences for the first so many shards.
-    """
+
+def _dealt(shards: int, hot: np.ndarray):
+    """Occurrences of words with their contexts, by shard; and what is known of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, limit=8 << 20):
                 words, first = tokens(W.texts_of(part.column("text")))
-                before = np.empty_like(words)
-                before[1:] = words[:-1]
-                before[first[:-1]] = START
-                context = (before >> np.uint64(32)).astype(np.uint32)
+                context, shard = _placed(words, first, shards, hot)
                 doc = np.repeat(np.arange(part.num_rows, dtype=np.uint32), np.diff(first))
-                common = np.isin(words, hot)
-                spread = np.where(common, W.mix(words ^ (before * np.uint64(W.BASE))), words)
-                shard = ((spread >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.uint16 if shards < 65536 else np.uint32)
-                if only is not None:
-                    words, context, doc, shard = (x[shard < only] for x in (words, context, doc, shard))
                 order = np.argsort(words)
                 order = order[np.argsort(shard[order], kind="stable")]
                 words, context, doc = words[order], context[order], doc[order]
@@ -319,8 +318,6 @@ def _dealt(shards: int, hot: np.ndarray, only: int | None = None):
                 yield pa.record_batch(
                     {c: pa.array(x, {"shard": pa.int32(), "chunk": pa.int64()}.get(c, pa.binary())) for c, x in out.items()}
                 )
-                if only is not None:
-                    continue
                 # the texts themselves, to any shard
                 yield pa.record_batch({
                     "shard": pa.array([-1 - int(rows[0]) % shards], pa.int32()), "chunk": pa.array([int(rows[0])]), "rows": pa.array([rows.tobytes()], pa.binary()),
@@ -370,18 +367,62 @@ def _gathered(table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray) -> Gathe
     return Gathered(uniques, counts, number, train, order, heads, word_of, context_of, pair_counts)
 
 
+def _pairs(shards: int, hot: np.ndarray):
+    """Pairs (word, context) of a slice with their counts, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, limit=8 << 20):
+                words, first = tokens(W.texts_of(part.column("text")))
+                context, shard = _placed(words, first, shards, hot)
+                order = np.lexsort((context, words))
+                order = order[np.argsort(shard[order], kind="stable")]
+                words, context, shard = words[order], context[order], shard[order]
+                new_word = np.ones(len(words), dtype=bool)
+                new_word[1:] = (words[1:] != words[:-1]) | (shard[1:] != shard[:-1])
+                new_pair = new_word.copy()
+                new_pair[1:] |= context[1:] != context[:-1]
+                pairs, heads = np.flatnonzero(new_pair), np.flatnonzero(new_word[new_pair])
+                counts = np.diff(np.append(pairs, len(words))).astype(np.uint32)
+                sizes = np.diff(np.append(heads, len(pairs))).astype(np.uint32)
+                words, context, shard = words[pairs][heads], context[pairs], shard[pairs]
+                cut = np.searchsorted(shard, np.arange(shards + 1))
+                cut_words = np.searchsorted(shard[heads], np.arange(shards + 1))
+                own = np.flatnonzero(np.diff(cut))
+                yield pa.record_batch({
+                    "shard": pa.array(own.astype(np.int32)),
+                    **{
+                        name: pa.array([x[at[s] : at[s + 1]].tobytes() for s in own], pa.binary())
+                        for name, x, at in (("words", words, cut_words), ("sizes", sizes, cut_words), ("contexts", context, cut), ("counts", counts, cut))
+                    },
+                })
+
+    return run
+
+
 def _likelihood(hot: np.ndarray, hot_counts: np.ndarray, types: int):
     """Log likelihood of the training tokens of a shard under each weight, each token left out of its counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        g = _gathered(table, hot, hot_counts)
-        seen = g.pair_counts > 0
-        n, rest = g.pair_counts[seen], g.counts[g.word_of[seen]] / (types - 1)
-        here = np.bincount(g.number, weights=g.train, minlength=len(g.words)) * (g.words != END)
+        words, owner = np.unique(_joined(table, "words", np.uint64), return_inverse=True)
+        key = np.repeat(owner.astype(np.uint64), _joined(table, "sizes", np.uint32)) << np.uint64(32)
+        key |= _joined(table, "contexts", np.uint32)
+        order = np.argsort(key)
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.add.reduceat(_joined(table, "counts", np.uint32)[order].astype(np.int64), heads)
+        word_of = (key[heads] >> np.uint64(32)).astype(np.int64)
+        del key, order
+        here = np.bincount(word_of, weights=n, minlength=len(words)).astype(np.int64)
+        counts = here
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+            counts = np.where(hot[at] == words, hot_counts[at], here)
+        rest, here = counts[word_of] / (types - 1), here * (words != END)
         found = []
         for weight in WEIGHTS:
             joint = (n * np.log(n - 1 + weight * rest)).sum()
-            found.append(float(joint - (here * np.log(np.maximum(g.counts - 1, 0) + weight)).sum()))
+            found.append(float(joint - (here * np.log(np.maximum(counts - 1, 0) + weight)).sum()))
         return pa.table({"weight": pa.array(WEIGHTS), "likelihood": pa.array(found)})
 
     return run
@@ -455,17 +496,16 @@ def _local(docs: bytes, info: bytes) -> np.ndarray:
 
 
 def fit_weight(rows: DataFrame, shards: int, hot: np.ndarray, hot_counts: np.ndarray, types: int, ends: int) -> float:
-    """The weight of ``WEIGHTS`` under which the training tokens of some shards are likeliest.
+    """The weight of ``WEIGHTS`` under which the training tokens are likeliest.
 
     A row per shard and weight is added up; of several best weights the smallest counts.
     """
-    only = min(shards, SAMPLE_SHARDS)
-    found = rows.where("train").mapInArrow(_dealt(shards, hot, only), _DEALT).groupBy("shard").applyInArrow(
+    found = rows.where("train").select("text").mapInArrow(_pairs(shards, hot), _PAIRS).groupBy("shard").applyInArrow(
         _likelihood(hot, hot_counts, types), "weight double, likelihood double"
     )
     sums = {r["weight"]: r["total"] for r in found.groupBy("weight").agg(F.sum("likelihood").alias("total")).collect()}
     # starts of texts are contexts in no shard
-    return max(WEIGHTS, key=lambda k: (sums.get(k, 0.0) - ends * only / shards * np.log(max(ends - 1, 0) + k), -k))
+    return max(WEIGHTS, key=lambda k: (sums.get(k, 0.0) - ends * np.log(max(ends - 1, 0) + k), -k))
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:

@@ -237,6 +237,18 @@ def test_scores_equal_a_plain_model(make, odd, hot, shard, monkeypatch):
     assert {r.n_known for r in ngram.score(make(rows), F.lit(True)).collect()} == {0}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_the_weight_is_that_of_all_training_texts(make, seed, monkeypatch):
+    """However the words are dealt over shards."""
+    rows = [(i, base_text(10 * seed + i % (seed + 2), 3 + 5 * (i % 4)), "en") for i in range(24)]
+    fit, weights = ngram.fit_weight, []
+    monkeypatch.setattr(ngram, "fit_weight", lambda *args: weights.append(fit(*args)) or weights[-1])
+    for size in (1_000_000, 5):
+        monkeypatch.setattr(ngram, "SHARD_TOKENS", size)
+        ngram.score(make(rows), F.lit(False)).count()
+    assert weights[0] == weights[1]
+
+
 # --- urls ---------------------------------------------------------------------------
 
 CANONICAL = '<LINK href="%s" rel=canonical>'
