@@ -62,7 +62,19 @@ START = np.uint64(0x14057B7EF767814F)
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and ends of some texts in a row, and the first of each text."""
+    """Hashes of all words and ends of some texts in a row, and the first of each text.
+
+    What is needed per byte is held for one slice of the texts at a time.
+    """
+    found = [_tokens(W.texts_of(part.column("text"))) for part in W.slices(pa.record_batch({"text": text}))]
+    sizes = [np.zeros(0, dtype=np.int64), *(np.diff(first) for _, first in found)]
+    return (
+        np.concatenate([np.zeros(0, dtype=np.uint64), *(hashes for hashes, _ in found)]),
+        np.concatenate([[0], np.cumsum(np.concatenate(sizes))]),
+    )
+
+
+def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = W.split(text)
     first = words.first + np.arange(len(words.first))
     out = np.empty(int(first[-1]), dtype=np.uint64)
@@ -241,9 +253,12 @@ def _counted(shards: int):
             for part in W.slices(batch, limit=8 << 20):
                 hashes, first = tokens(W.texts_of(part.column("text")))
                 train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), np.diff(first))
-                words, inverse = np.unique(hashes, return_inverse=True)
-                n = np.bincount(inverse, minlength=len(words)).astype(np.uint32)
-                own = np.bincount(inverse, weights=train, minlength=len(words)).astype(np.uint32)
+                order = np.argsort(hashes)
+                hashes = hashes[order]
+                heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+                words, n = hashes[heads], np.diff(np.append(heads, len(hashes))).astype(np.uint32)
+                own = np.add.reduceat(train[order], heads, dtype=np.uint32)
+                del hashes, train, order, heads
                 # words ascend, so shards are ranges of the hash
                 shard = ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(shard, np.arange(shards + 1))

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -321,3 +322,17 @@ def test_the_sample_holds_different_texts(make):
     rows = hot + [(1000 + i, base_text(i, 12), "de") for i in range(1800)]
     texts = [r.text for r in langid.sample(make(rows)).collect()]
     assert len(texts) == langid.SAMPLE and len(set(texts)) == len(texts)
+
+
+def test_tokens_hold_little_besides_their_hashes():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"W{x}" for x in rng.integers(0, 50_000, 1500)) for _ in range(400)]
+    column = pa.array(["", *texts, "x" * 600_000 + " Y", " \n"])
+    tracemalloc.start()
+    hashes, first = ngram.tokens(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * column.nbytes
+    alone = [ngram.tokens(column.slice(i, 1))[0] for i in range(len(column))]
+    assert np.array_equal(hashes, np.concatenate(alone)) and np.diff(first).tolist() == [len(x) for x in alone]
+    assert [len(x) for x in ngram.tokens(pa.array([], pa.string()))] == [0, 1]
