@@ -11,17 +11,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import first_n
 
 NEIGHBOURS = 5
-# A block pair needs one matrix of BLOCK_QUERIES x BLOCK_CHUNKS doubles, 40 MiB.
-BLOCK_QUERIES = 512
-BLOCK_CHUNKS = 10_000
+# A block pair needs one matrix of TILE x BLOCK_CHUNKS doubles, 40 MiB.
+BLOCK_QUERIES = 20_000
+BLOCK_CHUNKS = 20_000
+TILE = 256
+# Candidates that are measured at once, and how many vectors share a minimum.
+MEASURED = 50_000
+STRIDE = 16
 
 
 def _hits(queries: DataFrame, chunks: DataFrame) -> str:
@@ -29,32 +33,52 @@ def _hits(queries: DataFrame, chunks: DataFrame) -> str:
     return "query_id {}, id {}, distance double".format(*types)
 
 
+def _limits(rough: np.ndarray, take: int) -> np.ndarray:
+    """For each row a value that ``take`` of its numbers do not pass, nearly the smallest such value.
 
-def _best(query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of a block of vectors for each query, by exact squared distance.
+    The minima of groups of numbers stand for the numbers where there are enough of them.
+    """
+    groups = rough.shape[1] // STRIDE
+    if groups >= 4 * take:
+        rough = rough[:, : groups * STRIDE].reshape(len(rough), STRIDE, groups).min(axis=1)
+    return np.partition(rough, take - 1, axis=1)[:, take - 1]
+
+
+def _best(points: np.ndarray, vectors: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of a block of vectors for each point: numbers of points and vectors, exact squared distances.
 
     Matrix products find the candidates; distances are then taken from the
-    differences, so that equal vectors tie exactly and ties go to the smaller id.
+    differences, so that equal vectors tie exactly and ties go to the smaller
+    ``place``.
     """
-    take = min(k, len(ids))
-    rough = (points**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2.0 * points @ vectors.T
-    cut = np.partition(rough, take - 1, axis=1)[:, take - 1]
-    slack = 1e-9 * (1.0 + np.abs(rough).max())
-    frames = []
-    for row, limit in enumerate(cut):
-        near = np.flatnonzero(rough[row] <= limit + slack)
-        exact = ((vectors[near] - points[row]) ** 2).sum(1)
-        found = pd.DataFrame({"query_id": query_ids[row], "id": ids[near], "distance": exact})
-        frames.append(found.sort_values(["distance", "id"]).head(take))
-    return pd.concat(frames)
-
-
-def _points(block: pa.Scalar, name: str) -> tuple[np.ndarray, np.ndarray]:
+    take = min(k, len(vectors))
+    rough = points @ vectors.T
+    rough *= -2.0
+    rough += (points**2).sum(1)[:, None]
+    rough += (vectors**2).sum(1)[None, :]
+    slack = 1e-9 * (1.0 + max(rough.max(), -rough.min()))
+    near = rough <= (_limits(rough, take) + slack)[:, None]
+    # a row may have all vectors as candidates, so only so many rows are measured at once
+    ends = np.cumsum(np.count_nonzero(near, axis=1))
+    found, low = [], 0
+    while low < len(points):
+        high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MEASURED, side="right")), low + 1)
+        row, at = np.nonzero(near[low:high])
+        exact = ((vectors[at] - points[row + low]) ** 2).sum(1)
+        order = np.lexsort((place[at], exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < take
+        found.append((row[first] + low, at[first], exact[first]))
+        low = high
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def _points(block: pa.Scalar, name: str) -> tuple[pa.Array, np.ndarray]:
     """Ids and vectors of a block, a list of (id, vector)."""
     rows = block.values
     vectors = rows.field("vector").combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows.field("vector")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return rows.field(name).to_numpy(zero_copy_only=False), flat.reshape(len(rows), -1)
+    return rows.field(name), flat.reshape(len(rows), -1)
 
 
 def _nearest(k: int):
@@ -63,7 +87,13 @@ def _nearest(k: int):
             for found, asked in zip(batch.column("found"), batch.column("asked")):
                 ids, vectors = _points(found, "id")
                 query_ids, points = _points(asked, "query_id")
-                yield pa.RecordBatch.from_pandas(_best(query_ids, points, ids, vectors, k), preserve_index=False)
+                place = np.empty(len(ids), dtype=np.int64)
+                place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+                for low in range(0, len(points), TILE):
+                    row, at, distance = _best(points[low : low + TILE], vectors, place, k)
+                    yield pa.record_batch({
+                        "query_id": query_ids.take(pa.array(row + low)), "id": ids.take(pa.array(at)), "distance": pa.array(distance),
+                    })
 
     return search
 
@@ -71,11 +101,10 @@ def _nearest(k: int):
 def knn(queries: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """The k nearest chunks of every query by squared distance, exactly.
 
-    One plan for any number of queries: chunks are gathered into blocks of
-    bounded size, each moved once; the queries, in blocks as well, are sent to
-    every block of chunks, and k rows per query come back from each. Rows
-    without a vector take no part. Counts both sides (runs jobs) to fix the
-    number of blocks.
+    One plan for any number of queries: chunks and queries are gathered into
+    blocks of bounded size, every pair of blocks is one row that any task can
+    take, and k rows per query come back from it. Rows without a vector take no
+    part. Counts both sides (runs jobs) to fix the number of blocks.
     """
     schema = _hits(queries, chunks)
     chunks = chunks.where("vector IS NOT NULL").select("id", "vector")
@@ -88,8 +117,9 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS) -> DataFrame
     asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part")).agg(
         F.collect_list(F.struct("query_id", "vector")).alias("asked")
     )
-    asked = asked.select("asked", F.explode(F.expr(f"sequence(0L, {shares - 1}L)")).alias("share"))
-    pairs = found.join(asked, "share").select("found", "asked")
+    found = found.select("found", "share", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("part"))
+    asked = asked.select("asked", "part", F.explode(F.expr(f"sequence(0L, {shares - 1}L)")).alias("share"))
+    pairs = found.join(asked, ["share", "part"]).select("found", "asked")
     return first_n(pairs.mapInArrow(_nearest(k), schema), ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
 
 

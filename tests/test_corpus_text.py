@@ -145,3 +145,26 @@ def test_few_texts_are_cut_at_a_time(spark, monkeypatch):
     for i, t in enumerate(texts):
         if t:
             assert got[f"/d/{i}.md"] == (corpus.split_text(t) if len(t) >= 1000 else [t])
+
+
+def test_pairs_of_blocks_are_dealt_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_CHUNKS", 50)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 50)
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    monkeypatch.setattr(retrieval, "MEASURED", 20)
+    points, queries = vectors(spark, 300, 1, "query_id")
+    corpus_points, chunks = vectors(spark, 300, 2)
+    hits = retrieval.knn(queries, chunks, 3)
+    assert ranked(hits) == nearest(points, corpus_points, 3)
+    # a share of the chunks and a part of the queries make the key, not the share alone
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "share" in plan.split("Join Inner", 1)[1].split("\n", 1)[0] and "part" in plan.split("Join Inner", 1)[1].split("\n", 1)[0]
+
+
+def test_limits_from_minima_of_groups():
+    rng = np.random.default_rng(3)
+    for n in (5, 63, 64, 1000, 1003):
+        rough = rng.integers(0, 50, (20, n)).astype(float)
+        for take in (1, 2, 5):
+            limits = retrieval._limits(rough, take)
+            assert ((rough <= limits[:, None]).sum(axis=1) >= take).all()
