@@ -47,7 +47,7 @@ def scan_content_index(spark, folder):
     )
     name = F.concat(F.lit("m"), F.col("n").cast("string"), F.lit("_set_index.json"))
     root = shared_folder(spark, "index")
-    lists.select(name.alias("file"), body.alias("value")).repartition("file").write.partitionBy("file").text(root)
+    sinks.write_files(lists.select(name.alias("path"), body.alias("value")), root)
     return content.read_content_index(spark, root)
 
 
@@ -64,8 +64,8 @@ def scan_content_files(spark, folder):
     parent = F.concat(F.lit("m"), (F.col("page_id") % 7).cast("string"))
     name = F.concat(F.lit("page"), F.col("page_id").cast("string"), F.expr(_PAGE_FILE))
     root = shared_folder(spark, "content")
-    pages = table(spark, folder, "pages").select(parent.alias("parent"), name.alias("name"), F.col("html").alias("value"))
-    pages.repartition("parent", "name").write.partitionBy("parent", "name").text(root)
+    path = F.concat(parent, F.lit("/"), name)
+    sinks.write_files(table(spark, folder, "pages").select(path.alias("path"), F.col("html").alias("value")), root)
     return content.read_content_files(spark, root).select("name", "parent", "type", "length")
 
 

@@ -12,6 +12,9 @@ from ..functions.text import file_name, parent_name, suffix
 TEXT_TYPES = ["md", "ipynb", "pdf"]
 IMAGE_TYPES = ["png", "jpg", "jpeg", "avif"]
 
+# Small files cost their opening, so the sources put few of them into a task: at most so many tasks.
+READ_TASKS = 1000
+
 _INDEX_KEY = r"([^/=]*)_index\.json(?:/[^/]*)?$"
 
 
@@ -36,7 +39,7 @@ def read_content_index(spark: SparkSession, folder: str) -> DataFrame:
     texts = spark.read.text(f"{folder}/*_index.json", wholetext=True)
     # The path comes percent-encoded; a plus sign stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return index_rows(texts.select(path.alias("path"), "value"))
+    return index_rows(texts.coalesce(READ_TASKS).select(path.alias("path"), "value"))
 
 
 def read_content_files(spark: SparkSession, root: str) -> DataFrame:
@@ -45,7 +48,7 @@ def read_content_files(spark: SparkSession, root: str) -> DataFrame:
     ``length`` and the names need no file contents: select those alone and the
     bytes are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).coalesce(READ_TASKS)
     return supported(files.withColumn("path", named_path(F.col("path"))))
 
 

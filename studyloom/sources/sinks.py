@@ -6,8 +6,10 @@ table cannot be overwritten while it is being read.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,39 @@ def write_snapshot(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """One text file below ``root`` for each path of ``rows`` (path, value), its values ended by line breaks (writes).
+
+    Tasks write the files themselves, to any store that Arrow opens by its URI, so a
+    file costs no folder, no commit and no rename. A repeated task writes the same
+    files again. Rows without a path are left out, null values are empty lines.
+    """
+    folder = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(folder)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        made, name, out, files = set(), None, None, 0
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist()):
+                if path != name:
+                    if out:
+                        out.close()
+                    parent = f"{base}/{path}".rsplit("/", 1)[0]
+                    if parent not in made:
+                        store.create_dir(parent, recursive=True)
+                        made.add(parent)
+                    name, out, files = path, store.open_output_stream(f"{base}/{path}"), files + 1
+                out.write((value or b"") + b"\n")
+        if out:
+            out.close()
+        yield pa.record_batch({"files": pa.array([files])})
+
+    # rows of one path lie next to each other in one task
+    dealt = rows.where("path IS NOT NULL").select("path", "value").repartition("path").sortWithinPartitions("path")
+    dealt.mapInArrow(put, "files long").agg({"files": "sum"}).collect()
+
+
 def insert_if_absent(
     existing: DataFrame, new: DataFrame, keys: Sequence[str], reactivate: str | None = None
 ) -> DataFrame:

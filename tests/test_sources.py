@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from studyloom.schemas import ANSWER_MESSAGE, ENTITIES, QUIZ_SUBMISSION_PAYLOAD
 from studyloom.session import shared_folder
-from studyloom.sources import content, entities, payloads
+from studyloom.sources import content, entities, payloads, sinks
 
 
 def test_index_files(spark, tmp_path):
@@ -103,3 +103,19 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_folder(Named("hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
     with pytest.raises(ValueError):
         shared_folder(Named(None), "x")
+
+
+def test_files_are_written_without_folders_of_their_own(spark, tmp_path, monkeypatch):
+    rows = [(f"m{i % 2}/page{i}.md", "é" * i) for i in range(40)] + [("m0/page0.md", "again"), ("m1/none.PDF", None), (None, "lost"), ("m1/x.html", "h")]
+    root = str(tmp_path / "made")
+    sinks.write_files(spark.createDataFrame(rows, "path string, value string").repartition(5), f"file://{root}")
+    monkeypatch.setattr(content, "READ_TASKS", 3)
+    files = content.read_content_files(spark, root)
+    assert files.rdd.getNumPartitions() <= 3
+    want = {(f"page{i}.md", f"m{i % 2}", 2 * i + 1) for i in range(1, 40)} | {("page0.md", "m0", 7), ("none.PDF", "m1", 1)}
+    assert {(r["name"], r["parent"], r["length"]) for r in files.select("name", "parent", "length").collect()} == want
+    assert sorted(p.name for p in (tmp_path / "made").iterdir()) == ["m0", "m1"]
+    assert all(p.is_file() for m in ("m0", "m1") for p in (tmp_path / "made" / m).iterdir())
+    empty = str(tmp_path / "empty")
+    sinks.write_files(spark.createDataFrame([], "path string, value string"), empty)
+    assert content.read_content_files(spark, empty).count() == 0
