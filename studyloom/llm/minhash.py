@@ -239,12 +239,16 @@ def _across_components(percent: int, low: int, high: int):
     return run
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct (doc_id, text) of the documents in ``ids`` (doc_id, repeats allowed), written once."""
+    # the ids grow with the corpus: the same join at every size
+    texts = docs.select("doc_id", "text").join(ids.distinct().hint("shuffle_merge"), "doc_id")
+    return kept(texts.dropDuplicates(["doc_id", "text"]), "texts")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are alike enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # the ids grow with the corpus: the same join at every size
-    texts = docs.select("doc_id", "text").join(ends.hint("shuffle_merge"), "doc_id")
-    texts = kept(texts.dropDuplicates(["doc_id", "text"]), "texts")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return kept(
@@ -293,13 +297,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     bands = heads.select("id", F.posexplode("sketch").alias("band", "key")).select(
         "id", F.shiftleft(F.xxhash64("key"), BAND_BITS).bitwiseOR(F.col("band").cast("long")).alias("key")
     )
-    buckets, open_, groups = None, bands, None
+    buckets, open_, groups, texts = None, bands, None, docs
     for _ in range(PIVOTS):
         shared = open_.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
         met = kept(open_.join(kept(shared, "pivots"), "key"), "met")
-        buckets = met if buckets is None else buckets
+        if buckets is None:
+            # whatever is compared later is in a bucket of several: the whole corpus is moved once
+            buckets, texts = met, texts_of(docs, met.select(F.col("id").alias("doc_id")))
         pairs = met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        links = links.union(_linked(pairs, heads, docs, percent))
+        links = links.union(_linked(pairs, heads, texts, percent))
         groups = components(links)
         own = met.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
         ahead = groups.select(F.col("id").alias("pivot"), F.col("component").alias("ahead"))
@@ -337,7 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             found = kept(found, "across")
             if not found.limit(1).count():
                 break
-            links = links.union(confirm(found.select("a", "b").distinct(), docs, percent))
+            links = links.union(confirm(found.select("a", "b").distinct(), texts, percent))
             groups = components(links)
             if not found.where("more").limit(1).count():
                 break

@@ -188,3 +188,14 @@ def test_a_common_line_sends_ranges_not_windows(make, monkeypatch, together):
     check_removal(make, rows)
     # every occurrence of an anchor goes out once, and few of them once more
     assert sum(written[1:]) < written[0]
+
+
+def test_the_corpus_is_moved_once_for_confirmations(spark, monkeypatch):
+    near = [" ".join(f"w{i}" for i in range(n, n + 60)) for n in (0, 1, 2)]
+    rows = [(i, text) for i, text in enumerate(near)] + [(i, " ".join(f"x{i}y{j}" for j in range(30))) for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, plain = [], minhash.texts_of
+    monkeypatch.setattr(minhash, "texts_of", lambda docs, ids: whole.append(docs.count()) or plain(docs, ids))
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert found == {i: 0 if i < 3 else i for i in range(40)}
+    assert whole[0] == 40 and len(whole) > 1 and all(n == 3 for n in whole[1:])
