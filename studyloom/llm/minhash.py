@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import components, kept
+from .tables import components, kept, sieved
 
 SHINGLE_WORDS = 5
 REGISTERS = 128
@@ -241,8 +241,9 @@ def _across_components(percent: int, low: int, high: int):
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Distinct (doc_id, text) of the documents in ``ids`` (doc_id, repeats allowed), written once."""
+    ids = kept(ids.distinct(), "ids")
     # the ids grow with the corpus: the same join at every size
-    texts = docs.select("doc_id", "text").join(ids.distinct().hint("shuffle_merge"), "doc_id")
+    texts = sieved(docs.select("doc_id", "text"), "doc_id", ids).join(ids.hint("shuffle_merge"), "doc_id")
     return kept(texts.dropDuplicates(["doc_id", "text"]), "texts")
 
 
@@ -283,7 +284,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = kept(real.select("doc_id", *content).join(classes, content).select("doc_id", "id"), "members")
     heads = kept(
         real.join(classes.select(F.col("id").alias("doc_id"), *content), ["doc_id", *content])
-        .select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"]),
+        # the columns of the join: its rows stay where they are
+        .dropDuplicates(["doc_id", *content]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch"),
         "heads",
     )
 
@@ -300,10 +302,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     buckets, open_, groups, texts = None, bands, None, docs
     for _ in range(PIVOTS):
         shared = open_.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
-        met = kept(open_.join(kept(shared, "pivots"), "key"), "met")
+        shared = kept(shared, "pivots")
+        met = kept(sieved(open_, "key", shared.select("key")).join(shared, "key"), "met")
         if buckets is None:
-            # whatever is compared later is in a bucket of several: the whole corpus is moved once
+            # whatever is compared later is in a bucket of several: no other text or sketch is moved
             buckets, texts = met, texts_of(docs, met.select(F.col("id").alias("doc_id")))
+            heads = kept(sieved(heads, "id", kept(met.select("id").distinct(), "ids")), "heads")
         pairs = met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         links = links.union(_linked(pairs, heads, texts, percent))
         groups = components(links)
@@ -323,9 +327,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     if mixed.limit(1).count():
         members_left = kept(named.where("id <> pivot").join(mixed, "key"), "rest")
-        small = rows.where(f"n_shingles <= {SMALL}").join(
-            members_left.select(F.col("id").alias("doc_id")).distinct(), "doc_id"
-        ).select(F.col("doc_id").alias("id"), "n_shingles", "shingles").dropDuplicates(["id", "n_shingles"])
+        ids = kept(members_left.select(F.col("id").alias("doc_id")).distinct(), "ids")
+        small = sieved(rows.where(f"n_shingles <= {SMALL}"), "doc_id", ids).join(ids, "doc_id").select(
+            F.col("doc_id").alias("id"), "n_shingles", "shingles"
+        ).dropDuplicates(["id", "n_shingles"])
         rest = members_left.join(heads.join(kept(small, "small"), ["id", "n_shingles"], "left"), "id")
         low, high = 0, CANDIDATES
         while True:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from studyloom.session import shared_folder
 
 
+#: Bits of a sieve for each of its keys, within bounds; the upper one is 16 MB.
+SIEVE_BITS = 16
+LEAST_BITS, MOST_BITS = 15, 27
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the folder that all executors share and read it again.
 
@@ -20,6 +25,36 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def sieved(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be in ``keys`` (one column of that type, written before).
+
+    Every row whose value is in ``keys`` stays, and one in 16 of the others: a
+    bit of each key's hash goes out to all tasks, ``SIEVE_BITS`` bits a key and
+    at most 2^``MOST_BITS`` in all. For use ahead of a join with few of the rows
+    of ``df``, which then moves those alone; with more keys than bits it moves
+    more, and the result is the same.
+    """
+    bits = 1 << min(max((SIEVE_BITS * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+
+    def place(name: str) -> str:
+        return f"(pmod(xxhash64(`{name}`), {bits}L) + 1)"
+
+    at = place(keys.columns[0])
+    packs = kept(
+        keys.groupBy(F.expr(f"bitmap_bucket_number({at})").alias("sieve_pack")).agg(
+            F.expr(f"bitmap_construct_agg(bitmap_bit_position({at}))").alias("sieve_bits")
+        ),
+        "sieve",
+    )
+    at = place(column)
+    byte = f"conv(hex(substring(sieve_bits, int(bitmap_bit_position({at}) div 8) + 1, 1)), 16, 10)"
+    return (
+        df.join(F.broadcast(packs), F.expr(f"bitmap_bucket_number({at}) = sieve_pack"))
+        .where(f"getbit(int({byte}), int(bitmap_bit_position({at}) % 8)) = 1")
+        .select([f"`{c}`" for c in df.columns])
+    )
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import base_text, shingles, words  # noqa: F401  (tests/llm/conftest.py)
 
-from studyloom.llm import minhash, repeats
+from studyloom.llm import minhash, repeats, tables
 from studyloom.llm.tables import components
 
 
@@ -199,3 +199,41 @@ def test_the_corpus_is_moved_once_for_confirmations(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
     assert found == {i: 0 if i < 3 else i for i in range(40)}
     assert whole[0] == 40 and len(whole) > 1 and all(n == 3 for n in whole[1:])
+
+
+@pytest.mark.parametrize("most", [27, 10])
+def test_a_sieve_holds_every_key(make, spark, monkeypatch, most):
+    """Also with more keys than bits, with nulls and repeats."""
+    monkeypatch.setattr(tables, "MOST_BITS", most)
+    docs = make([(i - 3000, "t", "en") for i in range(9000)] + [(5, "u", "en"), (None, "t", "en"), (2**62, "t", "en"), (-(2**63), "t", "en")])
+    ids = [*range(-3000, 6000, 3), 5, 5, 2**62, -(2**63)]
+    keys = tables.kept(spark.createDataFrame([(i,) for i in [*ids, None]], "key long"), "keys")
+    for column in ("doc_id", "id"):
+        out = tables.sieved(docs, column, keys)
+        assert out.columns == docs.columns
+    left = collections.Counter(tuple(r) for r in tables.sieved(docs, "doc_id", keys).collect())
+    rows = collections.Counter(tuple(r) for r in docs.collect())
+    assert not left - rows
+    others = {r for r in rows if r[0] is not None and r[0] not in ids}
+    assert all(left[r] == n for r, n in rows.items() if r[0] in ids)
+    assert most < 27 or sum(left[r] for r in others) < len(others) / 8
+    assert tables.sieved(docs, "doc_id", keys.limit(0)).count() == 0
+
+
+def test_only_what_can_be_alike_is_moved(make, monkeypatch):
+    """Of 300 texts, 3 are alike: band keys, sketches and texts of the others stay out of the joins."""
+    near = [" ".join(f"w{i}" for i in range(n, n + 60)) for n in (0, 1, 2)]
+    rows = [(i, text, "en") for i, text in enumerate(near)] + [(i, " ".join(f"x{i}y{j}" for j in range(30)), "en") for i in range(3, 300)]
+    moved, plain = [], minhash.sieved
+
+    def watched(df, column, keys):
+        out = plain(df, column, keys)
+        moved.append((column, df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "sieved", watched)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows)).collect()}
+    assert found == {i: 0 if i < 3 else i for i in range(300)}
+    (_, all_keys, keys), (_, all_texts, texts), (_, all_heads, heads) = moved[:3]
+    assert (all_keys, all_texts, all_heads) == (300 * 32, 300, 300)
+    assert keys < 300 and texts < 10 and heads < 10
