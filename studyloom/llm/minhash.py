@@ -241,9 +241,8 @@ def _across_components(percent: int, low: int, high: int):
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Distinct (doc_id, text) of the documents in ``ids`` (doc_id, repeats allowed), written once."""
-    ids = kept(ids.distinct(), "ids")
     # the ids grow with the corpus: the same join at every size
-    texts = sieved(docs.select("doc_id", "text"), "doc_id", ids).join(ids.hint("shuffle_merge"), "doc_id")
+    texts = sieved(docs.select("doc_id", "text"), "doc_id", ids).join(ids.distinct().hint("shuffle_merge"), "doc_id")
     return kept(texts.dropDuplicates(["doc_id", "text"]), "texts")
 
 
@@ -306,8 +305,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         met = kept(sieved(open_, "key", shared.select("key")).join(shared, "key"), "met")
         if buckets is None:
             # whatever is compared later is in a bucket of several: no other text or sketch is moved
-            buckets, texts = met, texts_of(docs, met.select(F.col("id").alias("doc_id")))
-            heads = kept(sieved(heads, "id", kept(met.select("id").distinct(), "ids")), "heads")
+            buckets, ids = met, kept(met.select("id").distinct(), "ids")
+            texts = texts_of(docs, ids.withColumnRenamed("id", "doc_id"))
+            heads = kept(sieved(heads, "id", ids), "heads")
         pairs = met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         links = links.union(_linked(pairs, heads, texts, percent))
         groups = components(links)
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             found = kept(found, "across")
             if not found.limit(1).count():
                 break
-            links = links.union(confirm(found.select("a", "b").distinct(), texts, percent))
+            links = links.union(confirm(kept(found.select("a", "b").distinct(), "pairs"), texts, percent))
             groups = components(links)
             if not found.where("more").limit(1).count():
                 break

@@ -26,7 +26,7 @@ def kept(df: DataFrame, label: str) -> DataFrame:
 
 
 def sieved(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be in ``keys`` (one column of that type, written before).
+    """The rows of ``df`` whose ``column`` may be in ``keys`` (one column of that type, repeats allowed, read twice).
 
     Every row whose value is in ``keys`` stays, and one in 16 of the others: a
     bit of each key's hash goes out to all tasks, ``SIEVE_BITS`` bits a key and
@@ -43,7 +43,7 @@ def sieved(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     packs = kept(
         keys.groupBy(F.expr(f"bitmap_bucket_number({at})").alias("sieve_pack")).agg(
             F.expr(f"bitmap_construct_agg(bitmap_bit_position({at}))").alias("sieve_bits")
-        ),
+        ).coalesce(8),  # of bounded size: few tasks and files
         "sieve",
     )
     at = place(column)
