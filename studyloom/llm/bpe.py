@@ -11,7 +11,9 @@ the last few, as of a long run of letters, are walked one by one.
 The vocabulary file is that of a public tokenizer; its path is a parameter.
 Special tokens in a text give their ids. Texts with characters beyond Latin
 letters, digits and usual signs are normalized and cut by the library, the
-merges are the same; ids equal the library's for the whole text.
+merges are the same; ids equal the library's for the whole text. Byte-level
+vocabularies have the other texts of a slice cut at once, by the kinds of their
+bytes, and each distinct piece of the slice looked up once.
 
 Null text reads as empty text. The pieces a task remembers are bounded by
 ``REMEMBERED``; what is dropped is only encoded again.
@@ -53,6 +55,60 @@ _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 
 
+# Kinds of characters that the byte-level pattern tells apart, and those that only the library can cut.
+LETTER, NUMBER, SIGN, BLANK, STRANGE = range(5)
+
+
+def _kind(char: str) -> int:
+    if not _FAMILIAR(char):
+        return STRANGE
+    return LETTER if char in _LETTERS else NUMBER if char in _NUMBERS else BLANK if char in " \t\n\r" else SIGN
+
+
+# by code point, as far as two bytes of UTF-8 go, and by byte; what follows the first byte of a longer one does not matter
+_KIND = np.array([_kind(chr(c)) for c in range(0x800)], dtype=np.uint8)
+_KIND_OF_BYTE = np.concatenate([_KIND[:0x80], np.full(0x60, SIGN), np.full(0x20, STRANGE)]).astype(np.uint8)
+
+
+def cut_bytes(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pieces of many texts by the byte-level pattern, the first of each text, and which texts it could cut.
+
+    The pattern's pieces follow one another without a gap, so it is enough to
+    say where one begins: where the kind of character changes, unless a space
+    goes with what follows; at the last blank of several if more text follows;
+    before and after a contraction. The other texts have no pieces here.
+    """
+    data, offsets = W.raw(text)
+    kind = _KIND_OF_BYTE[data]
+    two = np.flatnonzero((data & 0xE0) == 0xC0)
+    kind[two] = kind[two + 1] = _KIND[(data[two] & 0x1F).astype(np.int32) << 6 | (data[two + 1] & 0x3F)]
+    blank = kind == BLANK
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    start = edge.copy()
+    start[1:-1] |= (kind[1:] != kind[:-1]) & (blank[1:] | (data[:-1] != 32))
+    start[1:-2] |= blank[1:-1] & blank[:-2] & ~blank[2:] & ~edge[2:-1]
+    quote = np.flatnonzero(start[:-1] & (data == 39))
+    left = offsets[np.searchsorted(offsets, quote, side="right")] - quote  # bytes of the text from there
+    padded = np.concatenate([data, np.zeros(2, dtype=np.uint8)])
+    one, pair = padded[quote + 1], padded[quote + 1].astype(np.uint16) << 8 | padded[quote + 2]
+    for size, found in ((2, np.isin(one, list(b"stmd"))), (3, np.isin(pair, [0x7265, 0x7665, 0x6C6C]))):  # re, ve, ll
+        at = quote[found & (left >= size)]
+        start[at + 1] = False
+        start[at + size] = True
+    strange = np.flatnonzero((kind == STRANGE) | ((data == 60) & (padded[1:-1] == 124) & ~edge[1:]))
+    plain = np.ones(len(text), dtype=bool)
+    plain[np.searchsorted(offsets, strange, side="right") - 1] = False
+    bounds = np.append(np.flatnonzero(start[:-1]), len(data)).astype(np.int32)
+    first = np.searchsorted(bounds[:-1], offsets)
+    pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data))
+    if not plain.all():
+        sizes = np.diff(first)
+        pieces = pieces.filter(pa.array(np.repeat(plain, sizes)))
+        first = np.concatenate([[0], np.cumsum(sizes * plain)])
+    return pieces, first, plain
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of every byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -285,12 +341,22 @@ class Encoder:
         ids, first = self._gather(keep)
         self._remember([names[i] for i in keep.tolist()], ids, first)
 
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int32, count=len(pieces))
+
+    def _rows(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of the pieces of each text."""
+        if self.lower:
+            return [self._numbers(self._pieces(t)) for t in texts]
+        pieces, first, plain = cut_bytes(pa.array(texts, pa.string()))
+        found = pieces.dictionary_encode()  # each distinct piece is asked for once
+        numbers = self._numbers(found.dictionary.to_numpy(zero_copy_only=False))[found.indices.to_numpy()]
+        bounds = zip(first.tolist(), first[1:].tolist())
+        return [numbers[a:b] if own else self._numbers(self._pieces(t)) for t, own, (a, b) in zip(texts, plain.tolist(), bounds)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        number, rows = self.known.__getitem__, []
-        for text in texts:
-            own = self._pieces(text)
-            rows.append(np.fromiter(map(number, own), dtype=np.int32, count=len(own)))
+        rows = self._rows(texts)
         self._learn()
         numbers = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
         ids, begin = self._gather(numbers)
@@ -364,5 +430,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return _rows(docs).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def crc32(ids: bytes) -> int:
+def crc32(ids: bytes | memoryview) -> int:
     return zlib.crc32(ids)

@@ -3,9 +3,9 @@
 A file is a series of segments of about ``SEGMENT_TOKENS`` ids, whole documents
 in ascending doc_id order. The most frequent id of the corpus has rank 0, and so
 on (ties to the smaller id); the table of ranks, bounded by the vocabulary, lies
-beside the segments. Texts are encoded once: segments are first written with
-ranks of their own, their counts are added up, and then they are written again
-with the ranks of the corpus. A rank takes one to four bytes; how many, less one, is kept apart in two bits of the control bytes
+beside the segments. Texts are encoded once: the ids of a segment are first
+written as they are, in two bytes if they fit, with their counts; the counts are
+added up, and then the segments are written with the ranks of the corpus. A rank takes one to four bytes; how many, less one, is kept apart in two bits of the control bytes
 (four ranks to a byte, the first in the lowest bits). Reading looks the lengths
 of four ranks up by their control byte and gathers all ranks at once.
 
@@ -38,51 +38,55 @@ SEGMENT_TOKENS = 1 << 20
 
 FORMAT = "part int, segment int, doc_ids array<long>, sizes array<long>, control binary, data binary"
 RANKS = "id int, rank int"
-_DRAFT = f"{FORMAT}, ranked binary, counts binary"
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
+_DRAFT = "part int, segment int, doc_ids array<long>, sizes array<long>, ids binary, present binary, counts binary"
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
 
 def to_bytes(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of some ranks."""
-    ranks = ranks.astype("<u4")
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks = ranks.astype("<u4", copy=False)
+    longest = max((int(ranks.max(initial=0)).bit_length() + 7) // 8, 1)
     padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    four = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), four[np.arange(4) <= code[:, None]].tobytes()
+    code = padded[: len(ranks)]
+    for k in range(1, longest):
+        code += ranks >= 1 << 8 * k
+    four = padded.view("<u4")  # two bits of each byte move into the lowest
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    ends = np.cumsum(code, dtype=np.int64) + np.arange(1, len(code) + 1)
+    at = ends - code - 1
+    data = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    data[at] = ranks.astype(np.uint8)
+    for k in range(1, longest):
+        more = np.flatnonzero(code >= k)
+        data[at[more] + k] = (ranks[more] >> 8 * k).astype(np.uint8)
+    return control.tobytes(), data.tobytes()
 
 
 def from_bytes(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The first ``count`` ranks of a control and a data stream."""
     size = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
-    at = np.cumsum(size) - size
+    at = np.cumsum(size, dtype=np.int64) - size
     body = np.frombuffer(data, dtype=np.uint8)
     ranks = body[at].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(size.max(initial=0))):
         more = np.flatnonzero(size > k)
         ranks[more] |= body[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
 def _draft(part: int, number: int, doc_ids: list, texts: list[bytes]) -> pa.RecordBatch:
-    """A segment with ranks of its own, its ids by rank and their counts."""
+    """A segment as plain ids, which ids it holds and how often."""
     ids = np.frombuffer(b"".join(texts), dtype="<u4")
     counts = np.bincount(ids)
     present = np.flatnonzero(counts)
-    ranked = present[np.argsort(-counts[present], kind="stable")]
-    rank = np.zeros(len(counts), dtype=np.uint32)
-    rank[ranked] = np.arange(len(ranked))
-    control, data = to_bytes(rank[ids])
     return pa.record_batch({
         "part": pa.array([part], pa.int32()),
         "segment": pa.array([number], pa.int32()),
         "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
         "sizes": pa.array([[len(x) // 4 for x in texts]], pa.list_(pa.int64())),
-        "control": pa.array([control], pa.binary()),
-        "data": pa.array([data], pa.binary()),
-        "ranked": pa.array([ranked.astype("<u4").tobytes()], pa.binary()),
-        "counts": pa.array([counts[ranked].astype("<i8").tobytes()], pa.binary()),
+        "ids": pa.array([ids.astype("<u2" if len(counts) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
+        "present": pa.array([present.astype("<u4").tobytes()], pa.binary()),
+        "counts": pa.array([counts[present].astype("<i8").tobytes()], pa.binary()),
     })
 
 
@@ -90,8 +94,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of ids, added up over the segments of a task."""
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for ranked, counts in zip(batch.column("ranked").to_pylist(), batch.column("counts").to_pylist()):
-            ids = np.frombuffer(ranked, dtype="<u4")
+        for present, counts in zip(batch.column("present").to_pylist(), batch.column("counts").to_pylist()):
+            ids = np.frombuffer(present, dtype="<u4")
             if len(ids) and ids.max() >= len(total):
                 total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
             total[ids] += np.frombuffer(counts, dtype="<i8")
@@ -99,8 +103,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"id": pa.array(ids.astype(np.int32)), "n": pa.array(total[ids])})
 
 
-def _ranked_anew(shared):
-    """Segments with the ranks of the corpus in place of their own."""
+def _ranked(shared):
+    """Segments with the ranks of the corpus in place of plain ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -108,10 +112,8 @@ def _ranked_anew(shared):
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                ranked, control, data = (one.column(c)[0].as_py() for c in ("ranked", "control", "data"))
-                count = int(np.sum(one.column("sizes")[0].as_py()))
-                ids = np.frombuffer(ranked, dtype="<u4")[from_bytes(control, data, count)]
-                new = dict(zip(("control", "data"), to_bytes(rank[ids])))
+                ids, count = one.column("ids")[0].as_py(), int(np.sum(one.column("sizes")[0].as_py()))
+                new = dict(zip(("control", "data"), to_bytes(rank[np.frombuffer(ids, dtype=f"<u{len(ids) // count}")])))
                 yield pa.record_batch([pa.array([new[c]], pa.binary()) if c in new else one.column(c) for c in names], names=names)
 
     return run
@@ -145,14 +147,14 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     ordered = ordered.sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     drafts = kept(ordered.mapInArrow(_segments(path, end), _DRAFT), "drafts")
-    counts = drafts.select("ranked", "counts").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = drafts.select("present", "counts").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # as many rows as the vocabulary has ids, at most
     order = [r["id"] for r in counts.orderBy(F.col("n").desc(), "id").select("id").collect()]
     rank = np.zeros(max(order, default=0) + 1, dtype=np.uint32)
     rank[order] = np.arange(len(order))
     spark = docs.sparkSession
     spark.createDataFrame(list(zip(order, range(len(order)))), RANKS).coalesce(1).write.parquet(f"{folder}/ranks")
-    drafts.mapInArrow(_ranked_anew(spark.sparkContext.broadcast(rank)), FORMAT).write.parquet(f"{folder}/segments")
+    drafts.drop("present", "counts").mapInArrow(_ranked(spark.sparkContext.broadcast(rank)), FORMAT).write.parquet(f"{folder}/segments")
 
 
 def read(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
@@ -176,7 +178,7 @@ def _documents(shared):
                 sizes = np.array(sizes, dtype=np.int64)
                 ids = segment_ids(shared.value, control, data, int(sizes.sum()))
                 ends = np.cumsum(sizes)
-                body = ids.astype("<u4").tobytes()
+                body = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 yield pa.record_batch({
                     "part": pa.array([part] * len(sizes), pa.int32()),
                     "segment": pa.array([segment] * len(sizes), pa.int32()),

@@ -4,6 +4,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -134,3 +135,37 @@ def test_ranks_are_those_of_the_corpus(spark, make, odd, monkeypatch):
     segments, ranked = tokenfiles.read(spark, folder)
     assert ranked.tolist() == sorted(counts, key=lambda i: (-counts[i], i))
     assert segments.count() > 3 and "ranked" not in segments.columns
+
+
+def test_pieces_are_those_of_the_pattern():
+    coder, random = bpe.Encoder(vocabulary(BYTE)), np.random.default_rng(5)
+    usual = [*"'stmdrevlla  \n\t\r019AZ.,-<|éßĀ½²×", "'", "'", "'", "'ll", "'re", "'ve", " '", "ɏ"]
+    for signs in (usual, [*usual, "ɐ", "日", "\x00", "\xa0", "\xad", "𝔘", "<|endoftext|>"]):
+        texts = ["".join(random.choice(signs, n)) for n in random.integers(0, 13, 20_000)] + ["a<", "|b", "it'", "s", "x'l", "l", " ", "y", "", "\n"]
+        pieces, first, plain = bpe.cut_bytes(pa.array(texts))
+        pieces = pieces.to_pylist()
+        assert plain.tolist() == [bool(bpe._FAMILIAR(t)) and "<|" not in t for t in texts]
+        assert [pieces[a:b] for a, b in zip(first, first[1:])] == [coder.pattern.findall(t) if own else [] for t, own in zip(texts, plain)]
+
+
+def test_texts_are_cut_together_and_drafts_are_not_ranked(odd, monkeypatch):
+    tok, asked = library(BYTE), []
+    texts = [t or "" for _, t, _ in odd if bpe._FAMILIAR(t or "")] * 3
+    coder = bpe.Encoder(vocabulary(BYTE))
+    numbers = coder._numbers
+    monkeypatch.setattr(coder, "_numbers", lambda pieces: asked.extend(pieces) or numbers(pieces))
+    monkeypatch.setattr(coder, "_pieces", None)  # one text after another
+    monkeypatch.setattr(bpe, "encoder", lambda path: coder)
+    monkeypatch.setattr(tokenfiles, "to_bytes", None)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts), "part": pa.array([0] * len(texts), pa.int32())})
+    (draft,) = tokenfiles._segments(vocabulary(BYTE), 0)(iter([batch]))
+    assert len(asked) == len(set(asked))
+    want = [i for t in texts for i in [*tok.encode(t, add_special_tokens=False).ids, 0]]
+    assert np.frombuffer(draft.column("ids")[0].as_py(), "<u2").tolist() == want
+
+
+def test_large_ids_take_four_bytes():
+    ids = np.array([5, 70_000, 5], dtype="<u4")
+    draft = tokenfiles._draft(0, 0, [1, 2], [ids.tobytes(), ids[:1].tobytes()])
+    assert draft.column("ids")[0].as_py() == np.array([5, 70_000, 5, 5], dtype="<u4").tobytes()
+    assert np.frombuffer(draft.column("counts")[0].as_py(), "<i8").tolist() == [3, 1]
